@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op3_bpe_roundtrip": bpe.op3_bpe_roundtrip}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
+        "op8_secrets": secrets.op8_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
