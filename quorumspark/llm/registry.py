@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, toxicity
+from . import bpe, lm, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_warc": warc.op2_warc,
         "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
+        "op7_lm": lm.op7_lm,
         "op8_secrets": secrets.op8_secrets,
     }
 
