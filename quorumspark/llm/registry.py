@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, secrets, toxicity, warc
+from . import bpe, lm, near_dup, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_warc": warc.op2_warc,
         "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
+        "op5_near_dup": near_dup.op5_near_dup,
         "op7_lm": lm.op7_lm,
         "op8_secrets": secrets.op8_secrets,
     }
