@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, near_dup, secrets, toxicity, warc
+from . import bpe, chat, lm, near_dup, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_warc": warc.op2_warc,
         "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
+        "op4_preferences": chat.op4_preferences,
         "op5_near_dup": near_dup.op5_near_dup,
         "op7_lm": lm.op7_lm,
         "op8_secrets": secrets.op8_secrets,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preferences": chat.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
