@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, near_dup, secrets, toxicity, url_filter, warc
+from . import bpe, chat, decontaminate, lm, near_dup, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_near_dup": near_dup.op5_near_dup,
         "op7_lm": lm.op7_lm,
         "op8_secrets": secrets.op8_secrets,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
