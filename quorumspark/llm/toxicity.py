@@ -6,7 +6,8 @@ back to the same continuation counts, taken over both classes, so an expression
 gets the same probability from both and says nothing. A document is a set of expressions (its distinct words, A-Z
 lower-cased, outer punctuation removed). Each expression's log-likelihood ratio counts where it exceeds a floor, and
 the sum is divided by a power of the number of expressions: long texts gather chance evidence, which grows so.
-A logistic curve fitted on labelled documents that the counts leave out turns the result into a score.
+A logistic curve fitted on labelled documents that the counts leave out turns the result into a score; then the
+counts take in these documents, too.
 
 Null and empty texts have no expression: their normalised evidence is 0 and they get the score of that. Rows with a
 null label, and labels without a document, are not learnt from; a document labelled more than once is toxic if any
@@ -17,7 +18,6 @@ Repeated rows are scored like any other.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,29 +27,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_CHARS, WORD, doc_bucket, drop_tables, materialize, table
+from .common import LOWER_BYTES, doc_bucket, drop_tables, materialize, table
 
 #: Characters of context and character together.
-ORDER = 6
+ORDER = 4
 #: What Kneser-Ney takes off each count.
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 #: Labelled documents to learn from at most; beyond it, those with the lowest hashes of doc_id.
 LABELLED_ROWS = 20_000
 #: Log-likelihood ratios (nats) up to this are chance.
-EVIDENCE_FLOOR = 2.0
+EVIDENCE_FLOOR = 3.0
 #: The evidence is divided by the number of expressions to this power.
 LENGTH_POWER = 0.5
 #: Characters that belong to no expression at its ends.
-OUTER = ".,;:!?\"'()[]"
+OUTER = b".,;:!?\"'()[]"
 BEGIN, END = "\x02", "\x03"
 #: Expressions whose ratio a Python worker remembers.
 REMEMBERED = 400_000
 
-_words = re.compile(WORD).findall
-
-
-def expressions(text: str | None) -> set[str]:
-    return {w.strip(OUTER) for w in _words(text.translate(LOWER_CHARS))} if text else set()
+def expressions(text: str | None) -> set[bytes]:
+    """UTF-8 of the expressions; bytes.split() cuts at just the white space that ends a word."""
+    return {w.strip(OUTER) for w in set(text.encode().translate(LOWER_BYTES).split())} if text else set()
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -68,13 +66,13 @@ class Model:
     unknown: float
     slope: float = 0.0
     offset: float = -20.0
-    memory: dict[str, float] = field(default_factory=dict)
+    memory: dict[bytes, float] = field(default_factory=dict)
 
-    def ratio(self, word: str) -> float:
+    def ratio(self, word: bytes) -> float:
         """log P(word | toxic) - log P(word | ordinary)"""
         if (known := self.memory.get(word)) is not None:
             return known
-        seen, backoff, s, total = self.seen, self.backoff, BEGIN + word + END, 0.0
+        seen, backoff, s, total = self.seen, self.backoff, BEGIN + word.decode("utf-8", "replace") + END, 0.0
         for j in range(1, len(s)):
             g = s[max(0, j - ORDER + 1) : j + 1]
             a = b = 1.0
@@ -144,8 +142,8 @@ def logistic(bins: pd.DataFrame) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, calibrate_on: Column, bound: int = LABELLED_ROWS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Counts come from documents with learn_from, the curve from those
-    with calibrate_on (both over doc_id), bound documents at most."""
+    """docs: doc_id, text; labels: doc_id, toxic. The curve is fitted on documents with calibrate_on while
+    the counts come from those with learn_from (both over doc_id); bound documents at most."""
     given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(learn_from | calibrate_on)
     n = given.count()
     if n > bound:
@@ -154,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, calibrate_on: Co
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(given), "doc_id").dropDuplicates(["doc_id"]).withColumn("learns", learn_from), "toxicity-sample")
 
     def count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[bytes, list[int]] = {}
         for part in parts:
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 for w in expressions(text):
@@ -165,24 +163,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, calibrate_on: Co
         a, b = Counter(), Counter()
         for part in parts:
             for word, x, y in zip(part["word"], part["ordinary"].tolist(), part["toxic"].tolist(), strict=True):
-                for g in grams_of(word):
+                for g in grams_of(word.decode("utf-8", "replace")):
                     a[g] += x
                     b[g] += y
         yield pd.DataFrame({"gram": list(a), "ordinary": list(a.values()), "toxic": [b[g] for g in a]})
 
     sums = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")]
-    words = sample.where("learns").select("text", "toxic").mapInPandas(count_words, "word string, ordinary long, toxic long").groupBy("word").agg(*sums)
-    grams = words.mapInPandas(count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(*sums)
-    model = kneser_ney(grams.toPandas())
+
+    def counted(part: DataFrame) -> Model:
+        words = part.select("text", "toxic").mapInPandas(count_words, "word binary, ordinary long, toxic long").groupBy("word").agg(*sums)
+        return kneser_ney(words.mapInPandas(count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(*sums).toPandas())
+
+    model = counted(sample.where("learns"))
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"x": [round(model.evidence(t), 1) for t in part["text"]], "toxic": part["toxic"]})
 
     bins = sample.where(~F.col("learns")).select("text", "toxic").mapInPandas(measure, "x double, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toPandas()
-    if len(bins):
-        model.slope, model.offset = logistic(bins)
-    model.memory.clear()
+    curve = logistic(bins) if len(bins) else (0.0, -20.0)
+    model = counted(sample)  # the curve stays, the counts gain the documents that it was fitted on
+    model.slope, model.offset = curve
     drop_tables(sample)
     return model
 
