@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, lm, near_dup, secrets, toxicity, url_filter, warc
+from . import bpe, chat, decontaminate, lm, near_dup, quality, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
         "op4_preferences": chat.op4_preferences,
         "op5_near_dup": near_dup.op5_near_dup,
+        "op6_quality": quality.op6_quality,
         "op7_lm": lm.op7_lm,
         "op8_secrets": secrets.op8_secrets,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preferences": chat.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {"op4_preferences": chat.OP4_SQL, "op6_quality": quality.op6_sql(), "op10_url_filter": url_filter.OP10_SQL}
