@@ -1,3 +1,3 @@
 """Queries over the input tables; importing this package registers them."""
 
-from . import filtering  # noqa: F401
+from . import aggregating, filtering  # noqa: F401
