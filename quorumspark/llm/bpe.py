@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trim_memory
 
 #: Fixed value: the pattern that cuts a text into words before merging (of the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct words in each of the two generations that one Python worker remembers; words that no text of a whole
 #: generation had are forgotten (results don't change).
-REMEMBERED_WORDS = 350_000
+REMEMBERED_WORDS = 250_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Characters of text for each batch that goes back to Spark.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,6 +45,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(definition: str) -> list[bytes]:
+    """What each id stands for."""
+    spec, alphabet = json.loads(definition), byte_alphabet()
+    known = {i: bytes(alphabet[c] for c in tok) for tok, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [known.get(i, b"") for i in range(1 + max(known))]
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file; one for each Python worker and file."""
 
@@ -54,13 +61,9 @@ class Codec:
         alphabet = byte_alphabet()
         raw = {bytes(alphabet[c] for c in tok): i for tok, i in spec["model"]["vocab"].items()}
         self.vocab = raw
-        self.size = 1 + max([*raw.values(), *(t["id"] for t in spec["added_tokens"])])
-        self.bytes_of = [b""] * self.size
-        for tok, i in raw.items():
-            self.bytes_of[i] = tok
+        self.bytes_of = token_bytes(definition)
+        self.size = len(self.bytes_of)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for tok, i in self.added.items():
-            self.bytes_of[i] = tok.encode()
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -236,6 +239,8 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(offsets, values)], names=[*names, ids])
+        c.older = {}
+        trim_memory()
 
     return rest.mapInArrow(run, schema)
 
@@ -243,13 +248,12 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
 def decode(docs: DataFrame, definition: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the column text: what the ids stand for, special tokens included; bytes that are no UTF-8 become
     U+FFFD."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(definition)
+    shipped = docs.sparkSession.sparkContext.broadcast(token_bytes(definition))
     names = [c for c in docs.columns if c != text]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = codec(shipped.value).bytes_of.__getitem__
+        look = shipped.value.__getitem__
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
@@ -261,6 +265,7 @@ def decode(docs: DataFrame, definition: str, ids: str = "ids", text: str = "deco
                     out.append(b"".join(map(look, flat[start:end].tolist())).decode("utf-8", "replace"))
                     start = end
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], names=[*names, text])
+        trim_memory()
 
     return docs.mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,5 +56,11 @@ def doc_bucket(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def partitions_for(df: DataFrame, rows_each: int, rows: int) -> int:
-    return max(1, -(-rows // rows_each))
+def trim_memory() -> None:
+    """Returns freed memory to the system, as a Python worker lives on idle after its task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
