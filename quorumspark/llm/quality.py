@@ -63,7 +63,7 @@ def repeated_words(words: Column) -> Column:
 
     def same(found: Column) -> Column:
         """Places of the candidates whose words recur, sorted."""
-        keyed = F.sort_array(F.transform(found, lambda p: F.struct(F.slice(words, p + 1, WINDOW).alias("w"), p.alias("p"))))
+        keyed = F.sort_array(F.transform(found, lambda p: F.struct(F.struct(*(F.get(words, p + o).alias(f"w{o}") for o in range(WINDOW))).alias("w"), p.alias("p"))))
         return let(keyed, lambda k: F.sort_array(F.transform(F.filter(k, lambda x, i: F.coalesce((x["w"] == F.get(k, i - 1)["w"]) | (x["w"] == F.get(k, i + 1)["w"]), F.lit(False))), lambda x: x["p"])))
 
     def covered(places: Column) -> Column:
@@ -106,7 +106,9 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", out: str =
         n(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"), n(repeated_words(c("__words"))).alias("n_repeat_words"),
         F.array(*(x.cast("int") for x in classes)).alias("classes"), histogram.alias("common"),
     )
-    return with_words.withColumn(out, measured).drop("__words", "__rest")
+    # a generator of one row: later steps take the finished struct instead of its expressions
+    kept = [x for x in docs.columns if x != out]
+    return with_words.select(*kept, F.explode(F.array(measured)).alias(out))
 
 
 def base_failed(m: Column) -> Column:
