@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and zstandard novelty of strings in sensitive contexts.
 
-Three fixed kinds of secret (assign, access, hex) are found by pattern. Besides, every long string with a digit that
-follows a sensitive word closely is a candidate. Its marginal size is what it adds to a zstandard frame whose
+Three fixed kinds of secret (assign, access, hex) are found by pattern. Besides, every long string of mixed letters and
+digits that follows a sensitive word closely is a candidate. Its marginal size is what it adds to a zstandard frame whose
 dictionary holds common identifiers and the text around it: names, numbers in sequence and repeats cost little,
 random keys cost about as much as they are long. Candidates that cost more than NOVELTY of their length are
 reported as kind novel, unless they overlap a span of the fixed kinds.
@@ -36,6 +36,9 @@ SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bear
 #: Code points between a sensitive word and a candidate at most.
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Changes between letters and digits that a candidate has at least; names with a number at their end have fewer.
+CHANGES = 3
+CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 #: Marginal compressed bytes of a byte of the candidate, at least.
 NOVELTY = 0.75
 #: Code points of text on either side that the dictionary holds.
@@ -81,7 +84,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue  # it begins within a longer string that was looked at
             last = b
             value = m.group()
-            if any(c.isdigit() for c in value) and not any(a < e and s < b for s, _, e in taken):
+            if len(CHANGE.findall(value)) >= CHANGES and not any(a < e and s < b for s, _, e in taken):
                 before, after = text[max(0, a - SURROUNDINGS) : a], text[b : b + SURROUNDINGS]
                 if marginal_bytes(value, before, after) > NOVELTY * len(value):
                     found.append((a, 3, b))
