@@ -11,7 +11,8 @@ counts take in these documents, too.
 
 Null and empty texts have no expression: their normalised evidence is 0 and they get the score of that. Rows with a
 null label, and labels without a document, are not learnt from; a document labelled more than once is toxic if any
-of its labels is. Without any label of either class every score is the share of toxic labels (0 without labels).
+of its labels is. Without labels every score is next to 0; with labels of one class only, the evidence says nothing and all scores are
+about that class's share.
 Repeated rows are scored like any other.
 """
 
@@ -102,10 +103,11 @@ def kneser_ney(grams: pd.DataFrame) -> Model:
     by_order: list[dict[str, tuple[int, int]]] = [{} for _ in range(ORDER + 1)]
     for g, a, b in zip(grams["gram"], grams["ordinary"].tolist(), grams["toxic"].tolist(), strict=True):
         by_order[len(g)][g] = (a, b)
+    # without any bigram everything is unknown, and equally so in both classes
     continuation = Counter(g[1:] for g in by_order[2])
     total = sum(continuation.values()) or 1
     unknown = 1 / (len(continuation) + 1)
-    left = DISCOUNT * len(continuation) / total
+    left = DISCOUNT * len(continuation) / total if continuation else 1.0
     shared = {c: max(k - DISCOUNT, 0) / total + left * unknown for c, k in continuation.items()}
     seen = {c: (p, p) for c, p in shared.items()}
     backoff = {"": (left, left)}
