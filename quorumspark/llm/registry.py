@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preferences": chat.OP4_SQL, "op6_quality": quality.op6_sql(), "op10_url_filter": url_filter.OP10_SQL}
+    return {"op4_preferences": chat.OP4_SQL, "op6_quality": quality.op6_sql(), "op9_decontaminate": decontaminate.op9_sql(), "op10_url_filter": url_filter.OP10_SQL}
