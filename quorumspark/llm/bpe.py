@@ -31,7 +31,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Distinct words in each of the two generations that one Python worker remembers; words that no text of a whole
 #: generation had are forgotten (results don't change).
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 200_000
+#: Words of up to so many bytes are merged by looking at all pairs again after each merge.
+SHORT_WORD = 24
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Characters of text for each batch that goes back to Spark.
@@ -69,6 +71,7 @@ class Codec:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = bytes(alphabet[c] for c in left), bytes(alphabet[c] for c in right)
             self.merges[raw[a], raw[b]] = (rank, raw[a + b])
+        self.letters = [raw[bytes([b])] for b in range(256)]
         self.longest = max(map(len, raw))
         self.split = regex.compile(PATTERN).findall
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -82,8 +85,18 @@ class Codec:
 
     def exact(self, word: bytes) -> list[int]:
         """Merges by rank, lowest first and leftmost among equals."""
-        ids: list[int] = [self.vocab[word[i : i + 1]] for i in range(len(word))]
+        ids: list[int] = [self.letters[b] for b in word]
         n = len(ids)
+        if n <= SHORT_WORD:
+            get = self.merges.get
+            while True:
+                best, at = None, 0
+                for i, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
+                    if (m := get(pair)) and (best is None or m < best):
+                        best, at = m, i
+                if best is None:
+                    return ids
+                ids[at : at + 2] = [best[1]]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = self.merges
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_tables, materialize, table
+from .common import LOWER_BYTES, drop_tables, materialize, table, trim_memory
 from .graph import components
 
 #: Minwise tokens in a signature, of 32 bits each.
@@ -129,6 +129,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig"])
                 out.insert(0, "doc_id", piece["doc_id"].to_numpy())
                 yield out
+        trim_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, sum1 long, sum2 long, sig binary")
 
@@ -186,6 +187,7 @@ def candidates(parts: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataF
             yield pd.DataFrame(found, columns=["a", "b"])
             found = []
     yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    trim_memory()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -232,6 +234,7 @@ def confirmed(parts: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[p
         np.fill_diagonal(linked, True)
         if found := stars(linked, ids):
             yield pd.DataFrame(found, columns=["a", "b"])
+    trim_memory()
 
 
 def token(at) -> F.Column:
