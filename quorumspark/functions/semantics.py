@@ -66,10 +66,11 @@ def urgency(days: Column) -> Column:
 
 
 def phone(x: Column) -> Column:
-    """(ddd) ddd-dddd as far as the digits go."""
+    """(ddd) ddd-dddd as far as the digits go, of which ten count."""
     d = F.substring(F.regexp_replace(x, r"\D", ""), 1, 10)
     return (
-        F.when(F.length(d) <= 3, d)
+        F.when(d == "", d)
+        .when(F.length(d) <= 3, F.concat(F.lit("("), d))
         .when(F.length(d) <= 6, F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3)))
         .otherwise(F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4)))
     )

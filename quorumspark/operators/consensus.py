@@ -35,6 +35,14 @@ def consensus(votes: DataFrame, keys: list[str], vote: str = "compliance") -> Da
     return vote_counts(votes, keys, vote).withColumns({"consensus": consensus_of(), "disagreement": F.col("n_different") > 1})
 
 
+#: Final recommendations that make a submission compliant.
+ACCREDITING = ["accreditation_no_conditions", "conditional_accreditation"]
+
+
+def outcome(recommendation: Column) -> Column:
+    return F.when(recommendation.isin(ACCREDITING), "compliant").otherwise("non_compliant")
+
+
 def statistics(sections: DataFrame, keys: list[str], determination: Column) -> DataFrame:
     """Counts of determinations, and the compliance rate: compliant among all but the not applicable, in percent
     (0 without sections, null if all are not applicable)."""

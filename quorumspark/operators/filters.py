@@ -76,6 +76,16 @@ def may_edit(role: str, *, locked: Column, sent_back: Column, own: Column, reade
         return F.lit(True)
     if role == "coordinator":
         return ~locked & (sent_back | own)
-    if role == "reader":
+    if role in ("reader", "lead_reader"):
         return F.coalesce(F.array_contains(readers, user), F.lit(False))
     return F.lit(False)
+
+
+def may_lock(*, locked: Column, locked_by: Column, readers: Column, user) -> Column:
+    """Those assigned may lock what nobody else has locked."""
+    return F.coalesce(F.array_contains(readers, user), F.lit(False)) & (~locked | locked_by.eqNullSafe(user))
+
+
+def may_unlock(role: str, *, locked: Column, locked_by: Column, user) -> Column:
+    """Admins, lead readers and whoever locked it may unlock what is locked."""
+    return locked & (F.lit(role in ("admin", "lead_reader")) | locked_by.eqNullSafe(user))

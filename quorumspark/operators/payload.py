@@ -1,57 +1,129 @@
-"""Semi-structured payloads: normalising, validating, classifying."""
+"""Semi-structured payloads: normalising, validating, classifying.
+
+Texts that are empty, zeros, false and null count as not given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.semantics import blank_to_null
 
+def given(payload: Column, *paths: str) -> Column:
+    """The first path of a JSON text that holds something, as text."""
+    one = lambda p: F.get_json_object(payload, p)
+    return F.coalesce(*(F.when(~one(p).isin("", "false", "null"), one(p)) for p in paths))
+
+
+def number(payload: Column, *paths: str) -> Column:
+    """The first path that holds something but a zero, as text."""
+    one = lambda p: given(payload, p)
+    return F.coalesce(*(F.when(F.coalesce(one(p).try_cast("double") != 0, F.lit(True)), one(p)) for p in paths))
+
+
+def is_nested(payload: Column) -> Column:
+    """Whether an evaluation comes as a score and a job object."""
+    return given(payload, "$.score").isNotNull() & given(payload, "$.job").isNotNull()
 
-def pick(payload: Column, *paths: str) -> Column:
-    """The first path of a JSON text that holds something but an empty text."""
-    return F.coalesce(*(blank_to_null(F.get_json_object(payload, p)) for p in paths))
+
+#: Output name, path of the nested layout, path of the flat one.
+TEXT_FIELDS = [
+    ("title", "$.job.jobName", "$.title"), ("description", "$.job.descriptionSnippet", "$.description"), ("url", "$.job.jobDetailUrl", "$.url"),
+    ("job_type", "$.job.jobType", "$.jobType"), ("price", "$.job.price", "$.price"), ("country", "$.job.country", "$.country"),
+    ("amount_spent", "$.job.amountSpent", "$.amountSpent"), ("posted_at", "$.job.postedAt", "$.postedAt"),
+    ("experience_level", "$.job.experienceLevel", "$.experienceLevel"), ("score_reasoning", "$.score.reasoning", "$.scoreReasoning"),
+]
 
 
 def evaluation(payload: Column) -> Column:
-    """One row from an evaluation, whether its fields lie at the top or under evaluation."""
-    both = lambda name: pick(payload, f"$.evaluation.{name}", f"$.{name}")
-    rating = both("rating").try_cast("double")
+    """One struct from an evaluation in either layout."""
+    nested = is_nested(payload)
+    pick = lambda a, *b: F.when(nested, given(payload, a)).otherwise(given(payload, *b))
+    amount = lambda a, *b: F.when(nested, number(payload, a)).otherwise(number(payload, *b)).try_cast("double")
+    texts = [F.coalesce(pick(a, b), F.lit("")).alias(name) for name, a, b in TEXT_FIELDS]
+    return F.struct(
+        given(payload, "$.jobId").alias("job_id"),
+        *texts,
+        amount("$.score.score", "$.rating").alias("rating"),
+        amount("$.score.score", "$.scoreValue", "$.rating").alias("score_value"),
+        amount("$.job.clientRating", "$.clientRating").alias("client_rating"),
+        (pick("$.job.paymentVerified", "$.paymentVerified").isNotNull()).alias("payment_verified"),
+        F.coalesce(pick("$.job.tags", "$.tags"), F.lit("[]")).alias("tags"),
+        given(payload, "$.teamId").alias("team_id"),
+        given(payload, "$.teamName").alias("team_name"),
+    )
+
+
+def evaluation_findings(payload: Column) -> Column:
+    """errors and warnings, as arrays of texts, of an evaluation."""
+    e = evaluation(payload)
+    listed = lambda *xs: F.array_compact(F.array(*xs))
     return F.struct(
-        both("jobId").alias("job_id"), F.coalesce(both("title"), F.lit("Untitled")).alias("title"), rating.alias("rating"),
-        F.coalesce(both("status"), F.lit("pending")).alias("status"), both("team").alias("team"), both("source").alias("source"),
+        listed(F.when(e["job_id"].isNull() & (e["title"] == ""), "neither jobId nor title")).alias("errors"),
+        listed(
+            F.when(e["title"] == "", "title is missing"), F.when(e["description"] == "", "description is missing"),
+            F.when(e["team_id"].isNotNull() & e["team_name"].isNotNull(), "teamId goes before teamName"),
+        ).alias("warnings"),
     )
 
 
-def problems(payload: Column) -> Column:
-    """What a payload lacks or gets wrong, as an array of texts."""
-    row = evaluation(payload)
-    rating = F.coalesce(F.get_json_object(payload, "$.evaluation.rating"), F.get_json_object(payload, "$.rating"))
-    return F.array_compact(
-        F.array(
-            F.when(row["job_id"].isNull(), "jobId is missing"),
-            F.when(rating.isNotNull() & row["rating"].isNull(), "rating is no number"),
-            F.when(~row["rating"].between(1, 10), "rating is not within 1 and 10"),
-        )
-    )
+def price(kind: Column, fixed: Column, low: Column, high: Column) -> Column:
+    """A budget for reading: kind 1 is fixed, 2 by the hour; amounts are texts or null."""
+    hourly = F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit("$"), low, F.lit("-$"), high, F.lit("/hr"))).when(low.isNotNull(), F.concat(F.lit("$"), low, F.lit("+/hr")))
+    made = F.when((kind == "1") & fixed.isNotNull(), F.concat(F.lit("$"), fixed, F.lit(" Fixed"))).when(kind == "2", hourly)
+    return F.coalesce(made, F.lit(""))
+
+
+def feed_job(payload: Column, apply_url: str) -> Column:
+    """One struct from a job feed's payload; null without a job. Its address is apply_url and the job's cipher text."""
+    at = lambda p: given(payload, f"$.data.job.{p}")
+    text = lambda p: F.coalesce(at(p), F.lit(""))
+    kind = at("budget.type")
+    row = F.struct(
+        text("title").alias("title"), text("description").alias("description"), F.coalesce(F.concat(F.lit(apply_url), at("ciphertext")), F.lit("")).alias("url"),
+        F.when(kind == "1", "Fixed").otherwise("Hourly").alias("job_type"), price(kind, *(number(payload, f"$.data.job.budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))).alias("price"),
+        text("client.location.country").alias("country"), at("client.paymentVerified").isNotNull().alias("payment_verified"),
+        F.coalesce(at("client.stats.totalSpent").try_cast("double"), F.lit(0.0)).alias("total_spent"),
+        F.coalesce(F.get_json_object(payload, "$.data.job.skills[*].name"), F.lit("[]")).alias("skills"),
+        F.coalesce(given(payload, "$.data.teamName"), F.lit("")).alias("team_name"),
+    )
+    return F.when(given(payload, "$.data.job").isNotNull(), row)
+
+
+def feed_errors(payload: Column) -> Column:
+    """The first thing that a job feed's payload cannot do without, or null."""
+    missing = lambda p: given(payload, p).isNull()
+    return F.when(missing("$.data"), "data is missing").when(missing("$.data.job"), "job is missing").when(missing("$.data.job.ciphertext"), "ciphertext is missing")
+
+
+# The categories of errors by name and by code.
+CATEGORY_OF_NAME = {
+    "MongoError": "database", "MongoServerError": "database", "MongooseError": "database", "CastError": "validation",
+    "JsonWebTokenError": "authentication", "TokenExpiredError": "authentication",
+}
+CATEGORY_OF_CODE = {"ENOENT": "file_operation", "EACCES": "file_operation", "ECONNREFUSED": "external_service", "ETIMEDOUT": "external_service"}
+# The severity of each category; others are medium.
+SEVERITY = {"database": "high", "authentication": "medium", "authorization": "medium", "validation": "low", "file_operation": "high", "external_service": "high", "internal": "critical"}
+
+
+def _mapped(x: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in values.items() for v in pair)), x)
 
 
-def price(amount: Column, kind: Column) -> Column:
-    """A price for reading: $25.00/hr, $500.00, or Not specified."""
-    shown = F.concat(F.lit("$"), F.format_string("%.2f", amount))
-    return F.when(amount.isNull(), "Not specified").when(kind == "hourly", F.concat(shown, F.lit("/hr"))).otherwise(shown)
+def error_category(name: Column, code: Column, has_details: Column) -> Column:
+    """The category by name, else by code; a ValidationError counts only with details."""
+    return F.coalesce(_mapped(name, CATEGORY_OF_NAME), F.when((name == "ValidationError") & has_details, "validation"), _mapped(code, CATEGORY_OF_CODE), F.lit("unknown"))
 
 
-#: What names of errors belong to which category, in order.
-CATEGORIES = [("validation", "(?i)validation|cast"), ("authentication", "(?i)auth|token|jwt|sign"), ("database", "(?i)mongo|database|duplicate|purchase"), ("network", "(?i)network|timeout|econn|view")]
+def error_severity(category: Column) -> Column:
+    return F.coalesce(_mapped(category, SEVERITY), F.lit("medium"))
 
 
-def error_category(name: Column) -> Column:
-    out = None
-    for category, pattern in CATEGORIES:
-        out = F.when(name.rlike(pattern), category) if out is None else out.when(name.rlike(pattern), category)
-    return out.otherwise("unknown")
+#: Parts of field names that hide a field's value.
+SENSITIVE = ["password", "token", "secret", "credential", "authorization"]
 
 
-def error_severity(category: Column, status: Column) -> Column:
-    return F.when((category == "database") | (status >= 500), "critical").when((category == "authentication") | (status >= 400), "high").when(category == "validation", "low").otherwise("medium")
+def redacted(fields: Column, also: tuple[str, ...] = ()) -> Column:
+    """A map of texts with sensitive values hidden, whatever the case of their names."""
+    pattern = "(?i)" + "|".join([*SENSITIVE, *also])
+    return F.transform_values(fields, lambda k, v: F.when(k.rlike(pattern), F.lit("[REDACTED]")).otherwise(v))

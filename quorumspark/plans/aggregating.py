@@ -404,7 +404,8 @@ def _(t):
 
 @query("outcomes", "AG34", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'compliant' ELSE 'non_compliant' END AS outcome FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O"), "compliant").otherwise("non_compliant").alias("outcome"))
+    recommendation = V.cases(F.col("o_orderstatus"), {"F": C.ACCREDITING[0], "O": C.ACCREDITING[1]}, "deny")
+    return t.orders.select("o_orderkey", C.outcome(recommendation).alias("outcome"))
 
 
 @query("vote_summary_text", "AG35 SK11", f"WITH {COUNTS_SQL} SELECT standard, spec, 'C: ' || n_compliant || ', NC: ' || n_non_compliant || ', N/A: ' || n_not_applicable AS summary FROM agreed")

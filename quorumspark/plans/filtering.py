@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import filters as O
+from ..operators import payload as P
 from ..registry import query
 from ..sources import views as V
 
@@ -189,12 +190,15 @@ def _(t):
 @query(
     "lock_permissions", "FL29 FL30",
     """SELECT o_orderkey, true AS admin_edits, o_orderstatus <> 'F' AND (o_orderstatus = 'P' OR o_custkey % 10 = 0) AS coordinator_edits,
-  o_custkey % 3 = 1 AS reader_edits, o_orderstatus = 'O' AS may_lock, o_orderstatus = 'F' AS may_unlock FROM orders""",
+  o_custkey % 3 = 1 AS reader_edits, o_custkey % 3 = 1 AND (o_orderstatus <> 'F' OR o_orderkey % 4 = 1) AS may_lock, o_orderstatus = 'F' AND o_orderkey % 4 = 1 AS reader_unlocks, o_orderstatus = 'F' AS lead_unlocks FROM orders""",
 )
 def _(t):
     locked, back, own = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P", F.col("o_custkey") % 10 == 0
     may = lambda role: O.may_edit(role, locked=locked, sent_back=back, own=own, readers=F.array(F.col("o_custkey") % 3), user=F.lit(1).cast("long")).alias(f"{role}_edits")
-    return t.orders.select("o_orderkey", *map(may, ("admin", "coordinator", "reader")), (~locked & ~back).alias("may_lock"), locked.alias("may_unlock"))
+    by, user = F.col("o_orderkey") % 4, F.lit(1).cast("long")
+    lock = O.may_lock(locked=locked, locked_by=by, readers=F.array(F.col("o_custkey") % 3), user=user)
+    unlock = lambda role: O.may_unlock(role, locked=locked, locked_by=by, user=user)
+    return t.orders.select("o_orderkey", *map(may, ("admin", "coordinator", "reader")), lock.alias("may_lock"), unlock("reader").alias("reader_unlocks"), unlock("lead_reader").alias("lead_unlocks"))
 
 
 @query("project_without_columns", "PR2", "SELECT p_partkey, p_brand, p_type, CAST(p_size AS INTEGER) AS p_size FROM part WHERE p_size > 40")
@@ -228,12 +232,13 @@ def _(t):
 
 @query(
     "project_redacted_fields", "PR7",
-    "SELECT event_id, '[REDACTED]' AS password, event_type AS kind, props AS body FROM events WHERE event_id % 10 = 0",
-)
+    "SELECT event_id, '[REDACTED]' AS user_password, event_type AS kind, props AS api_key, '[REDACTED]' AS api_key_too FROM events WHERE event_id % 10 = 0",
+)
 def _(t):
-    fields = F.create_map(F.lit("password"), F.col("props"), F.lit("kind"), F.col("event_type"), F.lit("body"), F.col("props"))
-    safe = F.transform_values(fields, lambda k, v: F.when(k.rlike("(?i)password|secret|token|authorization|cookie"), F.lit("[REDACTED]")).otherwise(v))
-    return t.events.where("event_id % 10 = 0").select("event_id", safe.alias("m")).select("event_id", *(F.col("m")[k].alias(k) for k in ("password", "kind", "body")))
+    """The rule leaves API keys as they are; the second form hides them, too."""
+    fields = F.create_map(F.lit("userPassword"), F.col("props"), F.lit("kind"), F.col("event_type"), F.lit("apiKey"), F.col("props"))
+    rows = t.events.where("event_id % 10 = 0").select("event_id", P.redacted(fields).alias("m"), P.redacted(fields, also=("apikey",)).alias("s"))
+    return rows.select("event_id", F.col("m")["userPassword"].alias("user_password"), F.col("m")["kind"].alias("kind"), F.col("m")["apiKey"].alias("api_key"), F.col("s")["apiKey"].alias("api_key_too"))
 
 
 @query("project_preview", "PR8", "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview FROM documents")
@@ -251,7 +256,7 @@ def _(t):
 @query(
     "project_phone", "PR10",
     """WITH d AS (SELECT c_custkey, substr(regexp_replace(CAST(c_custkey * 7919 AS VARCHAR) || '-' || c_nationkey, '[^0-9]', '', 'g'), 1, 10) AS d FROM customer)
-SELECT c_custkey, CASE WHEN length(d) <= 3 THEN d WHEN length(d) <= 6 THEN '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3)
+SELECT c_custkey, CASE WHEN length(d) <= 3 THEN '(' || d WHEN length(d) <= 6 THEN '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3)
  ELSE '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 4) END AS phone FROM d""",
 )
 def _(t):
@@ -270,18 +275,18 @@ def _(t):
 
 
 @query(
-    "project_progress_label", "PR12 SM13",
+    "project_progress_label", "PR12",
     """WITH s AS (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS done
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN n = 0 THEN 'waiting' WHEN done = 0 THEN 'extracting'
- WHEN done < n THEN 'mapping ' || done || ' of ' || n ELSE 'review' END AS step FROM s""",
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'P' THEN 'error' WHEN n = 0 THEN 'parsing' WHEN done = 0 THEN 'analyzing' ELSE 'matching' END AS step,
+ CASE WHEN o_orderstatus = 'O' AND done > 0 THEN done || '/' || n END AS received FROM s""",
 )
 def _(t):
     joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey", "o_orderstatus")
     s = joined.agg(F.count("l_orderkey").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
-    step = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("n") == 0, "waiting").when(F.col("done") == 0, "extracting")
-    step = step.when(F.col("done") < F.col("n"), F.concat(F.lit("mapping "), F.col("done").cast("string"), F.lit(" of "), F.col("n").cast("string"))).otherwise("review")
-    return s.select("o_orderkey", step.alias("step"))
+    status = V.cases(F.col("o_orderstatus"), {"F": "completed", "P": "failed"}, "processing")
+    step = F.when(status == "completed", "complete").when(status == "failed", "error").when(F.col("n") == 0, "parsing").when(F.col("done") == 0, "analyzing").otherwise("matching")
+    return s.select("o_orderkey", step.alias("step"), F.when(step == "matching", F.concat_ws("/", F.col("done").cast("string"), F.col("n").cast("string"))).alias("received"))
 
 
 @query(
@@ -295,11 +300,16 @@ def _(t):
     return g.select("l_partkey", S.percent(F.col("a"), F.col("n")).alias("share"), S.percent(F.col("n"), F.col("b")).alias("odd"))
 
 
+#: The longest text of each platform.
+LIMITS = {"twitter": 280, "linkedin": 4000, "instagram": 2200, "facebook": 63206, "tiktok": 2200}
+
+
 @query(
     "project_length_limits", "PR16",
-    f"""WITH {V.POST_SQL}, one AS (SELECT id, unnest(platforms) AS platform, title FROM post)
-SELECT id, platform, length(CASE WHEN platform = 'x' THEN '' ELSE title END) <= CASE platform WHEN 'x' THEN 280 WHEN 'linkedin' THEN 20 ELSE 25 END AS fits FROM one""",
+    """WITH d AS (SELECT doc_id, length(text) AS n, ['twitter', 'linkedin', 'instagram', 'facebook', 'tiktok', 'other'][doc_id % 6 + 1] AS platform FROM documents)
+SELECT doc_id, platform, CASE platform WHEN 'twitter' THEN 280 WHEN 'linkedin' THEN 4000 WHEN 'instagram' THEN 2200 WHEN 'facebook' THEN 63206 WHEN 'tiktok' THEN 2200 END - n AS left_over FROM d""",
 )
 def _(t):
-    limits = F.create_map(*(F.lit(x) for pair in {"x": 280, "linkedin": 20, "facebook": 25}.items() for x in pair))
-    return V.posts(t).select("id", F.explode("content").alias("platform", "body")).select("id", "platform", (F.length("body") <= limits[F.col("platform")]).alias("fits"))
+    limits = F.create_map(*(F.lit(x) for pair in LIMITS.items() for x in pair))
+    platform = F.get(F.array(*map(F.lit, [*LIMITS, "other"])), (F.col("doc_id") % 6).cast("int"))
+    return t.documents.select("doc_id", platform.alias("platform"), (F.try_element_at(limits, platform) - F.length("text")).cast("long").alias("left_over"))

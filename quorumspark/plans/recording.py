@@ -39,7 +39,7 @@ def _(t):
 
 @query(
     "format_dispatch", "SC4 SC5 SC7",
-    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'text' ELSE 'unsupported' END AS parser FROM pages",
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' ELSE 'unsupported' END AS parser FROM pages",
 )
 def _(t):
     names = F.array(*map(F.lit, ["A.b.PDF", "x.docx", "y.pptx", "z.txt", "noextension"]))
@@ -59,7 +59,7 @@ def _(t):
     """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'ready' ELSE 'draft' END AS status, 1::BIGINT AS n_platforms, o_orderpriority AS body FROM orders""",
 )
 def _(t):
-    old = t.orders.select(F.col("o_orderkey").alias("id"), V.cases(F.col("o_orderstatus"), {"F": "posted", "O": "scheduled"}, "idea").alias("status"), F.lit("linkedin").alias("platform"), F.col("o_orderpriority").alias("text"))
+    old = t.orders.select(F.col("o_orderkey").alias("id"), V.cases(F.col("o_orderstatus"), {"F": "posted", "O": "ready"}, "whatever").alias("status"), F.lit("linkedin").alias("platform"), F.col("o_orderpriority").alias("text"))
     new = SRC.migrated(old)
     return new.select("id", "status", F.size("platforms").cast("long").alias("n_platforms"), F.col("content")[F.col("platforms")[0]].alias("body"))
 
@@ -165,57 +165,86 @@ def _(t):
     return pending.select("id", F.to_json(F.struct("submission", "standard", "spec")).alias("body"), F.lit("X-API-Key").alias("header"))
 
 
-PAYLOAD_SQL = """payload AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"jobId":"' || event_id || '","rating":' || (event_id % 13) || ',"title":"T"}'
-  WHEN 1 THEN '{"evaluation":{"jobId":"' || event_id || '","rating":"high","status":""}}' WHEN 2 THEN '{"title":"","source":"feed"}' ELSE '{"jobId":"","evaluation":{"jobId":"e' || event_id || '","team":"red"}}' END AS j FROM events)"""
+PAYLOAD_SQL = """payload AS (SELECT event_id, CASE event_id % 5
+  WHEN 0 THEN '{"jobId":"' || event_id || '","rating":' || (event_id % 13) || ',"title":"T","tags":["a","b"],"teamId":"7","teamName":"red"}'
+  WHEN 1 THEN '{"jobId":"n' || event_id || '","score":{"score":' || (event_id % 11) || ',"reasoning":"why"},"job":{"jobName":"","jobType":"Fixed","paymentVerified":true}}'
+  WHEN 2 THEN '{"title":"","price":"$5","paymentVerified":false}'
+  WHEN 3 THEN '{"score":{"score":3},"title":"flat","description":"d","scoreValue":4}'
+  ELSE '{"jobId":"","score":{"score":8},"job":{"jobName":"J","descriptionSnippet":"s","clientRating":4.5}}' END AS j FROM events)"""
 
 
 def payloads(t):
-    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
+    k, i = F.col("event_id") % 5, F.col("event_id").cast("string")
     j = (
-        F.when(k == 0, F.concat(F.lit('{"jobId":"'), i, F.lit('","rating":'), (F.col("event_id") % 13).cast("string"), F.lit(',"title":"T"}')))
-        .when(k == 1, F.concat(F.lit('{"evaluation":{"jobId":"'), i, F.lit('","rating":"high","status":""}}')))
-        .when(k == 2, F.lit('{"title":"","source":"feed"}'))
-        .otherwise(F.concat(F.lit('{"jobId":"","evaluation":{"jobId":"e'), i, F.lit('","team":"red"}}')))
+        F.when(k == 0, F.concat(F.lit('{"jobId":"'), i, F.lit('","rating":'), (F.col("event_id") % 13).cast("string"), F.lit(',"title":"T","tags":["a","b"],"teamId":"7","teamName":"red"}')))
+        .when(k == 1, F.concat(F.lit('{"jobId":"n'), i, F.lit('","score":{"score":'), (F.col("event_id") % 11).cast("string"), F.lit(',"reasoning":"why"},"job":{"jobName":"","jobType":"Fixed","paymentVerified":true}}')))
+        .when(k == 2, F.lit('{"title":"","price":"$5","paymentVerified":false}'))
+        .when(k == 3, F.lit('{"score":{"score":3},"title":"flat","description":"d","scoreValue":4}'))
+        .otherwise(F.lit('{"jobId":"","score":{"score":8},"job":{"jobName":"J","descriptionSnippet":"s","clientRating":4.5}}'))
     )
     return t.events.select("event_id", j.alias("j"))
 
 
 @query(
-    "payload_normalised", "JSON FL7",
-    f"""WITH {PAYLOAD_SQL}, x AS (SELECT event_id, j, nullif(coalesce(nullif(j ->> '$.evaluation.jobId', ''), j ->> '$.jobId'), '') AS job_id FROM payload)
-SELECT event_id, job_id, coalesce(nullif(j ->> '$.title', ''), 'Untitled') AS title, TRY_CAST(coalesce(j ->> '$.evaluation.rating', j ->> '$.rating') AS DOUBLE) AS rating,
-  coalesce(nullif(j ->> '$.evaluation.status', ''), 'pending') AS status, j ->> '$.evaluation.team' AS team, j ->> '$.source' AS source FROM x""",
+    "payload_normalised", "JSON",
+    f"""WITH {PAYLOAD_SQL}, x AS (SELECT event_id, j, event_id % 5 AS k FROM payload)
+SELECT event_id, nullif(j ->> '$.jobId', '') AS job_id, CASE k WHEN 0 THEN 'T' WHEN 3 THEN 'flat' WHEN 4 THEN 'J' ELSE '' END AS title, CASE k WHEN 3 THEN 'd' WHEN 4 THEN 's' ELSE '' END AS description, '' AS url,
+  CASE WHEN k = 1 THEN 'Fixed' ELSE '' END AS job_type, CASE WHEN k = 2 THEN '$5' ELSE '' END AS price, '' AS country, '' AS amount_spent, '' AS posted_at, '' AS experience_level, CASE WHEN k = 1 THEN 'why' ELSE '' END AS score_reasoning,
+  CASE k WHEN 0 THEN nullif(event_id % 13, 0) WHEN 1 THEN nullif(event_id % 11, 0) WHEN 4 THEN 8 END::DOUBLE AS rating, CASE k WHEN 0 THEN nullif(event_id % 13, 0) WHEN 1 THEN nullif(event_id % 11, 0) WHEN 3 THEN 4 WHEN 4 THEN 8 END::DOUBLE AS score_value,
+  CASE WHEN k = 4 THEN 4.5 END::DOUBLE AS client_rating, k = 1 AS payment_verified, CASE WHEN k = 0 THEN '["a","b"]' ELSE '[]' END AS tags, CASE WHEN k = 0 THEN '7' END AS team_id, CASE WHEN k = 0 THEN 'red' END AS team_name FROM x""",
 )
 def _(t):
     return payloads(t).select("event_id", P.evaluation(F.col("j")).alias("e")).select("event_id", "e.*")
 
 
 @query(
-    "payload_problems", "JSON",
-    f"""WITH {PAYLOAD_SQL}, r AS (SELECT event_id, j, coalesce(nullif(j ->> '$.evaluation.jobId', ''), nullif(j ->> '$.jobId', '')) AS job_id, coalesce(j ->> '$.evaluation.rating', j ->> '$.rating') AS raw FROM payload)
-SELECT event_id, concat_ws('; ', CASE WHEN job_id IS NULL THEN 'jobId is missing' END, CASE WHEN raw IS NOT NULL AND TRY_CAST(raw AS DOUBLE) IS NULL THEN 'rating is no number' END,
-  CASE WHEN TRY_CAST(raw AS DOUBLE) NOT BETWEEN 1 AND 10 THEN 'rating is not within 1 and 10' END) AS problems,
-  list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS fields FROM r""",
+    "payload_findings", "JSON",
+    f"""WITH {PAYLOAD_SQL} SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 'neither jobId nor title' ELSE '' END AS errors,
+  CASE event_id % 5 WHEN 0 THEN 'description is missing; teamId goes before teamName' WHEN 1 THEN 'title is missing; description is missing' WHEN 2 THEN 'title is missing; description is missing' ELSE '' END AS warnings,
+  list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS fields FROM payload""",
 )
 def _(t):
-    fields = F.array_join(F.sort_array(F.json_object_keys("j")), ",")
-    return payloads(t).select("event_id", F.array_join(P.problems(F.col("j")), "; ").alias("problems"), fields.alias("fields"))
+    found = payloads(t).select("event_id", P.evaluation_findings(F.col("j")).alias("f"), F.array_join(F.sort_array(F.json_object_keys("j")), ",").alias("fields"))
+    return found.select("event_id", F.array_join("f.errors", "; ").alias("errors"), F.array_join("f.warnings", "; ").alias("warnings"), "fields")
 
 
 @query(
     "payload_upsert", "JSON SK3 JN13",
-    f"""WITH {PAYLOAD_SQL}, n AS (SELECT coalesce(nullif(j ->> '$.evaluation.jobId', ''), nullif(j ->> '$.jobId', '')) AS id, nullif(j ->> '$.title', '') AS title, j ->> '$.evaluation.team' AS team FROM payload),
-o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, 'blue' AS team FROM orders)
+    f"""WITH {PAYLOAD_SQL}, n AS (SELECT nullif(j ->> '$.jobId', '') AS id, CASE WHEN event_id % 5 = 0 THEN 'T' END AS title, j ->> '$.teamName' AS team FROM payload),
+o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'blue' END AS team FROM orders)
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.title, o.title) AS title, coalesce(o.team, n.team) AS team FROM o FULL JOIN (SELECT * FROM n WHERE id IS NOT NULL) n ON o.id = n.id""",
 )
 def _(t):
     """Jobs by id: filled fields overwrite, but the team that a job has stays."""
-    new = payloads(t).select(P.pick(F.col("j"), "$.evaluation.jobId", "$.jobId").alias("id"), P.pick(F.col("j"), "$.title").alias("title"), P.pick(F.col("j"), "$.evaluation.team").alias("team")).where("id is not null")
-    old = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("blue").alias("team"))
+    e = payloads(t).select(P.evaluation(F.col("j")).alias("e")).where("e.job_id is not null")
+    new = e.select(F.col("e.job_id").alias("id"), S.blank_to_null(F.col("e.title")).alias("title"), F.col("e.team_name").alias("team"))
+    old = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, "blue").alias("team"))
     joined = old.alias("o").join(new.alias("n"), F.col("o.id") == F.col("n.id"), "full_outer")
     return joined.select(F.coalesce("n.id", "o.id").alias("id"), F.coalesce("n.title", "o.title").alias("title"), F.coalesce("o.team", "n.team").alias("team"))
 
 
+#: Payloads of a job feed, as no table holds any; the SQL gives the rows that they have to become.
+FEED = [
+    (1, '{"type":"x","data":{"teamName":"red","job":{"ciphertext":"~01","title":"A","budget":{"type":1,"fixed":500},"client":{"location":{"country":"DE"},"paymentVerified":true,"stats":{"totalSpent":12.5}},"skills":[{"name":"sql"},{"name":"spark"}]}}}'),
+    (2, '{"data":{"job":{"title":"","description":"d","budget":{"type":2,"hourlyMin":20,"hourlyMax":40}}}}'),
+    (3, '{"data":{"job":{"ciphertext":"~03","budget":{"type":2,"hourlyMin":15,"hourlyMax":0}}}}'),
+    (4, '{"data":{"teamName":"x"}}'),
+    (5, '{"type":"y"}'),
+]
+
+
+@query(
+    "feed_jobs", "JSON",
+    """SELECT * FROM (VALUES (1, 'A', '', 'https://jobs.example.com/~01', 'Fixed', '$500 Fixed', 'DE', true, 12.5::DOUBLE, '["sql","spark"]', 'red', NULL), (2, '', 'd', '', 'Hourly', '$20-$40/hr', '', false, 0::DOUBLE, '[]', '', 'ciphertext is missing'),
+  (3, '', '', 'https://jobs.example.com/~03', 'Hourly', '$15+/hr', '', false, 0::DOUBLE, '[]', '', NULL), (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'job is missing'), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'data is missing'))
+AS v(id, title, description, url, job_type, price, country, payment_verified, total_spent, skills, team_name, error)""",
+)
+def _(t):
+    """The expected rows are worked out by hand."""
+    j = F.col("j")
+    return t.frame(FEED, "id int, j string").select("id", P.feed_job(j, "https://jobs.example.com/").alias("f"), P.feed_errors(j).alias("error")).select("id", "f.*", "error")
+
+
 @query("payload_props", "JSON", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props ->> '$.k' AS BIGINT) + 1 AS next_k FROM events")
 def _(t):
     variant = F.parse_json("props")
@@ -223,20 +252,25 @@ def _(t):
     return t.events.select("event_id", k.alias("k"), (k + 1).alias("next_k"))
 
 
-@query("price_texts", "JSON", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'Not specified' WHEN p_type = 'PROMO' THEN '$' || printf('%.2f', p_retailprice) || '/hr' ELSE '$' || printf('%.2f', p_retailprice) END AS price FROM part")
+@query("price_texts", "JSON", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$' || p_size || ' Fixed' WHEN 1 THEN '$' || p_size || '-$' || (p_size + 5) || '/hr' WHEN 2 THEN '$' || p_size || '+/hr' ELSE '' END AS price FROM part")
 def _(t):
-    amount = F.when(F.col("p_size") <= 45, F.col("p_retailprice"))
-    return t.part.select("p_partkey", P.price(amount, F.when(F.col("p_type") == "PROMO", "hourly").otherwise("fixed")).alias("price"))
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    kind = F.when(k == 0, "1").when(k == 3, "3").otherwise("2")
+    return t.part.select("p_partkey", P.price(kind, size.cast("string"), size.cast("string"), F.when(k == 1, (size + 5).cast("string"))).alias("price"))
 
 
 @query(
     "error_classes", "JSON SM2",
-    """WITH c AS (SELECT event_id, value, CASE event_type WHEN 'signup' THEN 'authentication' WHEN 'purchase' THEN 'database' WHEN 'view' THEN 'network' ELSE 'unknown' END AS category FROM events)
-SELECT event_id, category, CASE WHEN category = 'database' OR value * 10 >= 500 THEN 'critical' WHEN category = 'authentication' OR value * 10 >= 400 THEN 'high' ELSE 'medium' END AS severity FROM c""",
+    """WITH c AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'database' WHEN 1 THEN 'validation' WHEN 2 THEN 'authentication' WHEN 3 THEN CASE WHEN value > 30 THEN 'validation' ELSE 'unknown' END WHEN 4 THEN 'file_operation' WHEN 5 THEN 'external_service' WHEN 6 THEN 'database' ELSE 'unknown' END AS category FROM events)
+SELECT event_id, category, CASE category WHEN 'database' THEN 'high' WHEN 'validation' THEN 'low' WHEN 'file_operation' THEN 'high' WHEN 'external_service' THEN 'high' ELSE 'medium' END AS severity FROM c""",
 )
 def _(t):
-    category = P.error_category(F.col("event_type"))
-    return t.events.select("event_id", category.alias("category"), P.error_severity(category, F.col("value") * 10).alias("severity"))
+    k = (F.col("event_id") % 8).cast("int")
+    listed = lambda xs: F.get(F.array(*map(F.lit, xs)), k)
+    name = listed(["MongoServerError", "CastError", "TokenExpiredError", "ValidationError", "Error", "Error", "MongoError", "Error"])
+    code = listed([None, None, "ENOENT", None, "EACCES", "ETIMEDOUT", "ECONNREFUSED", "EPIPE"])
+    category = P.error_category(name, code, F.col("value") > 30)
+    return t.events.select("event_id", category.alias("category")).withColumn("severity", P.error_severity(F.col("category")))
 
 
 @query(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def parser_of(name: Column) -> Column:
-    """Which parser a file name asks for."""
-    ext = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1)))
-    return F.when(ext == "pdf", "pdf").when(ext.isin("docx", "doc"), "docx").when(ext.isin("pptx", "ppt"), "pptx").when(ext.isin("txt", "md", "html"), "text").otherwise("unsupported")
+    """Which parser the last part of a file name asks for."""
+    ext = F.lower(F.substring_index(name, ".", -1))
+    return F.when(ext.isin("pdf", "docx", "pptx"), ext).otherwise("unsupported")
 
 
 def slide_text(xml: Column) -> Column:
@@ -17,14 +17,13 @@ def slide_text(xml: Column) -> Column:
     return F.array_join(F.regexp_extract_all(xml, F.lit(r"<a:t[^>]*>([^<]*)</a:t>"), F.lit(1)), " ")
 
 
-#: What an older status became.
-STATUS = {"posted": "published", "scheduled": "ready", "idea": "draft"}
+#: What an older status became; all others are drafts.
+STATUS = {"posted": "published", "ready": "ready"}
 
 
 def migrated(old: DataFrame) -> DataFrame:
     """id, status, platform, text to id, status, platforms (an array), content (a map by platform)."""
-    status = F.col("status")
-    renamed = None
+    renamed = F.lit("draft")
     for a, b in STATUS.items():
-        renamed = F.when(status == a, b) if renamed is None else renamed.when(status == a, b)
-    return old.select("id", renamed.otherwise(status).alias("status"), F.array("platform").alias("platforms"), F.create_map("platform", "text").alias("content"))
+        renamed = F.when(F.col("status") == a, b).otherwise(renamed)
+    return old.select("id", renamed.alias("status"), F.array("platform").alias("platforms"), F.create_map("platform", "text").alias("content"))
