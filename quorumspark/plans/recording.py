@@ -325,11 +325,13 @@ def _(t):
 
 @query(
     "confidence_routing", "SM5",
-    "SELECT event_id, CASE WHEN value > 1 THEN least(value, 100) / 100 ELSE value END AS confidence, CASE WHEN CASE WHEN value > 1 THEN least(value, 100) / 100 ELSE value END >= 0.5 THEN 'mapped' ELSE 'unmapped' END AS route FROM events",
+    "SELECT event_id, value / 100 AS confidence, CASE WHEN event_type <> 'error' AND value / 100 >= 0.5 THEN 'mapped' WHEN event_type <> 'error' THEN 'low confidence' ELSE 'no match' END AS route FROM events",
 )
 def _(t):
-    c = F.when(F.col("value") > 1, F.least(F.col("value"), F.lit(100.0)) / 100).otherwise(F.col("value"))
-    return t.events.select("event_id", c.alias("confidence"), F.when(c >= 0.5, "mapped").otherwise("unmapped").alias("route"))
+    """Confidences come as percentages."""
+    c = F.coalesce(F.col("value"), F.lit(0.0)) / 100
+    matched = F.col("event_type") != "error"
+    return t.events.select("event_id", c.alias("confidence"), F.when(matched & (c >= 0.5), "mapped").when(matched, "low confidence").otherwise("no match").alias("route"))
 
 
 @query("repeated_line_keys", "DQ", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
