@@ -118,21 +118,32 @@ def escaped(x: Column) -> Column:
     return x
 
 
+def item_text(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(line, "^[•‣◦⁃∙\\-*]\\s*", ""), "^\\d+[.)]\\s*", "")
+
+
 def to_html(lines: DataFrame) -> DataFrame:
-    """doc, html: headings, lists (neighbouring items in one) and paragraphs (neighbouring lines in one)."""
+    """doc, html: headings, lists (items with at most blank lines between them in one) and paragraphs (neighbouring
+    lines in one)."""
     line = trimmed(F.col("line"))
     level = header_level(line)
     kind = F.when(line == "", "blank").when(level > 0, "header").when(line.rlike(LIST_ITEM), "item").otherwise("text")
     w = Window.partitionBy("doc").orderBy("n")
-    marked = lines.select("doc", "n", line.alias("line"), kind.alias("kind"), level.alias("level"))
-    begins = (F.col("kind") == "header") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
-    runs = marked.withColumn("run", F.sum(begins.cast("int")).over(w)).where("kind <> 'blank'")
-    item = F.concat(F.lit("<li>"), escaped(F.regexp_replace("line", LIST_ITEM, "")), F.lit("</li>"))
-    g = runs.groupBy("doc", "run", "kind").agg(F.min("n").alias("n"), F.min("level").alias("level"), F.array_sort(F.collect_list(F.struct("n", F.when(F.col("kind") == "item", item).otherwise(escaped(F.col("line"))).alias("x")))).alias("xs"))
+    marked = lines.select("doc", "n", line.alias("line"), kind.alias("kind"), level.alias("level")).withColumn("after_blank", F.lag("kind").over(w).eqNullSafe("blank")).where("kind <> 'blank'")
+    begins = (F.col("kind") == "header") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w)) | ((F.col("kind") == "text") & F.col("after_blank"))
+    runs = marked.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(w))
+    shown = F.when(F.col("kind") == "item", F.concat(F.lit("<li>"), escaped(item_text(F.col("line"))), F.lit("</li>"))).otherwise(escaped(F.col("line")))
+    g = runs.groupBy("doc", "run", "kind").agg(F.min("n").alias("n"), F.min("level").alias("level"), F.array_sort(F.collect_list(F.struct("n", shown.alias("x")))).alias("xs"))
     xs = F.transform("xs", lambda x: x["x"])
     tag = F.concat(F.lit("h"), F.col("level").cast("string"), F.lit(">"))
-    block = F.when(F.col("kind") == "header", F.concat(F.lit("<"), tag, F.array_join(xs, " "), F.lit("</"), tag)).when(F.col("kind") == "item", F.concat(F.lit("<ul>\n"), F.array_join(xs, "\n"), F.lit("\n</ul>"))).otherwise(F.concat(F.lit("<p>"), F.array_join(xs, " "), F.lit("</p>")))
-    return g.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("html"))
+    block = (
+        F.when(F.col("kind") == "header", F.concat(F.lit("<"), tag, F.array_join(xs, " "), F.lit("</"), tag))
+        .when(F.col("kind") == "item", F.concat(F.lit("<ul>\n"), F.array_join(xs, "\n"), F.lit("\n</ul>")))
+        .otherwise(F.concat(F.lit("<p>"), F.array_join(xs, " "), F.lit("</p>")))
+    )
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n")
+    # a list at the very end is closed before its line end
+    return g.groupBy("doc").agg(html.alias("html")).withColumn("html", F.regexp_replace("html", r"\n</ul>\z", "</ul>\n"))
 
 
 def promoted(html: Column) -> Column:

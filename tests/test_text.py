@@ -78,8 +78,10 @@ def test_references_in_order(spark):
 
 def test_html_blocks(spark):
     rows = [(1, i, x) for i, x in enumerate(["STANDARD 1: AIMS", "one <b>", "two & three", "", "- first", "* second", "after", "12"])]
-    got = X.to_html(spark.createDataFrame(rows, "doc int, n int, line string")).first()["html"]
-    assert got == "<h1>STANDARD 1: AIMS</h1>\n<p>one &lt;b&gt; two &amp; three</p>\n<ul>\n<li>first</li>\n<li>second</li>\n</ul>\n<p>after 12</p>"
+    rows += [(2, i, x) for i, x in enumerate(["a", "", "b", "- 1. x", " ", "2) y"])]
+    both = {r["doc"]: r["html"] for r in X.to_html(spark.createDataFrame(rows, "doc int, n int, line string")).collect()}
+    assert both[2] == "<p>a</p>\n<p>b</p>\n<ul>\n<li>x</li>\n<li>y</li></ul>\n"
+    assert both[1] == "<h1>STANDARD 1: AIMS</h1>\n<p>one &lt;b&gt; two &amp; three</p>\n<ul>\n<li>first</li>\n<li>second</li>\n</ul>\n<p>after 12</p>"
 
 
 def test_html_sections(spark):
