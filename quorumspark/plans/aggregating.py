@@ -192,13 +192,17 @@ def _(t):
 
 @query(
     "missing_items", "AG17",
-    f"""WITH {COUNTS_SQL} SELECT standard, coalesce(string_agg(spec || ' has no vote', ',' ORDER BY spec) FILTER (WHERE n_votes = 0), '') AS missing,
-  count(*) FILTER (WHERE n_votes = 0) = 0 AS ready FROM agreed GROUP BY 1""",
+    f"""WITH {COUNTS_SQL}, m AS (SELECT standard, string_agg('Standard ' || standard || ', Spec ' || spec, ';' ORDER BY spec) FILTER (WHERE consensus IS NULL) AS specs FROM agreed GROUP BY 1)
+SELECT standard, concat_ws(';', specs, CASE WHEN standard % 5 = 0 THEN 'Final recommendation' END, CASE WHEN standard % 7 = 0 THEN 'Final strengths' END) AS missing, specs IS NULL AND standard % 5 <> 0 AND standard % 7 <> 0 AS ready FROM m""",
 )
 def _(t):
-    nested = C.consensus(V.votes(t), ["standard", "spec"]).groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("spec", "n_votes"))).alias("specs"))
-    missing = F.transform(F.filter("specs", lambda s: s["n_votes"] == 0), lambda s: F.concat(s["spec"].cast("string"), F.lit(" has no vote")))
-    return nested.select("standard", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("ready"))
+    """Sections without a determination, and what of the final assessment is null or blank."""
+    nested = C.consensus(V.votes(t), ["standard", "spec"]).groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("spec", "consensus"))).alias("specs"))
+    final = nested.withColumns({"recommendation": F.when(F.col("standard") % 5 != 0, "accept"), "strengths": F.when(F.col("standard") % 7 != 0, "many").otherwise(" \n")})
+    sections = F.transform(F.filter("specs", lambda s: s["consensus"].isNull()), lambda s: F.concat(F.lit("Standard "), F.col("standard").cast("string"), F.lit(", Spec "), s["spec"].cast("string")))
+    rest = F.array_compact(F.array(F.when(F.col("recommendation").isNull(), "Final recommendation"), F.when(F.coalesce(S.trimmed(F.col("strengths")), F.lit("")) == "", "Final strengths")))
+    missing = F.concat(sections, rest)
+    return final.select("standard", F.array_join(missing, ";").alias("missing"), (F.size(missing) == 0).alias("ready"))
 
 
 def status_maps(t):
