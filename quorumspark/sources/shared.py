@@ -17,5 +17,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/quorumspark/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet. What an application writes there lies in a folder of its
+    own, which can go when the application has ended."""
+    return f"{shared_dir(spark)}/quorumspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
