@@ -5,39 +5,28 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-#: For bytes.translate and str.translate: A-Z to a-z, all else unchanged.
+#: For bytes.translate: A-Z to a-z, all else unchanged.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-LOWER_CHARS = {ord(c): ord(c) + 32 for c in _UPPER}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so that later steps neither repeat
     the work before nor depend on the executors that did it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quorumspark/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
