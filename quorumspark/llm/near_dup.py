@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     whole = weighed.join(sums.where(c("n") <= NODE), "root").select(c("root").alias("grp"), c("id").alias("rep"), "weight")
     within = leaves.join(weighed.join(large.select("root"), "root").select(c("id").alias("rep"), "root", "n_shingles"), "rep").select(F.xxhash64("node", "root").alias("grp"), "rep", "n_shingles").distinct()
     within = within.join(within.groupBy("grp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")).where("n > 1"), "grp").select("grp", "rep", "weight")
-    compared = blocks(whole.unionByName(within).select("grp", "rep", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts")))
+    # written first: where candidates are few, Spark then sends them to the texts instead of shuffling all texts
+    compared = keep(blocks(whole.unionByName(within).select("grp", "rep", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts"))), "compared")
     texts = docs.join(compared, docs["doc_id"] == compared["rep"]).select("grp", "rep", "text")
     links = texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(lambda parts: confirmed(parts, k, percent), "a long, b long")
     classes = components(links)
