@@ -13,6 +13,7 @@ are scanned like any other.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,9 @@ KINDS = ["assign", "access", "hex", "novel"]
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie|hmac|salt|cert", re.ASCII | re.IGNORECASE)
 #: Code points between a sensitive word and a candidate at most.
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+CHARACTER = re.compile(r"[A-Za-z0-9+/_=-]")
+CANDIDATE = re.compile(rf"{CHARACTER.pattern}{{{LEAST_CANDIDATE},}}")
 #: Changes between letters and digits that a candidate has at least; names with a number at their end have fewer.
 CHANGES = 3
 CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -74,20 +77,28 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, last = [], -1
+    found, last = [], 0
+    starts: list[int] = []  # of the taken stretches, merged and in order
+    ends: list[int] = []
+    for a, _, b in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.start(), last), min(len(text), word.end() + REACH + 4096)):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            if a > 0 and CANDIDATE.match(text[a - 1] * 16) and a == max(word.start(), last):
-                continue  # it begins within a longer string that was looked at
-            last = b
-            value = m.group()
-            if len(CHANGE.findall(value)) >= CHANGES and not any(a < e and s < b for s, _, e in taken):
-                before, after = text[max(0, a - SURROUNDINGS) : a], text[b : b + SURROUNDINGS]
-                if marginal_bytes(value, before, after) > NOVELTY * len(value):
-                    found.append((a, 3, b))
+        at, reach = max(word.start(), last), word.end() + REACH
+        # whether a candidate begins within reach shows in its first characters; its end may lie further on
+        while (begun := CANDIDATE.search(text, at, reach + LEAST_CANDIDATE)) and begun.start() <= reach:
+            a, b = CANDIDATE.match(text, begun.start()).span()
+            rest = a == at and a > last and CHARACTER.match(text[a - 1])  # the rest of a string that began earlier
+            at = last = b
+            value = text[a:b]
+            near = bisect_right(ends, a)
+            if rest or len(CHANGE.findall(value)) < CHANGES or (near < len(starts) and starts[near] < b):
+                continue
+            if marginal_bytes(value, text[max(0, a - SURROUNDINGS) : a], text[b : b + SURROUNDINGS]) > NOVELTY * len(value):
+                found.append((a, 3, b))
     return found
 
 
