@@ -50,7 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, in place of its text."""
-    encoded = bpe.encode(docs, bpe.read_definition(bpe.tokenizer_path()))
+    encoded = bpe.encode(docs, bpe.read_definition(bpe.tokenizer_path()), remember=False)
     return encoded.select(*(c for c in docs.columns if c not in ("text", "ids", "n_tokens")), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

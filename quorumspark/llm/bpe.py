@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, trim_memory
+from .common import small_batches, table, trim_memory
 
 #: Fixed value: the pattern that cuts a text into words before merging (of the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -235,16 +235,18 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", remember: bool = True) -> DataFrame:
     """docs with the array column ids: the tokens of the whole text, as the tokenizers library gives them with
-    add_special_tokens=False. definition is the tokenizer's JSON (see read_definition)."""
+    add_special_tokens=False. definition is the tokenizer's JSON (see read_definition). Without remember, Python
+    workers forget tokenizer and words after each task: slower, but they leave the memory to other work."""
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(definition)
     rest = docs.drop(ids) if ids in docs.columns and ids != text else docs
     names = [c for c in rest.columns if c != ids]
     schema = T.StructType([*(rest.schema[c] for c in names), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shipped.value)
         for whole in batches:
             for batch in _pieces(whole, text):
@@ -253,6 +255,11 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
                 values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(offsets, values)], names=[*names, ids])
         c.older = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        if not remember:
+            _codecs.clear()
         trim_memory()
 
     return rest.mapInArrow(run, schema)

@@ -45,6 +45,24 @@ def doc_bucket(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python a thousand at a time, unless the session says otherwise: texts are long, and batches of
+    Spark's default of 10,000 fill both sides' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
+def tidily(work):
+    """A function of batches that gives memory back when it has ended."""
+
+    def run(parts):
+        yield from work(parts)
+        trim_memory()
+
+    return run
+
+
 def trim_memory() -> None:
     """Returns freed memory to the system, as a Python worker lives on idle after its task."""
     import pyarrow as pa

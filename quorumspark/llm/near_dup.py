@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_tables, materialize, table, trim_memory
+from .common import LOWER_BYTES, drop_tables, materialize, small_batches, table, tidily
 from .graph import components
 
 #: Minwise tokens in a signature, of 32 bits each.
@@ -129,9 +129,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig"])
                 out.insert(0, "doc_id", piece["doc_id"].to_numpy())
                 yield out
-        trim_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, sum1 long, sum2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, n_shingles long, sum1 long, sum2 long, sig binary")
 
 
 def grouped(parts: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -187,7 +186,6 @@ def candidates(parts: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataF
             yield pd.DataFrame(found, columns=["a", "b"])
             found = []
     yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    trim_memory()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -234,7 +232,6 @@ def confirmed(parts: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[p
         np.fill_diagonal(linked, True)
         if found := stars(linked, ids):
             yield pd.DataFrame(found, columns=["a", "b"])
-    trim_memory()
 
 
 def token(at) -> F.Column:
@@ -281,6 +278,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id (the least linked doc_id), kept."""
     c = F.col
+    small_batches(docs.sparkSession)
     tables: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -297,7 +295,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     leaves, held = tree_leaves(reps)
     tables += held
     least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / TOKENS) ** 0.5
-    found = leaves.join(reps, "rep").repartition("node").sortWithinPartitions("node").mapInPandas(lambda parts: candidates(parts, least), "a long, b long").distinct()
+    found = leaves.join(reps, "rep").repartition("node").sortWithinPartitions("node").mapInPandas(tidily(lambda parts: candidates(parts, least)), "a long, b long").distinct()
     groups = keep(components(found), "candidates")
 
     weighed = groups.join(members.where("sig is not null").select(c("rep").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
@@ -309,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # written first: where candidates are few, Spark then sends them to the texts instead of shuffling all texts
     compared = keep(blocks(whole.unionByName(within).select("grp", "rep", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts"))), "compared")
     texts = docs.join(compared, docs["doc_id"] == compared["rep"]).select("grp", "rep", "text")
-    links = texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(lambda parts: confirmed(parts, k, percent), "a long, b long")
+    links = texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(tidily(lambda parts: confirmed(parts, k, percent)), "a long, b long")
     classes = components(links)
 
     drop_tables(*tables)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 #: The patterns of the fixed kinds and the least lengths of what they catch.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -111,6 +111,7 @@ def spans_of(text: str | None) -> list[dict]:
 
 def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with the array column out of (kind, start, end), by start and then kind in the order of KINDS."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != out]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.ArrayType(SPAN))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -128,6 +129,8 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of the text that spans cover replaced by mark; other columns stay."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts):
         def one(t):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, doc_bucket, drop_tables, materialize, table
+from .common import LOWER_BYTES, doc_bucket, drop_tables, materialize, small_batches, table
 
 #: Characters of context and character together.
 ORDER = 4
@@ -192,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, calibrate_on: Co
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out: 0 to 1, higher for toxic texts."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
