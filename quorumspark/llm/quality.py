@@ -135,7 +135,9 @@ def references(measured: DataFrame, lang: str = "lang", column: str = "measured"
     n_common = 1 + max(map(len, COMMON.values()))
     means = [F.round(F.avg(F.get("a", F.lit(i))), 12).alias(f"a{i}") for i in range(7)] + [F.round(F.avg(F.get("b", F.lit(i))), 12).alias(f"b{i}") for i in range(n_common)]
     listed = lambda k, n: F.array_compact(F.array(*(F.col(f"{k}{i}") for i in range(n))))
-    return passing.groupBy("lang").agg(*means).select("lang", listed("a", 7).alias("ref_classes"), listed("b", n_common).alias("ref_common"))
+    refs = passing.groupBy("lang").agg(*means).select("lang", listed("a", 7).alias("ref_classes"), listed("b", n_common).alias("ref_common"))
+    # written: Spark sees how small it is and sends it to the documents instead of dealing them out by language
+    return materialize(refs, "references")
 
 
 def distance(p: Column, q: Column) -> Column:
