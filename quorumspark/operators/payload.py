@@ -21,49 +21,76 @@ def number(payload: Column, *paths: str) -> Column:
     return F.coalesce(*(F.when(F.coalesce(one(p).try_cast("double") != 0, F.lit(True)), one(p)) for p in paths))
 
 
-def is_nested(payload: Column) -> Column:
-    """Whether an evaluation comes as a score and a job object."""
-    return given(payload, "$.score").isNotNull() & given(payload, "$.job").isNotNull()
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-#: Output name, path of the nested layout, path of the flat one.
+def filled(x: Column) -> Column:
+    return F.when(~x.isin("", "false", "null"), x)
+
+
+def nonzero(x: Column) -> Column:
+    n = filled(x).try_cast("double")
+    return F.when(n != 0, n)
+
+
+#: Output name, field of the nested layout, field of the flat one.
 TEXT_FIELDS = [
-    ("title", "$.job.jobName", "$.title"), ("description", "$.job.descriptionSnippet", "$.description"), ("url", "$.job.jobDetailUrl", "$.url"),
-    ("job_type", "$.job.jobType", "$.jobType"), ("price", "$.job.price", "$.price"), ("country", "$.job.country", "$.country"),
-    ("amount_spent", "$.job.amountSpent", "$.amountSpent"), ("posted_at", "$.job.postedAt", "$.postedAt"),
-    ("experience_level", "$.job.experienceLevel", "$.experienceLevel"), ("score_reasoning", "$.score.reasoning", "$.scoreReasoning"),
+    ("title", "job.jobName", "title"), ("description", "job.descriptionSnippet", "description"), ("url", "job.jobDetailUrl", "url"),
+    ("job_type", "job.jobType", "jobType"), ("price", "job.price", "price"), ("country", "job.country", "country"),
+    ("amount_spent", "job.amountSpent", "amountSpent"), ("posted_at", "job.postedAt", "postedAt"),
+    ("experience_level", "job.experienceLevel", "experienceLevel"), ("score_reasoning", "score.reasoning", "scoreReasoning"),
 ]
 
+#: All fields that either layout has, as texts.
+EVALUATION = (
+    "jobId string, title string, description string, url string, rating string, jobType string, price string, country string, paymentVerified string, clientRating string, amountSpent string, tags string, "
+    "postedAt string, experienceLevel string, scoreValue string, scoreReasoning string, teamId string, teamName string, score struct<score: string, reasoning: string>, job struct<jobName: string, "
+    "descriptionSnippet: string, jobDetailUrl: string, jobType: string, price: string, country: string, paymentVerified: string, clientRating: string, amountSpent: string, tags: string, postedAt: string, experienceLevel: string>"
+)
+
 
 def evaluation(payload: Column) -> Column:
-    """One struct from an evaluation in either layout."""
-    nested = is_nested(payload)
-    pick = lambda a, *b: F.when(nested, given(payload, a)).otherwise(given(payload, *b))
-    amount = lambda a, *b: F.when(nested, number(payload, a)).otherwise(number(payload, *b)).try_cast("double")
-    texts = [F.coalesce(pick(a, b), F.lit("")).alias(name) for name, a, b in TEXT_FIELDS]
-    return F.struct(
-        given(payload, "$.jobId").alias("job_id"),
-        *texts,
-        amount("$.score.score", "$.rating").alias("rating"),
-        amount("$.score.score", "$.scoreValue", "$.rating").alias("score_value"),
-        amount("$.job.clientRating", "$.clientRating").alias("client_rating"),
-        (pick("$.job.paymentVerified", "$.paymentVerified").isNotNull()).alias("payment_verified"),
-        F.coalesce(pick("$.job.tags", "$.tags"), F.lit("[]")).alias("tags"),
-        given(payload, "$.teamId").alias("team_id"),
-        given(payload, "$.teamName").alias("team_name"),
-    )
+    """One struct from an evaluation: nested (a score and a job object) or flat. The text is parsed once."""
+
+    def made(p: Column) -> Column:
+        nested = p["score"].isNotNull() & p["job"].isNotNull()
+
+        def field(path: str) -> Column:
+            x = p
+            for name in path.split("."):
+                x = x[name]
+            return x
+
+        pick = lambda f, a, *b: F.when(nested, f(field(a))).otherwise(F.coalesce(*(f(field(x)) for x in b)))
+        return F.struct(
+            filled(p["jobId"]).alias("job_id"),
+            *(F.coalesce(pick(filled, a, b), F.lit("")).alias(name) for name, a, b in TEXT_FIELDS),
+            pick(nonzero, "score.score", "rating").alias("rating"),
+            pick(nonzero, "score.score", "scoreValue", "rating").alias("score_value"),
+            pick(nonzero, "job.clientRating", "clientRating").alias("client_rating"),
+            pick(filled, "job.paymentVerified", "paymentVerified").isNotNull().alias("payment_verified"),
+            F.coalesce(pick(filled, "job.tags", "tags"), F.lit("[]")).alias("tags"),
+            filled(p["teamId"]).alias("team_id"),
+            filled(p["teamName"]).alias("team_name"),
+        )
+
+    return let(F.from_json(payload, EVALUATION), made)
 
 
 def evaluation_findings(payload: Column) -> Column:
     """errors and warnings, as arrays of texts, of an evaluation."""
-    e = evaluation(payload)
     listed = lambda *xs: F.array_compact(F.array(*xs))
-    return F.struct(
-        listed(F.when(e["job_id"].isNull() & (e["title"] == ""), "neither jobId nor title")).alias("errors"),
-        listed(
-            F.when(e["title"] == "", "title is missing"), F.when(e["description"] == "", "description is missing"),
-            F.when(e["team_id"].isNotNull() & e["team_name"].isNotNull(), "teamId goes before teamName"),
-        ).alias("warnings"),
+    return let(
+        evaluation(payload),
+        lambda e: F.struct(
+            listed(F.when(e["job_id"].isNull() & (e["title"] == ""), "neither jobId nor title")).alias("errors"),
+            listed(
+                F.when(e["title"] == "", "title is missing"), F.when(e["description"] == "", "description is missing"),
+                F.when(e["team_id"].isNotNull() & e["team_name"].isNotNull(), "teamId goes before teamName"),
+            ).alias("warnings"),
+        ),
     )
 
 
