@@ -5,12 +5,12 @@ over the vocabulary and one unknown word. The bigram weight depends on how often
 each power of two), and all weights are learnt by expectation-maximisation on counts of a part of the training
 documents (the deleted part) while the estimates come from the rest.
 
-All counts are exact and over all training documents. Unigram counts of the whole vocabulary never sit in one
-place: documents are dealt into blocks of bounded size, each block asks for the counts of the words it has, and is
-scored with these. Bigrams are kept between words of at least FREQUENT of all tokens (so 1 / FREQUENT words at most;
-all other words share one context class) where they make up at least FREQUENT_PAIR of all tokens (so
-1 / FREQUENT_PAIR pairs at most): these bounds hold for any corpus, so executors may hold them. Kept successors of a
-context are normalised among themselves, so the mixture sums to 1.
+All counts are over all training documents, and no word or pair is left out for being rare. Counts never sit in one
+place: documents are dealt into blocks of bounded size, and each block asks for the counts of the words and pairs it
+has, and is scored with these. Counts of words are exact; pairs are told apart by 64 bits of hash (among 10^9 pairs, 0.03
+collisions are to be expected). A word is a context as often as it is a token (each text begins after an end token),
+so bigram estimates are normalised by unigram counts, and the mixture sums to 1. The driver sees only histograms: the
+deleted tokens by bucket and by the ratio of their two estimates, of which the weights are learnt.
 
 A text's tokens are its words with A-Z in lower case, then one end token. Null and empty texts have the end token
 only. A null doc_id counts as the empty text when documents are dealt. Repeated rows are separate documents. Without
@@ -19,22 +19,26 @@ training tokens every estimate falls back to the uniform one.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, doc_bucket, materialize, small_batches, table
+from .common import LOWER_BYTES, doc_bucket, materialize, small_batches, table, trim_memory
 
-FREQUENT = 1e-4
-FREQUENT_PAIR = 3e-7
 #: Characters of a block of documents.
 BLOCK_CHARS = 28_000_000
 #: Held by no word, as it is white space.
 END = b"\n"
+#: Steps of the histogram of ratios for each power of two.
+STEPS, UNSEEN = 16, -(10**6)
+BUCKETS = 65
+#: Rows that go back to Spark at once, and texts whose tokens are scored at once.
+ROWS, TEXTS = 200_000, 2_000
+
 
 def tokens(text: str | None) -> list[bytes]:
     """UTF-8 of the words and the end token; bytes.split() cuts at just the white space that ends a word."""
@@ -44,7 +48,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def log_bucket(count: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
+    """0 for contexts that never occur, then one for each power of two."""
+    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64)
 
 
 def unigram_weight(kept: np.ndarray, deleted: np.ndarray, total: int, types: int) -> float:
@@ -76,35 +81,59 @@ def bigram_weights(bucket: np.ndarray, ml: np.ndarray, lower: np.ndarray, delete
     return np.where(all_deleted > 0, weights, 0.0)
 
 
-class Bigrams:
-    """Kept pairs (sorted codes before * width + after) with their probabilities, and each context's weight."""
-
-    def __init__(self, words: list[bytes], pairs: pd.DataFrame, contexts: pd.DataFrame, counts: np.ndarray, kept_total: int, types: int, weight1: float):
-        """pairs: code, kept, deleted; contexts: before, kept, deleted; counts: of each frequent word in the kept part."""
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        self.width = width = len(words) + 1
-        pairs = pairs.sort_values("code")
-        self.codes = pairs["code"].to_numpy(np.int64)
-        kept, deleted = (pairs[c].to_numpy(float) for c in ("kept", "deleted"))
-        before = self.codes // width
-        share = lambda n: n / np.maximum(np.bincount(before, n, width)[before], 1e-300)
-        context_kept, context_deleted = (np.bincount(contexts["before"], contexts[c], width) for c in ("kept", "deleted"))
-        buckets = log_bucket(context_kept)
-        n = int(buckets.max(initial=0)) + 2
-        lower = weight1 * counts[self.codes % width - 1] / max(kept_total, 1) + (1 - weight1) / (types + 1)
-        learnt = bigram_weights(buckets[before], share(kept), lower, deleted, np.bincount(buckets, context_deleted, n))
-        self.probability = share(kept + deleted)
-        has = np.bincount(before, kept + deleted, width) > 0
-        self.weight = np.where(has, learnt[log_bucket(context_kept)], 0.0)
-
-    def mix(self, before: np.ndarray, after: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        codes = before * self.width + after
-        p = np.zeros(len(codes))
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            p = np.where(self.codes[at] == codes, self.probability[at], 0.0)
-        w = self.weight[before]
-        return w * p + (1 - w) * lower
+class Block:
+    """The tokens of a block of texts as places in words, and each token's pair with the one before as a code."""
+
+    def __init__(self, texts: Iterable[str | None], words: Iterable[bytes] = ()):
+        place: dict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        place[END]  # at 0
+        for w in words:
+            place[w]
+        lists = [np.fromiter(map(place.__getitem__, tokens(t)), np.int32) for t in texts]
+        self.words = list(place)
+        self.lengths = np.array([len(x) for x in lists], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.after = np.concatenate(lists)
+        lists.clear()
+        self.codes = np.zeros(len(self.after), np.int64)
+        self.codes[1:] = self.after[:-1]  # all texts end with END, which the first one follows, too
+        self.codes *= len(place)
+        self.codes += self.after
+
+    def distinct(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The codes of the distinct pairs, in order, and how often they occur in texts of parts 1 and 2."""
+        keys = self.codes * 3
+        keys += np.repeat(parts.astype(np.int8), self.lengths)
+        keys.sort()
+        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).astype(np.int32)
+        n = np.diff(np.append(edges, np.int32(len(keys))))
+        keys = keys[edges]
+        part = (keys % 3).astype(np.int8)
+        keys //= 3
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[starts], np.add.reduceat(n * (part == 1), starts), np.add.reduceat(n * (part == 2), starts)
+
+    def hashes(self) -> np.ndarray:
+        words = np.empty(len(self.words), object)
+        words[:] = self.words
+        return pd.util.hash_array(words, categorize=False)
+
+    def pairs(self, codes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """ROWS codes at a time: where they lie, the places of both words, and hashes of the pairs."""
+        hashes = self.hashes()
+        for i in range(0, len(codes), ROWS):
+            first, second = np.divmod(codes[i : i + ROWS], len(self.words))
+            yield slice(i, i + ROWS), first, second, (hashes[first] * np.uint64(0x9E3779B97F4A7C17) + hashes[second]).view(np.int64)
+
+
+def answered(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The counts of the keys that known (keys in order, counts) holds; otherwise where it holds none."""
+    codes, n = known
+    if not len(codes):
+        return otherwise
+    at = np.minimum(np.searchsorted(codes, keys), len(codes) - 1)
+    return np.where(codes[at] == keys, n[at], otherwise)
 
 
 def score(docs: DataFrame, train: Column, deleted: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -116,17 +145,43 @@ def score(docs: DataFrame, train: Column, deleted: Column, block_chars: int = BL
     blocks = int(chars // block_chars) + 1
     dealt = docs.select("doc_id", "text", F.when(~train, 0).when(deleted, 2).otherwise(1).alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
-    def count_block(part: pd.DataFrame) -> pd.DataFrame:
-        counts = [Counter(), Counter(), Counter()]
-        for text, k in zip(part["text"], part["part"].tolist(), strict=True):
-            counts[k].update(tokens(text))
-        words = list({**counts[0], **counts[1], **counts[2]})
-        of = lambda c: np.fromiter((c.get(w, 0) for w in words), np.int64, len(words))
-        return pd.DataFrame({"word": words, "block": np.int32(part["block"].iat[0]), "kept": of(counts[1]), "deleted": of(counts[2])})
-
-    asked = dealt.groupBy("block").applyInPandas(count_block, "word binary, block int, kept long, deleted long")
-    # a word has a row for each block at most: no key is hot
-    vocabulary = materialize(asked.groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"), F.collect_list("block").alias("blocks")), "lm-vocabulary")
+    def count_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, numbers = [], []
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                parts.append(batch["part"].to_numpy())
+                numbers.append(batch["block"].iat[0])
+                yield from batch["text"]
+
+        block = Block(texts())
+        part = np.concatenate(parts)
+        token_part = np.repeat(part, block.lengths)
+        words = [np.bincount(block.after[token_part == k], minlength=len(block.words)) for k in (1, 2)]
+        del token_part
+
+        def rows(key: np.ndarray, word: list[bytes] | None, kept: np.ndarray, deleted: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"key": key, "word": word, "kept": kept, "deleted": deleted, "asker": numbers[0] * 2 + (deleted > 0)})
+
+        hashes = block.hashes().view(np.int64)
+        for i in range(0, len(hashes), ROWS):
+            cut = slice(i, i + ROWS)
+            yield rows(hashes[cut], block.words[cut], *(n[cut] for n in words))
+        codes, kept, deleted = block.distinct(part)
+        del block.codes, block.after
+        for cut, _, _, keys in block.pairs(codes):
+            yield rows(keys, None, kept[cut], deleted[cut])
+        del block, codes, kept, deleted, hashes, words
+        trim_memory()
+
+    # a word or pair has a row for each block at most: no key is hot. The key is its hash, which sorts faster than words;
+    # asker is twice the block's number, and one more where the block deletes some of it
+    asked = dealt.groupBy("block").applyInPandas(count_block, "key long, word binary, kept int, deleted int, asker int")
+    sums = asked.repartition("key", "word").groupBy("key", "word").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"), F.collect_list("asker").alias("askers"))
+    # a block knows by itself what no other block has; learning sees the deleted part only, so it asks for these, too
+    shared = (F.size("askers") > 1) & (F.col("kept") + F.col("deleted") > 0)
+    counted = materialize(sums.where(F.col("word").isNotNull() | shared | ((F.col("kept") > 0) & (F.col("deleted") > 0))), "lm-counts")
+    vocabulary = counted.where("word is not null")
 
     count = F.col("kept") + F.col("deleted")
     kept_total, deleted_total, types = (int(x or 0) for x in vocabulary.agg(F.sum("kept"), F.sum("deleted"), F.sum((count > 0).cast("long"))).first())
@@ -136,65 +191,68 @@ def score(docs: DataFrame, train: Column, deleted: Column, block_chars: int = BL
     histogram = vocabulary.where("deleted > 0").groupBy(step.alias("step")).agg((F.sum(F.col("kept") * F.col("deleted")) / F.sum("deleted")).alias("kept"), F.sum("deleted").alias("deleted")).toPandas()
     weight1 = unigram_weight(histogram["kept"].to_numpy(float), histogram["deleted"].to_numpy(float), kept_total, types)
 
-    frequent = vocabulary.where(count >= F.lit(max(1.0, FREQUENT * total))).select("word", "kept").orderBy("word").toPandas()
-    ids = {w: i + 1 for i, w in enumerate(frequent["word"])}
-    width = len(ids) + 1
-    shipped_ids = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def count_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look, end = shipped_ids.value, shipped_ids.value.get(END, 0)
-        found: list[list[np.ndarray]] = [[], []]
-        sums = [(np.empty(0, np.int64), np.empty(0, np.int64))] * 2
-
-        def fold() -> None:
-            for k in (0, 1):
-                if found[k]:
-                    codes, n = np.unique(np.concatenate(found[k]), return_counts=True)
-                    both, at = np.unique(np.concatenate([sums[k][0], codes]), return_inverse=True)
-                    sums[k] = (both, np.bincount(at, np.concatenate([sums[k][1], n]), len(both)).astype(np.int64))
-                    found[k].clear()
-
-        size = 0
-        for part in parts:
-            for text, k in zip(part["text"], part["part"].tolist(), strict=True):
-                after = np.fromiter((look.get(w, 0) for w in tokens(text)), np.int64)
-                before = np.concatenate([[end], after[:-1]])
-                found[k - 1].append(before * width + after)
-                size += len(after)
-                if size > 2_000_000:
-                    fold()
-                    size = 0
-        fold()
-        codes = np.union1d(sums[0][0], sums[1][0])
-        out = pd.DataFrame({"code": codes, "kept": 0, "deleted": 0})
-        for k, name in enumerate(("kept", "deleted")):
-            out.loc[np.searchsorted(codes, sums[k][0]), name] = sums[k][1]
-        yield out
-
-    counted = dealt.where("part > 0").select("text", "part").mapInPandas(count_pairs, "code long, kept long, deleted long").groupBy("code").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"))
-    counted = materialize(counted, "lm-pairs")
-    contexts = counted.groupBy(F.floor(F.col("code") / width).cast("long").alias("before")).agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted")).toPandas()
-    pairs = counted.where((F.pmod("code", F.lit(width)) > 0) & (F.col("kept") > 0) & (count >= F.lit(max(2.0, FREQUENT_PAIR * total)))).toPandas()
-    model = docs.sparkSession.sparkContext.broadcast(Bigrams(list(ids), pairs, contexts, frequent["kept"].to_numpy(float), kept_total, types, weight1))
+    def answers(wanted: Column, n: Column) -> DataFrame:
+        rows = counted.where(F.col("word").isNotNull() | wanted).select("key", "word", n.alias("n"), F.explode("askers").alias("asker"))
+        return rows.select("key", "word", "n", F.shiftright("asker", 1).alias("block"), (F.col("asker") % 2 == 1).alias("deletes"))
+
+    def lower(counts: np.ndarray, of: int) -> np.ndarray:
+        return weight1 * counts / max(of, 1) + (1 - weight1) / (types + 1)
+
+    def split(part: pd.DataFrame, known: pd.DataFrame) -> tuple[Block, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The block, the counts of its words, and what is known of its pairs: keys in order, and their counts."""
+        is_word, n = known["word"].notna().to_numpy(), known["n"].to_numpy(np.int64)
+        words, counts = known["word"].to_numpy()[is_word].tolist(), n[is_word]
+        end = words.index(END)
+        keys, n = known["key"].to_numpy(np.int64)[~is_word], n[~is_word]
+        order = np.argsort(keys)
+        return Block(part["text"], words), np.append(counts[end], np.delete(counts, end)), (keys[order], n[order])
+
+    def ratios(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"bucket": [], "step": [], "deleted": [], "logs": []})
+        block, counts, known_pairs = split(part, known)
+        codes, _, deleted = block.distinct(np.full(len(part), 2))
+        rows = []
+        for cut, first, second, keys in block.pairs(codes):
+            pair_kept, context = answered(known_pairs, keys, np.zeros(len(keys), np.int64)), counts[first]
+            seen = (pair_kept > 0) & (context > 0)
+            logs = np.where(seen, np.log2(np.maximum(pair_kept, 1) / np.maximum(context, 1) / lower(counts[second], kept_total)), 0.0)
+            step = np.where(seen, np.floor(logs * STEPS), UNSEEN).astype(np.int64)
+            found = pd.DataFrame({"bucket": log_bucket(context), "step": step, "deleted": deleted[cut].astype(np.int64), "logs": logs * deleted[cut]})
+            rows.append(found.groupby(["bucket", "step"], as_index=False).sum())
+        return pd.concat(rows).groupby(["bucket", "step"], as_index=False).sum()
+
+    deleting = answers((F.col("kept") > 0) & (F.col("deleted") > 0), F.col("kept")).where("deletes").drop("deletes")
+    cells = dealt.where("part = 2").groupBy("block").cogroup(deleting.groupBy("block")).applyInPandas(ratios, "bucket long, step long, deleted long, logs double")
+    cells = cells.groupBy("bucket", "step").agg(F.sum("deleted").alias("deleted"), F.sum("logs").alias("logs")).orderBy("bucket", "step").toPandas()
+    bucket, n_deleted = cells["bucket"].to_numpy(np.int64), cells["deleted"].to_numpy(float)
+    ratio = np.where(cells["step"] > UNSEEN, np.exp2(cells["logs"].to_numpy(float) / np.maximum(n_deleted, 1)), 0.0)
+    weights = bigram_weights(bucket, ratio, np.ones(len(cells)), n_deleted, np.bincount(bucket, n_deleted, BUCKETS))
 
     def score_block(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        bigrams: Bigrams = model.value
-        place = {w: i for i, w in enumerate(known["word"])}
-        counts = known["n"].to_numpy(np.int64)
-        word_ids = np.fromiter((bigrams.ids.get(w, 0) for w in known["word"]), np.int64, len(known))
+        block, counts, known_pairs = split(part, known)
         base = np.log10((counts + 0.1) / (total + 0.1 * (types + 1)))
-        lower = weight1 * counts / max(total, 1) + (1 - weight1) / (types + 1)
-        end = bigrams.ids.get(END, 0)
-        rows = []
-        for doc, text in zip(part["doc_id"], part["text"], strict=True):
-            at = np.fromiter(map(place.__getitem__, tokens(text)), np.int64)
-            after = word_ids[at]
-            p = bigrams.mix(np.concatenate([[end], after[:-1]]), after, lower[at])
-            rows.append((doc, len(at), int((counts[at] > 0).sum()), total, float(base[at].sum()), float(np.log10(p).sum())))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    answers = vocabulary.select("word", count.alias("n"), F.explode("blocks").alias("block"))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score_block, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        codes, kept, deleted = block.distinct(part["part"].to_numpy())
+        mixture = np.empty(len(codes))
+        for cut, first, second, keys in block.pairs(codes):
+            n, context = answered(known_pairs, keys, kept[cut] + deleted[cut]), counts[first]
+            weight = np.where(context > 0, weights[log_bucket(context)], 0.0)
+            mixture[cut] = np.log10(weight * n / np.maximum(context, 1) + (1 - weight) * lower(counts[second], total))
+        del known_pairs, kept, deleted
+        scored = []
+        for i in range(0, len(part), TEXTS):
+            starts, lengths = block.starts[i : i + TEXTS], block.lengths[i : i + TEXTS]
+            cut = slice(starts[0], starts[-1] + lengths[-1])
+            after, p = block.after[cut], mixture[np.searchsorted(codes, block.codes[cut])]
+            summed = lambda of, at=starts - starts[0]: np.add.reduceat(of, at)
+            scored.append((summed((counts[after] > 0).astype(np.int64)), summed(base[after]), summed(p)))
+        n_known, base_score, score = map(np.concatenate, zip(*scored, strict=True))
+        out = pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": block.lengths, "n_known": n_known, "train_tokens": total, "base_score": base_score, "score": score})
+        del block, codes, mixture, counts, base
+        trim_memory()
+        return out
+
+    return dealt.groupBy("block").cogroup(answers(shared, count).drop("deletes").groupBy("block")).applyInPandas(score_block, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

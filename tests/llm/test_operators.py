@@ -12,11 +12,12 @@ from collections import Counter
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from quorumspark.llm import bpe, decontaminate, near_dup, registry, secrets
+from quorumspark.llm import bpe, decontaminate, lm, near_dup, registry, secrets
 from tests.llm.fixtures import WORDS, definition
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -187,6 +188,41 @@ def test_op7_contract(spark, data, texts):
     assert gained > 0  # held-out texts are likelier under the mixture
 
 
+def test_language_model_uses_every_pair(spark):
+    """Against a re-statement without floors, blocks or histograms; most words and pairs here are rare."""
+    r = random.Random(3)
+    lines = {i: [r.choice(WORDS[: 40 if j % 3 else 4000]) for j in range(r.randint(0, 120))] for i in range(400)}
+    for i in range(300, 400):
+        lines[i] = lines[i - 300][:60] + lines[i][:10]
+    part = lambda i: 0 if i % 10 == 0 else 2 if i % 10 == 1 else 1
+    one, two = ([Counter(), Counter(), Counter()] for _ in "12")
+    for i, ws in lines.items():
+        one[part(i)].update([*ws, None])
+        two[part(i)].update(zip([None, *ws], [*ws, None], strict=True))
+    n1, both, pairs = sum(one[1].values()), one[1] + one[2], two[1] + two[2]
+    weight1 = 0.5
+    for _ in range(100):
+        weight1 = sum(d * (u := weight1 * one[1][w] / n1) / (u + (1 - weight1) / (len(both) + 1)) for w, d in one[2].items()) / sum(one[2].values())
+    lower = lambda counts, w: weight1 * counts[w] / sum(counts.values()) + (1 - weight1) / (len(both) + 1)
+    weights = dict.fromkeys(range(1, 30), 0.5)
+    for _ in range(100):
+        found, every = Counter(), Counter()
+        for (a, b), d in two[2].items():
+            if one[1][a]:
+                k = one[1][a].bit_length()
+                p = weights[k] * two[1][a, b] / one[1][a]
+                found[k] += d * p / (p + (1 - weights[k]) * lower(one[1], b))
+                every[k] += d
+        weights.update({k: min(found[k] / every[k], 1 - 1e-6) for k in every})
+    weight = lambda a: weights[both[a].bit_length()] if both[a] and every[both[a].bit_length()] else 0.0
+    p = lambda a, b: weight(a) * (pairs[a, b] / both[a] if both[a] else 0.0) + (1 - weight(a)) * lower(both, b)
+    frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in lines.items()], "doc_id long, text string")
+    for chars in (lm.BLOCK_CHARS, 20_000):
+        got = {x["doc_id"]: x["score"] for x in lm.score(frame, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 1, chars).collect()}
+        for i, ws in lines.items():
+            assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *ws], [*ws, None], strict=True)), rel=2e-3)
+
+
 # --- 8: secrets
 
 
