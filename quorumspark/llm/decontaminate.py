@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts and benchmark items become sequences of tokens (runs of letters and digits, in lower case). Each window of
-SPAN tokens is hashed under a few fixed masks that ignore some positions, so a window with changed words at ignored
-positions keeps its hash. Windows of the items (all of them) and of the texts (each STRIDE-th) are joined by hash;
-every hit fixes an alignment of the item to the text, which is then verified position by position: somewhere along
+Texts and benchmark items become sequences of tokens (runs of letters and digits, in lower case). At each place, the
+tokens that a few fixed seeds look at are hashed; words that a seed skips may be changed. Items and texts are joined by
+hash; every hit fixes an alignment of the item to the text, which is then verified position by position: somewhere along
 it, OVERLAP consecutive tokens of the item (all of a shorter one) must agree with the text in at least AGREE percent,
-so substituted words are tolerated.
+so substituted words are tolerated. The seeds are lossless: however the substituted words of a passage that agrees so
+far are placed, some seed falls on agreeing tokens only (a test tries every placement at every length), so this is the
+same as verifying all alignments.
 
 Only DataFrame functions are used. Items and texts of fewer than SPAN tokens, null and empty ones included, match
 nothing. Repeated items each match; repeated rows of a text, and rows that share a doc_id, count as one document of
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SPAN = 10
-#: Positions of the window that each mask looks at.
+#: Positions that each seed looks at. Both ends are looked at, so a hit lies within item and text.
+SEEDS = ((0, 1, 2, 4, 5), (0, 2, 6, 7, 8), (0, 1, 2, 3, 6))
+#: What op9_sql hashes, and of which windows of the texts: a narrower search with the same verification.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9), (1, 2, 4, 5, 7, 8))
 STRIDE = 2
 OVERLAP = 20
@@ -40,15 +43,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def windows(words: Column, stride: int) -> Column:
-    """An array of (mask, at, hash) of each stride-th window of an array of words."""
+def windows(words: Column) -> Column:
+    """An array of (at, hash) of each seed at each place of an array of words."""
 
     def of(hashes: Column) -> Column:
         def under(m: int):
-            return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(m), *(F.get(hashes, i + o) for o in MASKS[m])).alias("hash"))
+            return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(m), *(F.get(hashes, i + o) for o in SEEDS[m])).alias("hash"))
 
-        at = F.sequence(F.lit(0), F.size(hashes) - SPAN, F.lit(stride))
-        return F.concat(*(F.transform(at, under(m)) for m in range(len(MASKS))))
+        return F.concat(*(F.transform(F.sequence(F.lit(0), F.size(hashes) - 1 - max(seed)), under(m)) for m, seed in enumerate(SEEDS)))
 
     enough = F.when(F.size(words) >= SPAN, words)
     return let(F.transform(enough, lambda w: F.xxhash64(w)), lambda hashes: F.when(hashes.isNotNull(), of(hashes)))
@@ -77,11 +79,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # equal items share their windows
     items = benchmark.where("item_id is not null").select("item_id", tokens(c("text")).alias("item_words")).where(F.size("item_words") >= SPAN)
     items = items.groupBy("item_words").agg(F.min("item_id").alias("first"), F.collect_set("item_id").alias("ids"))
-    seeds = items.select("first", F.inline(windows(c("item_words"), 1))).select("first", c("at").alias("item_at"), "hash").distinct()
+    seeds = items.select("first", F.inline(windows(c("item_words")))).select("first", c("at").alias("item_at"), "hash").distinct()
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     texts = docs.where("doc_id is not null").select("doc_id", tokens(c("text")).alias("words"))
-    found = texts.where(F.size("words") >= SPAN).select("doc_id", F.inline(windows(c("words"), STRIDE)))
+    found = texts.where(F.size("words") >= SPAN).select("doc_id", F.inline(windows(c("words"))))
     # written first: where hits are few, Spark then sends them to the texts instead of shuffling all texts
     hits = materialize(found.join(seeds, "hash").select("doc_id", "first", (c("at") - c("item_at")).alias("shift")).distinct(), "hits")
     aligned = hits.join(docs.select("doc_id", "text"), "doc_id").join(items, "first")

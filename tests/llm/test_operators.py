@@ -9,12 +9,13 @@ import os
 import random
 import re
 from collections import Counter
+from itertools import combinations
 from zlib import crc32
 
 import pytest
-from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quorumspark.llm import bpe, decontaminate, lm, near_dup, registry, secrets
@@ -158,6 +159,37 @@ def test_passages_with_substituted_words_are_found(spark):
     assert len(got) >= 0.97 * len(planted)
 
 
+def test_no_placement_of_substitutions_is_missed():
+    """Every placement of as many substitutions as the verification lets pass, in items of every length up to OVERLAP."""
+    for n in range(decontaminate.SPAN, decontaminate.OVERLAP + 1):
+        for changed in combinations(range(n), n - -(-n * decontaminate.AGREE // 100)):
+            same = [i not in changed for i in range(n)]
+            assert any(all(same[i + o] for o in seed) for seed in decontaminate.SEEDS for i in range(n - max(seed))), (n, changed)
+
+
+def test_decontamination_equals_a_search_of_all_alignments(spark):
+    r = random.Random(7)
+    items = {i: [r.choice(WORDS[:60]) for _ in range(10 + i)] for i in range(24)}
+    docs = {}
+    for d in range(240):
+        passage = list(items[d % 24])
+        for at in r.sample(range(len(passage)), len(passage) // 5):
+            passage[at] = "changed"
+        docs[d] = [r.choice(WORDS[:60]) for _ in range(r.randint(0, 30))] + passage[r.choice((0, 0, 2)) :] + [r.choice(WORDS[:60]) for _ in range(r.randint(0, 30))]
+    docs[240] = [w if j % 5 < 4 else "changed" for j, w in enumerate(items[23])]  # each fifth word
+    want = set()
+    for d, text in docs.items():
+        for i, item in items.items():
+            n = min(len(item), decontaminate.OVERLAP)
+            for shift in range(-len(item), len(text)):
+                same = [0 <= j + shift < len(text) and text[j + shift] == w for j, w in enumerate(item)]
+                if max(sum(same[a : a + n]) for a in range(len(item) - n + 1)) * 100 >= n * decontaminate.AGREE:
+                    want.add((d, i))
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items() if len(w) >= 10], f"{key} long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contamination(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(d, i) for d, i in want if len(docs[d]) >= 10} and len(got) > 200
+
+
 # --- 2: WARC
 
 
