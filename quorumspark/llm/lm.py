@@ -1,20 +1,29 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes three maximum-likelihood estimates of a word: bigram (after the word before), unigram, and uniform
-over the vocabulary and one unknown word. The bigram weight depends on how often the context occurs (a bucket for
-each power of two), and all weights are learnt by expectation-maximisation on counts of a part of the training
-documents (the deleted part) while the estimates come from the rest.
-
-All counts are over all training documents, and no word or pair is left out for being rare. Counts never sit in one
-place: documents are dealt into blocks of bounded size, and each block asks for the counts of the words and pairs it
-has, and is scored with these. Counts of words are exact; pairs are told apart by 64 bits of hash (among 10^9 pairs, 0.03
-collisions are to be expected). A word is a context as often as it is a token (each text begins after an end token),
-so bigram estimates are normalised by unigram counts, and the mixture sums to 1. The driver sees only histograms: the
-deleted tokens by bucket and by the ratio of their two estimates, of which the weights are learnt.
-
-A text's tokens are its words with A-Z in lower case, then one end token. Null and empty texts have the end token
-only. A null doc_id counts as the empty text when documents are dealt. Repeated rows are separate documents. Without
-training tokens every estimate falls back to the uniform one.
+A word's probability mixes maximum-likelihood estimates, count(n-gram) / count(context), of orders 1 to ORDER and a
+uniform one over the vocabulary and one unknown word. The weight of each order depends on how often its context occurs
+(a bucket for each power of two). The weights are learnt, order by order from the lowest, by expectation-maximisation
+on a part of the training documents (the deleted part) while the estimates come from the rest; then the estimates take
+in the deleted part, too. A context is counted as often as a token follows it, so each estimate sums to 1 over the
+words seen after it, and so does the mixture over the vocabulary and the unknown word.
+
+Every n-gram of every training document counts, however rare. Counts never sit in one place:
+
+1. Documents are packed into blocks of about BLOCK_BYTES of text, each within one part of the input, so no key decides
+   where a document goes; a longer document is a block of its own. Deleted documents have blocks of their own.
+2. Each block counts its n-grams, and sends their sorted 64-bit hashes with the counts, cut by ranges of the hash
+   (buckets). An n-gram has one entry from each block at most, so none is hot.
+3. Each bucket adds up, and answers every block with the counts of what it asked for, in the order asked.
+4. Blocks of the deleted part turn their answers into histograms of (context bucket, ratio of the two estimates), which
+   are all that the driver sees; then each block is scored with its own answers.
+
+N-grams are told apart by 62 bits of hash: of 10^9 distinct ones about 0.1 pairs are expected to be taken for one.
+
+A text's tokens are its words with A-Z in lower case, then one end token; before the first word lies a beginning that
+is a context as often as there are texts. Null and empty texts have the end token only. A null doc_id counts as the
+empty text when documents are dealt. Repeated rows are separate documents, very long texts are scored whole, columns
+besides doc_id and text play no part, and an empty table gives no rows. Without training documents every probability
+is uniform; without deleted ones the weight of single words is 0.5 and that of longer n-grams 0.
 """
 
 from __future__ import annotations
@@ -24,25 +33,34 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, doc_bucket, materialize, small_batches, table, trim_memory
+from .common import LOWER_BYTES, doc_bucket, materialize, mixed, small_batches, table, tidily, trim_memory
 
-#: Characters of a block of documents.
-BLOCK_CHARS = 28_000_000
+#: Words of the longest n-grams.
+ORDER = 3
+#: UTF-8 bytes of the texts of a block, about.
+BLOCK_BYTES = 14_000_000
+#: Entries that a bucket adds up, about.
+BUCKET_ENTRIES = 3_000_000
 #: Held by no word, as it is white space.
 END = b"\n"
 #: Steps of the histogram of ratios for each power of two.
-STEPS, UNSEEN = 16, -(10**6)
-BUCKETS = 65
-#: Rows that go back to Spark at once, and texts whose tokens are scored at once.
-ROWS, TEXTS = 200_000, 2_000
+STEPS, UNSEEN = 64, -(10**6)
+CONTEXT_BUCKETS = 65
 
+_U = np.uint64
+_BEGIN, _FACTOR = _U(0x5851F42D4C957F2D), _U(0x9E3779B97F4A7C17)
 
-def tokens(text: str | None) -> list[bytes]:
-    """UTF-8 of the words and the end token; bytes.split() cuts at just the white space that ends a word."""
-    words = text.encode().translate(LOWER_BYTES).split() if text else []
+
+def tokens(text: bytes) -> list[bytes]:
+    """The words of UTF-8 and the end token; bytes.split() cuts at just the white space that ends a word."""
+    words = text.translate(LOWER_BYTES).split()
     words.append(END)
     return words
 
@@ -52,207 +70,258 @@ def log_bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64)
 
 
-def unigram_weight(kept: np.ndarray, deleted: np.ndarray, total: int, types: int) -> float:
-    """EM for the weight of the unigram estimate against the uniform one; deleted[i] tokens have the count kept[i]."""
-    if not total or not deleted.sum():
-        return 0.5
-    weight, ml = 0.5, kept / total
-    for _ in range(100):
-        share = weight * ml / (weight * ml + (1 - weight) / (types + 1))
-        new = float((share * deleted).sum() / deleted.sum())
-        if abs(new - weight) < 1e-9:
-            break
-        weight = new
-    return min(weight, 1 - 1e-9)
-
-
-def bigram_weights(bucket: np.ndarray, ml: np.ndarray, lower: np.ndarray, deleted: np.ndarray, all_deleted: np.ndarray) -> np.ndarray:
-    """EM for a weight per bucket. all_deleted: the deleted tokens after contexts of each bucket; those without a
-    kept bigram cannot come from it."""
-    weights = np.full(len(all_deleted), 0.5)
-    for _ in range(100):
-        p = weights[bucket] * ml
-        share = p / (p + (1 - weights[bucket]) * lower)
-        new = np.bincount(bucket, share * deleted, len(weights)) / np.maximum(all_deleted, 1)
-        new = np.clip(new, 0.0, 1 - 1e-6)
-        if np.abs(new - weights).max() < 1e-9:
+def context_weights(bucket: np.ndarray, ratio: np.ndarray, deleted: np.ndarray, untold: float) -> np.ndarray:
+    """EM for a weight per bucket of contexts; ratio: of the estimate to what is mixed in below it. Buckets without a
+    deleted token get the weight untold."""
+    total = np.bincount(bucket, deleted, CONTEXT_BUCKETS)
+    weights = np.full(CONTEXT_BUCKETS, 0.5)
+    for _ in range(200):
+        p = weights[bucket] * ratio
+        share = p / (p + 1 - weights[bucket])
+        new = np.clip(np.bincount(bucket, share * deleted, CONTEXT_BUCKETS) / np.maximum(total, 1), 0.0, 1 - 1e-9)
+        if np.abs(new - weights).max() < 1e-10:
             break
         weights = new
-    return np.where(all_deleted > 0, weights, 0.0)
+    weights = np.where(total > 0, weights, untold)
+    weights[0] = 0.0  # a context that never occurs says nothing
+    return weights
+
+
+# --- sorted hashes and counts as bytes: differences by byte planes, of which the high ones are nearly all 0
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(_U).ravel(), dtype=_U)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte each; counts from 255 on follow in full."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return zstandard.compress(small.tobytes() + counts[small == 255].astype(np.int64).tobytes(), 1)
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, np.int64, offset=n)
+    return counts
 
 
 class Block:
-    """The tokens of a block of texts as places in words, and each token's pair with the one before as a code."""
+    """The n-grams of a block of texts. For each order: which distinct n-gram ends at each token, and of each distinct
+    one its last word, its context (a distinct n-gram one shorter, or the beginning of a text, which is numbered after
+    them), the n-gram without its first word, and its hash."""
 
-    def __init__(self, texts: Iterable[str | None], words: Iterable[bytes] = ()):
+    def __init__(self, texts: Iterable[bytes], orders: int = ORDER):
         place: dict[bytes, int] = defaultdict()
         place.default_factory = place.__len__
         place[END]  # at 0
-        for w in words:
-            place[w]
         lists = [np.fromiter(map(place.__getitem__, tokens(t)), np.int32) for t in texts]
-        self.words = list(place)
         self.lengths = np.array([len(x) for x in lists], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.after = np.concatenate(lists)
+        word = np.concatenate(lists) if lists else np.empty(0, np.int32)
         lists.clear()
-        self.codes = np.zeros(len(self.after), np.int64)
-        self.codes[1:] = self.after[:-1]  # all texts end with END, which the first one follows, too
-        self.codes *= len(place)
-        self.codes += self.after
-
-    def distinct(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The codes of the distinct pairs, in order, and how often they occur in texts of parts 1 and 2."""
-        keys = self.codes * 3
-        keys += np.repeat(parts.astype(np.int8), self.lengths)
-        keys.sort()
-        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).astype(np.int32)
-        n = np.diff(np.append(edges, np.int32(len(keys))))
-        keys = keys[edges]
-        part = (keys % 3).astype(np.int8)
-        keys //= 3
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[starts], np.add.reduceat(n * (part == 1), starts), np.add.reduceat(n * (part == 2), starts)
-
-    def hashes(self) -> np.ndarray:
-        words = np.empty(len(self.words), object)
-        words[:] = self.words
-        return pd.util.hash_array(words, categorize=False)
-
-    def pairs(self, codes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """ROWS codes at a time: where they lie, the places of both words, and hashes of the pairs."""
-        hashes = self.hashes()
-        for i in range(0, len(codes), ROWS):
-            first, second = np.divmod(codes[i : i + ROWS], len(self.words))
-            yield slice(i, i + ROWS), first, second, (hashes[first] * np.uint64(0x9E3779B97F4A7C17) + hashes[second]).view(np.int64)
-
-
-def answered(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-    """The counts of the keys that known (keys in order, counts) holds; otherwise where it holds none."""
-    codes, n = known
-    if not len(codes):
-        return otherwise
-    at = np.minimum(np.searchsorted(codes, keys), len(codes) - 1)
-    return np.where(codes[at] == keys, n[at], otherwise)
-
-
-def score(docs: DataFrame, train: Column, deleted: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
+        spelt = np.empty(len(place), object)
+        spelt[:] = list(place)
+        place.clear()
+        hashes = pd.util.hash_array(spelt, categorize=False)
+        del spelt
+        self.at, self.context, self.suffix, self.hashes = [word], [None], [None], [hashes]
+        for n in range(2, orders + 1):
+            below = self.at[-1]
+            context = np.empty(len(word), np.int64)
+            context[1:] = below[:-1]
+            context[self.starts] = len(self.hashes[-1])
+            codes, first, at = np.unique(context * len(hashes) + word, return_index=True, return_inverse=True)
+            del context
+            ctx, last = np.divmod(codes, len(hashes))
+            self.at.append(at.astype(np.int32))
+            self.context.append(ctx)
+            self.suffix.append(below[first])
+            self.hashes.append(mixed(np.append(self.hashes[-1], _BEGIN)[ctx] * _FACTOR + hashes[last] + _U(n)))
+        # the order in the two lowest bits
+        keys = np.concatenate([(h & ~_U(3)) | _U(n) for n, h in enumerate(self.hashes, 1)])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counted(self, counts: bool | np.ndarray) -> np.ndarray:
+        """How many of the tokens marked by counts each key has, by key."""
+        return np.concatenate([np.bincount(at[counts] if counts is not True else at, minlength=len(h)) for at, h in zip(self.at, self.hashes, strict=True)])[self.order]
+
+    def by_order(self, counts: np.ndarray) -> list[np.ndarray]:
+        """Counts by key, as an array for each order."""
+        placed = np.empty_like(counts)
+        placed[self.order] = counts
+        return np.split(placed, np.cumsum([len(h) for h in self.hashes])[:-1])
+
+    def estimates(self, counts: list[np.ndarray], n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct n-gram of order n the count of its context and the maximum-likelihood estimate."""
+        if n == 1:
+            context = np.full(len(counts[0]), total)
+        else:
+            context = np.append(counts[n - 2], counts[0][0])[self.context[n - 1]]  # texts begin as often as they end
+        return context, counts[n - 1] / np.maximum(context, 1)
+
+    def mixture(self, counts: list[np.ndarray], weights: list[np.ndarray], total: int, types: int) -> np.ndarray:
+        """The probability of each distinct n-gram's last word, of the order that weights reach."""
+        p = np.full(len(counts[0]), 1 / (types + 1))
+        for n, weight in enumerate(weights, 1):
+            context, ml = self.estimates(counts, n, total)
+            w = weight[log_bucket(context)]
+            p = w * ml + (1 - w) * (p if n == 1 else p[self.suffix[n - 1]])
+        return p
+
+
+def packed(docs: DataFrame, part: Column, block_bytes: int) -> DataFrame:
+    """docs in blocks: block, deletes, and as bytes ids, has_id, part, sizes and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, made = TaskContext.get().partitionId() << 32, 0
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        weight = {False: 0, True: 0}
+
+        def flushed(deletes: bool) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            ids, has, parts, sizes, texts = map(list, zip(*held[deletes], strict=True))
+            held[deletes], weight[deletes] = [], 0
+            row = {"block": here + made, "deletes": deletes}
+            row |= {name: np.concatenate(x).tobytes() for name, x in (("ids", ids), ("has_id", has), ("part", parts), ("sizes", sizes))}
+            return pa.RecordBatch.from_pylist([row | {"texts": zstandard.compress(b"".join(texts), 1)}])
+
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                some = whole.slice(at, 200)
+                deleted = pc.equal(some.column("part"), 2)
+                for deletes in (False, True):
+                    rows = some.filter(deleted if deletes else pc.invert(deleted))
+                    if not len(rows):
+                        continue
+                    ids, texts = rows.column("doc_id"), rows.column("text").cast(pa.binary())
+                    data = [t or b"" for t in texts.to_pylist()]
+                    sizes = np.array([len(t) for t in data], np.int64)
+                    held[deletes].append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), rows.column("part").to_numpy(zero_copy_only=False).astype(np.int8), sizes, b"".join(data)))
+                    weight[deletes] += int(sizes.sum()) + 100 * len(sizes)
+                    if weight[deletes] >= block_bytes:
+                        yield flushed(deletes)
+        for deletes in (False, True):
+            if held[deletes]:
+                yield flushed(deletes)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.alias("part"))
+    return rows.mapInArrow(tidily(run), "block long, deletes boolean, ids binary, has_id binary, part binary, sizes binary, texts binary")
+
+
+def texts_of(row: pd.Series) -> Iterator[bytes]:
+    data, at = zstandard.decompress(row["texts"]), 0
+    for size in np.frombuffer(row["sizes"], np.int64).tolist():
+        yield data[at : at + size]
+        at += size
+
+
+def score(docs: DataFrame, train: Column, deleted: Column, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """docs: doc_id, text; train and deleted: over doc_id. Returns doc_id, n_tokens, n_known, train_tokens,
     base_score (add 0.1) and score (the mixture), both log10 probabilities of the text."""
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // block_chars) + 1
-    dealt = docs.select("doc_id", "text", F.when(~train, 0).when(deleted, 2).otherwise(1).alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-
-    def count_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, numbers = [], []
-
-        def texts() -> Iterator[str | None]:
-            for batch in batches:
-                parts.append(batch["part"].to_numpy())
-                numbers.append(batch["block"].iat[0])
-                yield from batch["text"]
-
-        block = Block(texts())
-        part = np.concatenate(parts)
-        token_part = np.repeat(part, block.lengths)
-        words = [np.bincount(block.after[token_part == k], minlength=len(block.words)) for k in (1, 2)]
-        del token_part
-
-        def rows(key: np.ndarray, word: list[bytes] | None, kept: np.ndarray, deleted: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"key": key, "word": word, "kept": kept, "deleted": deleted, "asker": numbers[0] * 2 + (deleted > 0)})
-
-        hashes = block.hashes().view(np.int64)
-        for i in range(0, len(hashes), ROWS):
-            cut = slice(i, i + ROWS)
-            yield rows(hashes[cut], block.words[cut], *(n[cut] for n in words))
-        codes, kept, deleted = block.distinct(part)
-        del block.codes, block.after
-        for cut, _, _, keys in block.pairs(codes):
-            yield rows(keys, None, kept[cut], deleted[cut])
-        del block, codes, kept, deleted, hashes, words
+    blocks = materialize(packed(docs, F.when(~train, 0).when(deleted, 2).otherwise(1), block_bytes), "lm-blocks")
+    size = blocks.agg(F.sum(F.octet_length("texts")), F.count("*")).first()[0] or 0
+    buckets = 1 + int(size // bucket_entries)  # a compressed byte of text has about one n-gram
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = -(-(np.arange(1, buckets, dtype=object) << 64) // buckets)
+        edges = np.array(edges.tolist(), dtype=_U)
+        for part in parts:
+            for _, row in part.iterrows():
+                block = Block(texts_of(row))
+                deletes = bool(row["deletes"])
+                counts = block.counted(True if deletes else np.repeat(np.frombuffer(row["part"], np.int8) == 1, block.lengths))
+                keys, cuts = block.keys, [0, *np.searchsorted(block.keys, edges).tolist(), len(block.keys)]
+                del block
+                rows = [(b, row["block"], deletes, y - x, packed_keys(keys[x:y]), packed_counts(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]  # noqa: B905
+                yield pd.DataFrame(rows, columns=["bucket", "block", "deletes", "n", "keys", "counts"])
+
+    def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = pd.concat(list(parts))
+        n = asked["n"].to_numpy()
+        keys, place = np.unique(np.concatenate([unpacked_keys(k) for k in asked["keys"]]), return_inverse=True)
+        counts = np.concatenate([unpacked_counts(c, k) for c, k in zip(asked["counts"], n.tolist(), strict=True)])
+        deletes = np.repeat(asked["deletes"].to_numpy(bool), n)
+        total = np.bincount(place, counts, len(keys)).astype(np.int64)
+        kept = np.bincount(place, counts * ~deletes, len(keys)).astype(np.int64)
+        word = (keys & _U(3)) == 1
+        bucket, blank = asked["bucket"].iat[0], [None] * len(asked)
+        yield pd.DataFrame({"block": [None], "bucket": bucket, "n": 0, "kept": None, "total": None, "types": [int((total[word] > 0).sum())], "kept_tokens": [int(kept[word].sum())], "tokens": [int(total[word].sum())]}).astype({"block": "Int64"})
+        ends = np.cumsum(n)
+        spans = [place[b - k : b] for k, b in zip(n.tolist(), ends.tolist(), strict=True)]
+        answers = {"kept": [packed_counts(kept[s]) if d else None for s, d in zip(spans, asked["deletes"], strict=True)], "total": [packed_counts(total[s]) for s in spans]}
+        yield pd.DataFrame({"block": asked["block"].to_numpy(), "bucket": bucket, "n": n, **answers, "types": blank, "kept_tokens": blank, "tokens": blank}).astype({"block": "Int64", "types": "Int64", "kept_tokens": "Int64", "tokens": "Int64"})
+        del keys, place, counts, total, kept, spans
         trim_memory()
 
-    # a word or pair has a row for each block at most: no key is hot. The key is its hash, which sorts faster than words;
-    # asker is twice the block's number, and one more where the block deletes some of it
-    asked = dealt.groupBy("block").applyInPandas(count_block, "key long, word binary, kept int, deleted int, asker int")
-    sums = asked.repartition("key", "word").groupBy("key", "word").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"), F.collect_list("asker").alias("askers"))
-    # a block knows by itself what no other block has; learning sees the deleted part only, so it asks for these, too
-    shared = (F.size("askers") > 1) & (F.col("kept") + F.col("deleted") > 0)
-    counted = materialize(sums.where(F.col("word").isNotNull() | shared | ((F.col("kept") > 0) & (F.col("deleted") > 0))), "lm-counts")
-    vocabulary = counted.where("word is not null")
-
-    count = F.col("kept") + F.col("deleted")
-    kept_total, deleted_total, types = (int(x or 0) for x in vocabulary.agg(F.sum("kept"), F.sum("deleted"), F.sum((count > 0).cast("long"))).first())
-    total = kept_total + deleted_total
-    # counts up to 64 as they are, then eight steps for each power of two
-    step = F.when(F.col("kept") <= 64, F.col("kept").cast("double")).otherwise(F.floor(F.log2("kept") * 8) + 1000)
-    histogram = vocabulary.where("deleted > 0").groupBy(step.alias("step")).agg((F.sum(F.col("kept") * F.col("deleted")) / F.sum("deleted")).alias("kept"), F.sum("deleted").alias("deleted")).toPandas()
-    weight1 = unigram_weight(histogram["kept"].to_numpy(float), histogram["deleted"].to_numpy(float), kept_total, types)
-
-    def answers(wanted: Column, n: Column) -> DataFrame:
-        rows = counted.where(F.col("word").isNotNull() | wanted).select("key", "word", n.alias("n"), F.explode("askers").alias("asker"))
-        return rows.select("key", "word", "n", F.shiftright("asker", 1).alias("block"), (F.col("asker") % 2 == 1).alias("deletes"))
-
-    def lower(counts: np.ndarray, of: int) -> np.ndarray:
-        return weight1 * counts / max(of, 1) + (1 - weight1) / (types + 1)
-
-    def split(part: pd.DataFrame, known: pd.DataFrame) -> tuple[Block, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """The block, the counts of its words, and what is known of its pairs: keys in order, and their counts."""
-        is_word, n = known["word"].notna().to_numpy(), known["n"].to_numpy(np.int64)
-        words, counts = known["word"].to_numpy()[is_word].tolist(), n[is_word]
-        end = words.index(END)
-        keys, n = known["key"].to_numpy(np.int64)[~is_word], n[~is_word]
-        order = np.argsort(keys)
-        return Block(part["text"], words), np.append(counts[end], np.delete(counts, end)), (keys[order], n[order])
-
-    def ratios(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return pd.DataFrame({"bucket": [], "step": [], "deleted": [], "logs": []})
-        block, counts, known_pairs = split(part, known)
-        codes, _, deleted = block.distinct(np.full(len(part), 2))
-        rows = []
-        for cut, first, second, keys in block.pairs(codes):
-            pair_kept, context = answered(known_pairs, keys, np.zeros(len(keys), np.int64)), counts[first]
-            seen = (pair_kept > 0) & (context > 0)
-            logs = np.where(seen, np.log2(np.maximum(pair_kept, 1) / np.maximum(context, 1) / lower(counts[second], kept_total)), 0.0)
+    asked = blocks.mapInPandas(tidily(count), "bucket int, block long, deletes boolean, n int, keys binary, counts binary")
+    answers = materialize(asked.groupBy("bucket").applyInPandas(add_up, "block long, bucket int, n int, kept binary, total binary, types long, kept_tokens long, tokens long"), "lm-answers")
+    types, kept_total, total = (int(x or 0) for x in answers.where("block is null").agg(F.sum("types"), F.sum("kept_tokens"), F.sum("tokens")).first())
+
+    def answered(block: Block, known: pd.DataFrame, column: str) -> list[np.ndarray]:
+        known = known.sort_values("bucket")
+        return block.by_order(np.concatenate([unpacked_counts(c, n) for c, n in zip(known[column], known["n"].tolist(), strict=True)]))
+
+    weights: list[np.ndarray] = []
+    given = answers.where("block is not null")
+
+    def ratios_over(below: list[np.ndarray]):
+        """The ratio of the next order's estimate to the mixture of the orders below it, at each deleted token."""
+        n = len(below) + 1
+
+        def ratios(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            block = Block(texts_of(part.iloc[0]))
+            counts = answered(block, known, "kept")
+            lower = block.mixture(counts, below, kept_total, types)
+            context, ml = block.estimates(counts, n, kept_total)
+            deleted = np.bincount(block.at[n - 1], minlength=len(ml))
+            seen = ml > 0
+            logs = np.where(seen, np.log2(np.where(seen, ml, 1.0) / (lower if n == 1 else lower[block.suffix[n - 1]])), 0.0)
             step = np.where(seen, np.floor(logs * STEPS), UNSEEN).astype(np.int64)
-            found = pd.DataFrame({"bucket": log_bucket(context), "step": step, "deleted": deleted[cut].astype(np.int64), "logs": logs * deleted[cut]})
-            rows.append(found.groupby(["bucket", "step"], as_index=False).sum())
-        return pd.concat(rows).groupby(["bucket", "step"], as_index=False).sum()
-
-    deleting = answers((F.col("kept") > 0) & (F.col("deleted") > 0), F.col("kept")).where("deletes").drop("deletes")
-    cells = dealt.where("part = 2").groupBy("block").cogroup(deleting.groupBy("block")).applyInPandas(ratios, "bucket long, step long, deleted long, logs double")
-    cells = cells.groupBy("bucket", "step").agg(F.sum("deleted").alias("deleted"), F.sum("logs").alias("logs")).orderBy("bucket", "step").toPandas()
-    bucket, n_deleted = cells["bucket"].to_numpy(np.int64), cells["deleted"].to_numpy(float)
-    ratio = np.where(cells["step"] > UNSEEN, np.exp2(cells["logs"].to_numpy(float) / np.maximum(n_deleted, 1)), 0.0)
-    weights = bigram_weights(bucket, ratio, np.ones(len(cells)), n_deleted, np.bincount(bucket, n_deleted, BUCKETS))
+            found = pd.DataFrame({"bucket": log_bucket(context), "step": step, "deleted": deleted, "logs": logs * deleted})
+            del block
+            return found.groupby(["bucket", "step"], as_index=False).sum()
+
+        return ratios
+
+    deleting = given.where("kept is not null").select("block", "bucket", "n", "kept")
+    for n in range(1, ORDER + 1):
+        cells = blocks.where("deletes").groupBy("block").cogroup(deleting.groupBy("block")).applyInPandas(ratios_over(list(weights)), "bucket long, step long, deleted long, logs double")
+        cells = cells.groupBy("bucket", "step").agg(F.sum("deleted").alias("deleted"), F.sum("logs").alias("logs")).orderBy("bucket", "step").toPandas()
+        deleted_tokens = cells["deleted"].to_numpy(float)
+        ratio = np.where(cells["step"] > UNSEEN, np.exp2(cells["logs"].to_numpy(float) / np.maximum(deleted_tokens, 1)), 0.0)
+        learnt = context_weights(cells["bucket"].to_numpy(np.int64), ratio, deleted_tokens, 0.5 if n == 1 else 0.0)
+        if n == 1:  # one context, as often as there are tokens, of which the deleted ones change the bucket
+            learnt[1:] = learnt[log_bucket(np.array([kept_total]))[0]] if kept_total else 0.5
+        weights.append(learnt)
 
     def score_block(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        block, counts, known_pairs = split(part, known)
-        base = np.log10((counts + 0.1) / (total + 0.1 * (types + 1)))
-        codes, kept, deleted = block.distinct(part["part"].to_numpy())
-        mixture = np.empty(len(codes))
-        for cut, first, second, keys in block.pairs(codes):
-            n, context = answered(known_pairs, keys, kept[cut] + deleted[cut]), counts[first]
-            weight = np.where(context > 0, weights[log_bucket(context)], 0.0)
-            mixture[cut] = np.log10(weight * n / np.maximum(context, 1) + (1 - weight) * lower(counts[second], total))
-        del known_pairs, kept, deleted
-        scored = []
-        for i in range(0, len(part), TEXTS):
-            starts, lengths = block.starts[i : i + TEXTS], block.lengths[i : i + TEXTS]
-            cut = slice(starts[0], starts[-1] + lengths[-1])
-            after, p = block.after[cut], mixture[np.searchsorted(codes, block.codes[cut])]
-            summed = lambda of, at=starts - starts[0]: np.add.reduceat(of, at)
-            scored.append((summed((counts[after] > 0).astype(np.int64)), summed(base[after]), summed(p)))
-        n_known, base_score, score = map(np.concatenate, zip(*scored, strict=True))
-        out = pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": block.lengths, "n_known": n_known, "train_tokens": total, "base_score": base_score, "score": score})
-        del block, codes, mixture, counts, base
+        row = part.iloc[0]
+        block = Block(texts_of(row))
+        counts = answered(block, known, "total")
+        logs = np.log10(block.mixture(counts, weights, total, types))[block.at[-1]]
+        word = block.at[0]
+        base = np.log10((counts[0] + 0.1) / (total + 0.1 * (types + 1)))[word]
+        known_words = (counts[0] > 0)[word].astype(np.int64)
+        summed = lambda x: np.add.reduceat(x, block.starts)
+        ids = pd.array(np.frombuffer(row["ids"], np.int64).copy(), "Int64")
+        ids[~np.frombuffer(row["has_id"], bool)] = pd.NA
+        out = pd.DataFrame({"doc_id": ids, "n_tokens": block.lengths, "n_known": summed(known_words), "train_tokens": total, "base_score": summed(base), "score": summed(logs)})
+        del block, counts, logs, base, known_words
         trim_memory()
         return out
 
-    return dealt.groupBy("block").cogroup(answers(shared, count).drop("deletes").groupBy("block")).applyInPandas(score_block, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(given.select("block", "bucket", "n", "total").groupBy("block")).applyInPandas(score_block, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_tables, materialize, small_batches, table, tidily
+from .common import LOWER_BYTES, drop_tables, materialize, mixed, small_batches, table, tidily
 from .graph import components
 
 #: Minwise tokens in a signature, of 32 bits each.
@@ -45,13 +45,6 @@ PIECE_BYTES = 2_000_000
 _U = np.uint64
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def numbers(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 

@@ -220,39 +220,80 @@ def test_op7_contract(spark, data, texts):
     assert gained > 0  # held-out texts are likelier under the mixture
 
 
-def test_language_model_uses_every_pair(spark):
-    """Against a re-statement without floors, blocks or histograms; most words and pairs here are rare."""
+def restated_model(lines, part):
+    """Deleted interpolation of orders 1 to 3 in plain Python: the probability of a word after two others (None: the end
+    or beginning of a text), and the vocabulary."""
+    one = [[Counter() for _ in range(4)] for _ in range(3)]  # by part and order
+    context = [[Counter() for _ in range(4)] for _ in range(3)]
+    for i, ws in lines.items():
+        padded = [None, None, *ws, None]
+        for j in range(2, len(padded)):
+            for n in (1, 2, 3):
+                g = tuple(padded[j - n + 1 : j + 1])
+                one[part(i)][n][g] += 1
+                context[part(i)][n][g[:-1]] += 1
+    kept, kept_context = one[1], context[1]
+    both, both_context = ([of[1][n] + of[2][n] for n in range(4)] for of in (one, context))
+    types = len(both[1])
+    weights = {n: {} for n in (1, 2, 3)}
+
+    def p(g, counts, contexts, n):
+        if n == 0:
+            return 1 / (types + 1)
+        g = g[-n:]
+        c = contexts[n][g[:-1]]
+        w = weights[1]["all"] if n == 1 else weights[n].get(c.bit_length(), 0.0) if c else 0.0
+        return w * (counts[n][g] / c if c else 0.0) + (1 - w) * p(g, counts, contexts, n - 1)
+
+    for n in (1, 2, 3):
+        cells = {}
+        for g, d in one[2][n].items():
+            c = kept_context[n][g[:-1]]
+            if c:
+                cells.setdefault("all" if n == 1 else c.bit_length(), []).append((kept[n][g] / c, p(g, kept, kept_context, n - 1), d))
+        for k, rows in cells.items():
+            w = 0.5
+            for _ in range(200):
+                w = min(1 - 1e-9, sum(d * w * ml / (w * ml + (1 - w) * low) for ml, low, d in rows) / sum(d for *_, d in rows))
+            weights[n][k] = w
+    return lambda g: p(g, both, both_context, 3), [w for (w,) in both[1]]
+
+
+def test_language_model_equals_a_restatement(spark, texts):
+    """All n-grams count: against plain Python without blocks, buckets, hashes or histograms."""
     r = random.Random(3)
     lines = {i: [r.choice(WORDS[: 40 if j % 3 else 4000]) for j in range(r.randint(0, 120))] for i in range(400)}
     for i in range(300, 400):
         lines[i] = lines[i - 300][:60] + lines[i][:10]
     part = lambda i: 0 if i % 10 == 0 else 2 if i % 10 == 1 else 1
-    one, two = ([Counter(), Counter(), Counter()] for _ in "12")
-    for i, ws in lines.items():
-        one[part(i)].update([*ws, None])
-        two[part(i)].update(zip([None, *ws], [*ws, None], strict=True))
-    n1, both, pairs = sum(one[1].values()), one[1] + one[2], two[1] + two[2]
-    weight1 = 0.5
-    for _ in range(100):
-        weight1 = sum(d * (u := weight1 * one[1][w] / n1) / (u + (1 - weight1) / (len(both) + 1)) for w, d in one[2].items()) / sum(one[2].values())
-    lower = lambda counts, w: weight1 * counts[w] / sum(counts.values()) + (1 - weight1) / (len(both) + 1)
-    weights = dict.fromkeys(range(1, 30), 0.5)
-    for _ in range(100):
-        found, every = Counter(), Counter()
-        for (a, b), d in two[2].items():
-            if one[1][a]:
-                k = one[1][a].bit_length()
-                p = weights[k] * two[1][a, b] / one[1][a]
-                found[k] += d * p / (p + (1 - weights[k]) * lower(one[1], b))
-                every[k] += d
-        weights.update({k: min(found[k] / every[k], 1 - 1e-6) for k in every})
-    weight = lambda a: weights[both[a].bit_length()] if both[a] and every[both[a].bit_length()] else 0.0
-    p = lambda a, b: weight(a) * (pairs[a, b] / both[a] if both[a] else 0.0) + (1 - weight(a)) * lower(both, b)
+    p, vocabulary = restated_model(lines, part)
+    for history in ((None, None), (None, lines[5][0]), tuple(lines[3][:2]), ("never", "seen")):
+        assert sum(p((*history, w)) for w in [*vocabulary, "an unknown word"]) == pytest.approx(1, abs=1e-9)
     frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in lines.items()], "doc_id long, text string")
-    for chars in (lm.BLOCK_CHARS, 20_000):
-        got = {x["doc_id"]: x["score"] for x in lm.score(frame, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 1, chars).collect()}
+    for sizes in ((lm.BLOCK_BYTES, lm.BUCKET_ENTRIES), (9_000, 700)):
+        got = {x["doc_id"]: x["score"] for x in lm.score(frame, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 1, *sizes).collect()}
         for i, ws in lines.items():
-            assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *ws], [*ws, None], strict=True)), rel=2e-3)
+            padded = [None, None, *ws, None]
+            assert got[i] == pytest.approx(sum(math.log10(p(tuple(padded[j - 2 : j + 1]))) for j in range(2, len(padded))), rel=1e-5)
+
+
+def test_language_model_equals_a_restatement_on_documents(spark, data, texts):
+    lines = {i: words((t or "").translate(LOWER)) for i, t in texts.items()}
+    part = lambda i: (0, 2, 1, 1, 1, 1, 1, 1, 1, 1)[crc32(str(i).encode()) % 10]
+    p, _ = restated_model(lines, part)
+    for r in registry.queries()["op7_lm"](spark, data).collect():
+        padded = [None, None, *lines[r["doc_id"]], None]
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(padded[j - 2 : j + 1]))) for j in range(2, len(padded))), rel=1e-5)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.lists(st.integers(0, 2**40), max_size=40))
+@settings(max_examples=50, deadline=None)
+def test_hashes_and_counts_as_bytes(keys, counts):
+    import numpy as np
+
+    keys, counts = np.array(sorted(keys), np.uint64), np.array(counts, np.int64)
+    assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+    assert (lm.unpacked_counts(lm.packed_counts(counts), len(counts)) == counts).all()
 
 
 # --- 8: secrets
