@@ -27,8 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_tables, materialize, mixed, small_batches, table, tidily
+from .common import drop_tables, materialize, mixed, small_batches, table, tidily
 from .graph import components
+from .hashing import numbers, pieces, word_hashes
 
 #: Minwise tokens in a signature, of 32 bits each.
 TOKENS = 64
@@ -39,49 +40,18 @@ DEPTH = 3
 NODE = 1500
 #: Shingles in a group that one task compares, about.
 GROUP_SHINGLES = 1_500_000
-#: Bytes of text that are hashed at a time.
-PIECE_BYTES = 2_000_000
 
 _U = np.uint64
 
 
-def numbers(seed: int, n: int) -> np.ndarray:
-    return mixed(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
-
-
-_BYTE = numbers(1, 256) | _U(1)
 _PERMUTE, _SHIFT = numbers(2, TOKENS) | _U(1), numbers(3, TOKENS)
-_IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts (A-Z in lower case), and how many words each text has."""
-    data = np.frombuffer(b"\n".join(texts).translate(LOWER_BYTES) + b"\n", np.uint8)
-    inside = _IS_WORD[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    per_text = np.diff(np.concatenate([[0], np.searchsorted(starts, text_ends)]))
-    if not len(starts):
-        return np.empty(0, _U), per_text
-    sizes = ends - starts
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    weights = numbers(4, int(sizes.max()))
-    return mixed(np.add.reduceat(_BYTE[data[inside]] * weights[at], first) + sizes.astype(_U)), per_text
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; of the whole sequence if it is shorter."""
-    raw = [t.encode() if t else b"" for t in texts]
     factors = numbers(5, k) | _U(1)
-    start = 0
-    while start < len(raw):
-        end, size = start + 1, len(raw[start])
-        while end < len(raw) and size + len(raw[end]) <= PIECE_BYTES:
-            size += len(raw[end])
-            end += 1
-        words, per_text = word_hashes(raw[start:end])
+    for piece in pieces(texts):
+        words, per_text = word_hashes(piece)
         if len(words) >= k:
             n = len(words) - k + 1
             joined = words[:n] * factors[0]
@@ -97,7 +67,6 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
             else:
                 yield np.empty(0, _U)
             at += n
-        start = end
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:

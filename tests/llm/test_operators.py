@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quorumspark.llm import bpe, decontaminate, lm, near_dup, registry, secrets
+from quorumspark.llm import bpe, decontaminate, lm, near_dup, registry, secrets, toxicity
 from tests.llm.fixtures import WORDS, definition
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -334,7 +334,44 @@ def test_op1_held_out_accuracy(spark):
     rows = [r for r in registry.queries()["op1_toxicity"](spark, path).collect() if r["held_out"] and r["doc_id"] in toxic]
     hit = sum(r["predicted"] and toxic[r["doc_id"]] for r in rows)
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
-    assert hit >= 0.8 * sum(toxic[r["doc_id"]] for r in rows) and hit >= 0.8 * sum(r["predicted"] for r in rows)
+    assert hit >= 0.88 * sum(toxic[r["doc_id"]] for r in rows) and hit >= 0.92 * sum(r["predicted"] for r in rows)
+
+
+def test_toxicity_model_equals_a_restatement(spark):
+    r = random.Random(9)
+    bad = [f"bad{i}" for i in range(12)]
+    docs = {}
+    for i in range(300):
+        ws = [r.choice(WORDS[: 30 if r.random() < 0.6 else 900]) for _ in range(r.randint(0, 60))]
+        if i % 7 == 0:
+            ws += r.sample(bad, 2)
+            r.shuffle(ws)
+        docs[i] = (" ".join(w + r.choice(["", ",", "."]) for w in ws), int(i % 7 == 0))
+    docs_df = spark.createDataFrame([(i, t) for i, (t, _) in docs.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in docs.items()], "doc_id long, toxic int")
+    model = toxicity.fit(docs_df, labels, F.col("doc_id") % 4 < 2, F.col("doc_id") % 4 == 3)
+
+    of = lambda t: re.findall("[a-z0-9]+", t.lower())
+    followed = {0: Counter(), 1: Counter(), 2: Counter()}
+    pairs = [{(a, b) for i, (t, y) in docs.items() if i % 4 != 2 and y in kinds for a, b in zip(["", *of(t)], of(t))} for kinds in ((0,), (1,), (0, 1))]  # noqa: B905
+    for k, found in enumerate(pairs):
+        followed[k].update(w for _, w in found)
+    n = [sum(c.values()) for c in followed.values()]
+    once = [[sum(v == k for v in c.values()) for k in (1, 2)] for c in followed.values()]
+    d = [a / (a + 2 * b) for a, b in once]
+    types = [len(c) for c in followed.values()]
+    shared = lambda w: (max(followed[2][w] - d[2], 0) + d[2] * types[2] / (types[2] + 1)) / n[2]
+    p = lambda w, k: max(followed[k][w] - d[k], 0) / n[k] + d[k] * types[k] / n[k] * shared(w)
+    assert sum(p(w, 1) for w in followed[2]) + d[1] * types[1] / n[1] * d[2] * types[2] / (types[2] + 1) / n[2] == pytest.approx(1)
+    texts = [t for t, _ in docs.values()]
+    got = toxicity.Model.differences(model, texts, (0.02,))
+    for t, x, size in zip(texts, got[0][:, 0], got[1], strict=True):
+        ws = of(t)
+        assert size == len(ws)
+        assert x == pytest.approx(sum(math.log(0.98 * p(w, 0) + 0.02 * p(w, 1)) - math.log(p(w, 0)) for w in ws), abs=1e-7)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs_df, model).collect()}
+    held = [i for i in docs if i % 4 == 2]
+    assert sum((scored[i] >= 0.3) == docs[i][1] for i in held) >= 0.9 * len(held)
 
 
 # --- the pipeline
