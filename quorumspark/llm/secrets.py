@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and zstandard novelty of strings in sensitive contexts.
 
-Three fixed kinds of secret (assign, access, hex) are found by pattern. Besides, every long string of mixed letters and
-digits that follows a sensitive word closely is a candidate. Its marginal size is what it adds to a zstandard frame whose
-dictionary holds common identifiers and the text around it: names, numbers in sequence and repeats cost little,
-random keys cost about as much as they are long. Candidates that cost more than NOVELTY of their length are
-reported as kind novel, unless they overlap a span of the fixed kinds.
-
-Null and empty texts have no span. Offsets count code points, ends are exclusive. Repeated rows and very long texts
-are scanned like any other.
+Three fixed kinds of secret (assign, access, hex) are found by pattern. Besides, every long string without spaces that
+stands in a sensitive context is measured: a sensitive word begins or ends within REACH code points of it, on either
+side, or another reported string ends so close before it (the lines of a private key). Its marginal size is what it adds
+to a zstandard frame whose dictionary holds common identifiers, the most frequent words of all documents (vocabulary) and
+the text around it. Names, numbers in sequence and repeats cost little, random keys cost about as much as they are long.
+Strings that cost more than NOVELTY of their length are reported as kind novel, unless they overlap a span of the fixed
+kinds; these stay whatever they cost, which each span states.
+
+Null and empty texts have no span. Offsets count code points, ends are exclusive. Repeated rows are scanned like any
+other, very long texts as a whole and in time in proportion to their length. An empty table gives no rows. Columns
+of the input stay apart from one named like the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,18 +37,23 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 #: Words whose neighbourhood is sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie|hmac|salt|cert", re.ASCII | re.IGNORECASE)
-#: Code points between a sensitive word and a candidate at most.
+#: Code points between a candidate and a sensitive word, or the end of the reported string before it, at most.
 REACH = 48
 LEAST_CANDIDATE = 16
-CHARACTER = re.compile(r"[A-Za-z0-9+/_=-]")
-CANDIDATE = re.compile(rf"{CHARACTER.pattern}{{{LEAST_CANDIDATE},}}")
-#: Changes between letters and digits that a candidate has at least; names with a number at their end have fewer.
-CHANGES = 3
-CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST_CANDIDATE},}}")
 #: Marginal compressed bytes of a byte of the candidate, at least.
-NOVELTY = 0.75
+NOVELTY = 0.85
+#: Longer candidates are measured in pieces of so many code points, lest the compressor learn their letters by and by.
+PIECE = 64
+#: What each frame begins with, so that common letters are cheap and rare ones dear; its own size is taken off.
+PROSE = (
+    "Please store the private key for the server in a safe place, never in the text of a page, and rotate it when somebody leaves. "
+    "The value was sent last week: "
+)
 #: Code points of text on either side that the dictionary holds.
-SURROUNDINGS = 256
+SURROUNDINGS = 2_000
+#: Words of the vocabulary of all documents, the most frequent first, and the least and most letters of one.
+VOCABULARY_WORDS, VOCABULARY_LETTERS = 3_000, (4, 20)
 
 #: What code around secrets is made of: the start of each zstandard dictionary.
 IDENTIFIERS = (
@@ -55,8 +63,19 @@ IDENTIFIERS = (
     "localhost 127.0.0.1 http:// https:// www. .com .org .net example.com version 1.0.0 build release test sample changeme placeholder "
     "your_token_here xxxxxxxxxxxxxxxx 0000000000000000 1234567890 0123456789abcdef abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
+#: Common parts of names; the dictionary has them as they are, with a capital and in capitals.
+NAME_PARTS = (
+    "account action address array batch begin block body buffer cache call category channel child class client code column command comment "
+    "common company config content context control count create current custom customer data date default delete description device display "
+    "document element email entry error event field file filter first format from group handler header height here image index info input "
+    "item label last length level list load local location manager member message method model module name network next node notification "
+    "number object order output owner page parameter parent path payment permission phone product profile project provider query queue "
+    "record reference region register remote request resource response result role schema search select send server service setting size "
+    "source start state status stop storage store string system table target task template text this time timestamp title type update "
+    "user value version view width with write"
+).split()
 
-SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("novelty", T.DoubleType())])
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,71 +89,110 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    prime = zstandard.ZstdCompressionDict(f"{IDENTIFIERS}\n{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    size = lambda data: len(zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
-    return size(candidate.encode()) - size(b"")
+class Dictionary:
+    """Measures candidates against identifiers, a vocabulary and the text around them."""
+
+    def __init__(self, vocabulary: str = ""):
+        parts = " ".join(NAME_PARTS)
+        self.common = f"{vocabulary}\n{parts.upper()}\n{parts.title()}\n{parts}\n{IDENTIFIERS}\n"
+
+    def marginal_bytes(self, candidate: str, before: str, after: str) -> int:
+        prime = zstandard.ZstdCompressionDict(f"{self.common}{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda data: len(zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data.encode()))
+        alone = size(PROSE)
+        return sum(size(PROSE + candidate[at : at + PIECE]) - alone for at in range(0, len(candidate), PIECE))
 
+    def novelty(self, text: str, a: int, b: int) -> float:
+        """Marginal bytes for each byte of text[a:b]. Copies of it close by don't make it cheaper."""
+        value = text[a:b]
+        around = (text[max(0, a - SURROUNDINGS) : a].replace(value, " "), text[b : b + SURROUNDINGS].replace(value, " "))
+        return self.marginal_bytes(value, *around) / len(value.encode())
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, last = [], 0
-    starts: list[int] = []  # of the taken stretches, merged and in order
+
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
     ends: list[int] = []
-    for a, _, b in sorted(taken):
+    for a, _, b in sorted(spans):
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
             starts.append(a)
             ends.append(b)
-    for word in SENSITIVE.finditer(text):
-        at, reach = max(word.start(), last), word.end() + REACH
-        # whether a candidate begins within reach shows in its first characters; its end may lie further on
-        while (begun := CANDIDATE.search(text, at, reach + LEAST_CANDIDATE)) and begun.start() <= reach:
-            a, b = CANDIDATE.match(text, begun.start()).span()
-            rest = a == at and a > last and CHARACTER.match(text[a - 1])  # the rest of a string that began earlier
-            at = last = b
-            value = text[a:b]
-            near = bisect_right(ends, a)
-            if rest or len(CHANGE.findall(value)) < CHANGES or (near < len(starts) and starts[near] < b):
-                continue
-            if marginal_bytes(value, text[max(0, a - SURROUNDINGS) : a], text[b : b + SURROUNDINGS]) > NOVELTY * len(value):
-                found.append((a, 3, b))
+    return starts, ends
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], dictionary: Dictionary) -> list[tuple[int, int, int, float]]:
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    first = [a for a, _ in words]
+    starts, ends = merged(taken)
+    found, last = [], -REACH - 1
+    for m in CANDIDATE.finditer(text):
+        a, b = m.start(), m.start() + len(m[0].rstrip("."))
+        if b - a < LEAST_CANDIDATE:
+            continue
+        near = bisect_right(ends, a)
+        if near < len(starts) and starts[near] < b:
+            last = b
+            continue
+        word = bisect_right(first, b + REACH) - 1  # the last that begins early enough
+        if (word >= 0 and words[word][1] >= a - REACH) or a - last <= REACH:
+            novelty = dictionary.novelty(text, a, b)
+            if novelty > NOVELTY:
+                found.append((a, 3, b, novelty))
+                last = b
     return found
 
 
-def spans_of(text: str | None) -> list[dict]:
+def spans_of(text: str | None, dictionary: Dictionary) -> list[dict]:
     if not text:
         return []
     fixed = fixed_spans(text)
-    return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(fixed + novel_spans(text, fixed))]
+    measured = [(a, k, b, dictionary.novelty(text, a, b)) for a, k, b in fixed]
+    return [{"kind": KINDS[k], "start": a, "end": b, "novelty": x} for a, k, b, x in sorted(measured + novel_spans(text, fixed, dictionary))]
+
 
+def vocabulary(docs: DataFrame, text: str = "text") -> str:
+    """The most frequent words of letters of all documents, by spaces, the most frequent last, where references to them
+    are shortest. Words are counted in each task before they are dealt out."""
+    least, most = VOCABULARY_LETTERS
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z])[A-Za-z]{{{least},{most}}}(?![A-Za-z])"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY_WORDS)
+    return " ".join(r["word"] for r in reversed(top.collect()))
 
-def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with the array column out of (kind, start, end), by start and then kind in the order of KINDS."""
+
+def scan(docs: DataFrame, text: str = "text", out: str = "spans", known: str = "") -> DataFrame:
+    """docs with the array column out of (kind, start, end, novelty), by start and then kind in the order of KINDS.
+    known: words that names are made of (see vocabulary)."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != out]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.ArrayType(SPAN))])
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = Dictionary(known)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                found = [spans_of(t.as_py()) for t in batch.column(text)]
+                found = [spans_of(t.as_py(), dictionary) for t in batch.column(text)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, kind)], names=[*names, out])
 
     return docs.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", known: str = "") -> DataFrame:
     """docs with each stretch of the text that spans cover replaced by mark; other columns stay."""
 
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts):
+        dictionary = Dictionary(known)
+
         def one(t):
-            if not t or not (spans := spans_of(t)):
+            if not t or not (spans := spans_of(t, dictionary)):
                 return t
             parts, end = [], 0
             for s in spans:
@@ -149,7 +207,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, known=vocabulary(docs)).select("doc_id", "spans")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
