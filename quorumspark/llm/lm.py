@@ -45,7 +45,7 @@ from .common import LOWER_BYTES, doc_bucket, materialize, mixed, small_batches,
 #: Words of the longest n-grams.
 ORDER = 3
 #: UTF-8 bytes of the texts of a block, about.
-BLOCK_BYTES = 14_000_000
+BLOCK_BYTES = 9_000_000
 #: Entries that a bucket adds up, about.
 BUCKET_ENTRIES = 3_000_000
 #: Held by no word, as it is white space.
@@ -192,7 +192,7 @@ def packed(docs: DataFrame, part: Column, block_bytes: int) -> DataFrame:
             held[deletes], weight[deletes] = [], 0
             row = {"block": here + made, "deletes": deletes}
             row |= {name: np.concatenate(x).tobytes() for name, x in (("ids", ids), ("has_id", has), ("part", parts), ("sizes", sizes))}
-            return pa.RecordBatch.from_pylist([row | {"texts": zstandard.compress(b"".join(texts), 1)}])
+            return pa.RecordBatch.from_pylist([row | {"texts": zstandard.compress(b"".join(texts), 6)}])
 
         for whole in batches:
             for at in range(0, len(whole), 200):
@@ -243,6 +243,7 @@ def score(docs: DataFrame, train: Column, deleted: Column, block_bytes: int = BL
                 counts = block.counted(True if deletes else np.repeat(np.frombuffer(row["part"], np.int8) == 1, block.lengths))
                 keys, cuts = block.keys, [0, *np.searchsorted(block.keys, edges).tolist(), len(block.keys)]
                 del block
+                trim_memory()
                 rows = [(b, row["block"], deletes, y - x, packed_keys(keys[x:y]), packed_counts(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]  # noqa: B905
                 yield pd.DataFrame(rows, columns=["bucket", "block", "deletes", "n", "keys", "counts"])
 
@@ -289,8 +290,10 @@ def score(docs: DataFrame, train: Column, deleted: Column, block_bytes: int = BL
             logs = np.where(seen, np.log2(np.where(seen, ml, 1.0) / (lower if n == 1 else lower[block.suffix[n - 1]])), 0.0)
             step = np.where(seen, np.floor(logs * STEPS), UNSEEN).astype(np.int64)
             found = pd.DataFrame({"bucket": log_bucket(context), "step": step, "deleted": deleted, "logs": logs * deleted})
-            del block
-            return found.groupby(["bucket", "step"], as_index=False).sum()
+            del block, counts, lower, context, ml, deleted, logs, step
+            found = found.groupby(["bucket", "step"], as_index=False).sum()
+            trim_memory()
+            return found
 
         return ratios
 
