@@ -23,9 +23,6 @@ from .common import materialize, table
 SPAN = 10
 #: Positions that each seed looks at. Both ends are looked at, so a hit lies within item and text.
 SEEDS = ((0, 1, 2, 4, 5), (0, 2, 6, 7, 8), (0, 1, 2, 3, 6))
-#: What op9_sql hashes, and of which windows of the texts: a narrower search with the same verification.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9), (1, 2, 4, 5, 7, 8))
-STRIDE = 2
 OVERLAP = 20
 AGREE = 80
 #: Item windows up to which they are sent to every executor.
@@ -101,18 +98,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sql() -> str:
-    """What op9_decontaminate computes, in the DuckDB dialect."""
-    masks = ", ".join(f"({m}, {list(mask)})" for m, mask in enumerate(MASKS))
-    seeds = lambda rows, stride: f"(SELECT id, p, m, list_transform(o, lambda k: w[p + k + 1]) AS key FROM (SELECT id, w, unnest(range(0, len(w) - {SPAN - 1}, {stride})) AS p FROM {rows} WHERE len(w) >= {SPAN}), masks)"
+    """What op9_decontaminate computes, in the DuckDB dialect: all alignments, without seeds. One that passes agrees in
+    that many tokens at least, so alignments come from equal tokens."""
+    cut = lambda name, key: f"SELECT row_number() OVER () AS rid, {key} AS id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM {name} WHERE {key} IS NOT NULL"
     return f"""
-WITH masks(m, o) AS (VALUES {masks}),
-d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL),
-i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM benchmark WHERE item_id IS NOT NULL),
-hits AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.p - b.p AS shift FROM {seeds("d", STRIDE)} a JOIN {seeds("i", 1)} b ON a.m = b.m AND a.key = b.key),
+WITH d AS MATERIALIZED (SELECT * FROM ({cut("documents", "doc_id")}) WHERE len(w) >= {SPAN}),
+i AS MATERIALIZED (SELECT * FROM ({cut("benchmark", "item_id")}) WHERE len(w) >= {SPAN}),
+dt AS (SELECT rid, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d),
+it AS (SELECT rid, len(w) AS n, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM i),
+shifts AS (
+  SELECT dt.rid AS d_rid, it.rid AS i_rid, dt.p - it.p AS shift FROM dt JOIN it ON dt.t = it.t
+  GROUP BY ALL HAVING count(*) * 100 >= any_value(least(it.n, {OVERLAP})) * {AGREE}),
 aligned AS (
-  SELECT doc_id, item_id, len(i.w) AS n, least(len(i.w), {OVERLAP}) AS l,
+  SELECT d.id AS doc_id, i.id AS item_id, len(i.w) AS n, least(len(i.w), {OVERLAP}) AS l,
          list_transform(range(0, len(i.w)), lambda j: CASE WHEN j + shift >= 0 AND d.w[j + shift + 1] = i.w[j + 1] THEN 1 ELSE 0 END) AS same
-  FROM hits JOIN d ON d.id = doc_id JOIN i ON i.id = item_id),
+  FROM shifts JOIN d ON d.rid = d_rid JOIN i ON i.rid = i_rid),
 best AS (
   SELECT doc_id, item_id, n, l, list_max(list_transform(range(1, n - l + 2), lambda a: list_sum(same[a : a + l - 1]))) AS agreeing FROM aligned)
 SELECT doc_id, item_id, CAST(max(agreeing) AS BIGINT) AS agreeing, CAST(max(n) AS BIGINT) AS item_tokens
