@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize
+from .common import drop_tables, materialize, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: long columns a, b. Returns id, root: for every id in an edge the least id that it is connected with.
 
     Alternates the large and the small star: each node's larger (then smaller) neighbours are tied to the least id
-    among its neighbours and itself, until nothing changes. Loops and repeated edges are fine, nulls are left out.
+    among its neighbours and itself, until nothing changes. Loops and repeated edges are fine, nulls are left out; without
+    edges there are no rows. The edges of one node may be many: they do not meet in one task.
     """
     c = F.col
     now = materialize(
         edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     while True:
+        n = 2 * now.count()
         both = now.where("a <> b").select(c("a").alias("u"), c("b").alias("v")).unionByName(now.where("a <> b").select(c("b").alias("u"), c("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(c("v").alias("a"), c("m").alias("b")).unionByName(now.where("a = b")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, ["u"], n).where("v > u").select(c("v").alias("a"), c("m").alias("b")).unionByName(now.where("a = b")).distinct()
+        large = materialize(large, "stars")
         # the small star: of (a, b) with b <= a, tie a and all its b to the least b
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(c("b").alias("a"), c("m").alias("b")).unionByName(lowest.select("a", c("m").alias("b"))).where("a <> b").unionByName(large.where("a = b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        tied = spread_join(large, lowest, ["a"], n).select(c("b").alias("a"), c("m").alias("b"))
+        small = tied.unionByName(lowest.select("a", c("m").alias("b"))).where("a <> b").unionByName(large.where("a = b")).distinct()
         after = materialize(small, "edges")
         # done when every node has one edge and no root is below another
         settled = after.where("a <> b").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and after.where("a <> b").select("b").join(after.where("a <> b").select(c("a").alias("b")), "b", "left_semi").isEmpty()
-        drop_tables(now)
+        drop_tables(now, large)
         now = after
         if settled:
             break

@@ -5,29 +5,34 @@ joined at once and one of each group goes on. In each of several independent tre
 its minwise tokens: a node is the documents that agree on the tokens chosen so far. Nodes of up to NODE documents
 are leaves; larger ones branch on further tokens, which the node itself chooses (a quarter of the nodes choose two,
 so a similar pair stays together somewhere at each level about as surely as on the one before). Leaves compare all
-their signatures; what may reach the threshold (within four standard errors) goes on to an exact comparison of whole
-shingle sets, once for each group of connected candidates. Groups beyond a bound are compared leaf by leaf, and
-anything still too large in pairs of blocks, so nothing is capped. The confirmed links' connected components are
-the classes.
+their signatures; what may reach the threshold (within six standard errors) goes on to an exact comparison of whole
+shingle sets, once for each group of connected candidates, or leaf by leaf where a group is beyond a bound. The
+confirmed links' connected components are the classes.
+
+A group too large for one task is a family of near copies, or ends up as such when no branch divides it. It is dealt
+into blocks, each compared within itself and with a few pivots of the whole group. Mostly all are then connected; what
+is not connected with the group's largest part is compared with all of the group, in chunks. So links that would only
+repeat a connection are not looked for, and none between different components is missed.
 
 Two documents at the threshold of 0.8 share a tree's first token with probability 0.8, so 12 trees miss them with
-probability 0.2 ** 12 at a depth of one.
+probability 0.2 ** 12 at a depth of one; signatures drop one in 10^8 pairs at the threshold.
 
 Results: a row for each row of the input. Null and empty texts, and texts without a word, have 0 shingles, link
-with nothing and stand for themselves. Rows of one doc_id are separate documents of that name. A null doc_id gives
-way to any linked row with an id and is kept otherwise. Extra columns play no part.
+with nothing and stand for themselves. Rows of one doc_id are separate documents of that name. A row with a null
+doc_id gives way to an exact copy with an id; other links cannot name it, so it stays. Very long texts are compared
+whole, an empty table gives no rows, extra columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize, mixed, small_batches, table, tidily
+from .common import drop_tables, materialize, mixed, small_batches, spread_join, table, tidily
 from .graph import components
 from .hashing import numbers, pieces, word_hashes
 
@@ -38,6 +43,8 @@ TREES = 12
 DEPTH = 3
 #: Documents in a leaf, or in a block, at most.
 NODE = 1500
+#: Documents of a larger group, about, that all its blocks are compared with.
+PIVOTS = 32
 #: Shingles in a group that one task compares, about.
 GROUP_SHINGLES = 1_500_000
 
@@ -200,23 +207,22 @@ def token(at) -> F.Column:
     return F.substring("sig", at * 4 + 1, 4)
 
 
-def tree_leaves(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """reps: rep, sig. The leaves (node, rep) with two documents or more of all trees, and tables to drop later."""
+def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame]]:
+    """reps: rep, sig. The leaves (node, rep, n) with n documents, two or more, of all trees, and tables to drop later.
+    Leaves of the last level may be larger than NODE."""
     c = F.col
     first = [F.xxhash64(F.lit(t), token(F.lit(5 * t % TOKENS))) for t in range(TREES)]
     level = reps.select("rep", F.explode(F.array(*first)).alias("node"))
     leaves, tables = [], []
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        held = materialize(level.join(sizes, "node"), "nodes")
+        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", c("n"))
+        held = materialize(spread_join(level, sizes, ["node"], 2 * TREES * n_reps).select("node", "rep", c("size").alias("n")), "nodes")
         tables.append(held)
-        leaves.append(held.where(c("n") <= NODE).select("node", "rep"))
         large = held.where(c("n") > NODE)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            leaves.append(blocks(large.select(c("node").alias("grp"), "rep", F.ceil(c("n") / NODE).cast("int").alias("parts"))).select(c("grp").alias("node"), "rep"))
+        if depth == DEPTH or large.isEmpty():
+            leaves.append(held)
             break
+        leaves.append(held.where(c("n") <= NODE))
         coordinate = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
         child = lambda salt: F.xxhash64("node", F.lit(salt), token(coordinate(salt)))
         twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0
@@ -227,14 +233,31 @@ def tree_leaves(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return out, tables
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """grp, rep, parts: deals each group into parts blocks, and gives a group to each pair of blocks (and, with one
-    part, to the whole group), so that any two of a group meet."""
+def group_links(groups: DataFrame, compare: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect each group as all links of its documents would. groups: grp, rep, n (documents), parts
+    (blocks that it has to be dealt into); compare: from grp, rep to all links within each group."""
     c = F.col
-    own = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), c("parts")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), c("parts") - 1)))
-    pair = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    return other.where((c("own") != c("other")) | (c("parts") == 1)).select(F.when(c("parts") > 1, pair).otherwise(c("grp")).alias("grp"), "rep")
+    groups = keep(groups, "groups")
+    single = groups.where("parts = 1").select("grp", "rep")
+    if groups.where("parts > 1").isEmpty():
+        return compare(single)
+    many = groups.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), c("parts")).cast("int"))
+    all_parts = F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias("own")
+    pivots = many.where(F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) * c("n") < (1 << 30) * PIVOTS).select("grp", "rep", all_parts)
+    blocks = many.select("grp", "rep", "own").unionByName(pivots).distinct().select(F.xxhash64("grp", "own").alias("grp"), "rep")
+    links = keep(compare(single.unionByName(blocks)), "links")
+
+    connected = components(links)
+    settled = keep(many.join(connected.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "settled")
+    shares = settled.groupBy("grp", "root").agg(F.count("*").alias("held")).groupBy("grp").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("n"), F.max("held").alias("most"))
+    placed = spread_join(settled.drop("n"), shares.withColumn("size", c("n")), ["grp"], settled.count())
+    left_over = c("size") - c("most")
+    placed = placed.where(left_over > 0).withColumns({"rest": c("root") != c("main"), "chunks": F.ceil(left_over * c("parts") / c("size")).cast("int")})
+    # every document of a block meets every chunk of what is left over
+    everyone = placed.select("grp", "rep", "own", F.explode(F.sequence(F.lit(0), c("chunks") - 1)).alias("chunk"))
+    rest = placed.where("rest").select("grp", "rep", all_parts, F.pmod(F.xxhash64("rep", F.lit(23)), c("chunks")).cast("int").alias("chunk"))
+    again = everyone.unionByName(rest).distinct().select(F.xxhash64("grp", "own", "chunk").alias("grp"), "rep")
+    return links.unionByName(compare(again))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -248,33 +271,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return tables[-1]
 
     docs = docs.select(c("doc_id").cast("long").alias("doc_id"), "text")
+    same = ["sum1", "sum2", "n_shingles"]
     sketched = keep(sketch(docs, k), "sketches")
-    copies = sketched.where("n_shingles > 0").groupBy("sum1", "sum2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = sketched.where("n_shingles > 0").join(copies, ["sum1", "sum2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(c("doc_id") == c("rep"), c("sig")).alias("sig"))
-    members = materialize(members.unionByName(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", c("doc_id").alias("rep"), "sig")), "members")
+    n_docs = sketched.count()
+    copies = keep(sketched.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    members = spread_join(sketched, copies.withColumns({"copies": c("n"), "copied": F.lit(True)}), same, n_docs, how="left")
+    members = members.withColumn("rep", F.when(c("copied"), c("rep")).otherwise(c("doc_id"))).select("doc_id", "n_shingles", "rep", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(c("doc_id") == c("rep"), c("sig")).alias("sig"))
+    members = materialize(members, "members")
     reps = members.where("sig is not null").select("rep", "sig")
 
-    leaves, held = tree_leaves(reps)
+    leaves, held = tree_leaves(reps, n_docs)
     tables += held
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / TOKENS) ** 0.5
-    found = leaves.join(reps, "rep").repartition("node").sortWithinPartitions("node").mapInPandas(tidily(lambda parts: candidates(parts, least)), "a long, b long").distinct()
+    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / TOKENS) ** 0.5
+
+    def similar(groups: DataFrame) -> DataFrame:
+        signed = groups.select(c("grp").alias("node"), "rep").join(reps, "rep")
+        return signed.repartition("node").sortWithinPartitions("node").mapInPandas(tidily(lambda parts: candidates(parts, least)), "a long, b long")
+
+    def exact(groups: DataFrame) -> DataFrame:
+        # written first: where candidates are few, Spark then sends them to the texts instead of shuffling all texts
+        compared = keep(groups, "compared")
+        texts = docs.join(compared, docs["doc_id"] == compared["rep"]).select("grp", "rep", "text")
+        return texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(tidily(lambda parts: confirmed(parts, k, percent)), "a long, b long")
+
+    found = group_links(leaves.select(c("node").alias("grp"), "rep", "n", F.ceil(c("n") / NODE).cast("int").alias("parts")), similar, keep).distinct()
     groups = keep(components(found), "candidates")
 
     weighed = groups.join(members.where("sig is not null").select(c("rep").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
-    sums = weighed.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    large = sums.where(c("n") > NODE)
-    whole = weighed.join(sums.where(c("n") <= NODE), "root").select(c("root").alias("grp"), c("id").alias("rep"), "weight")
-    within = leaves.join(weighed.join(large.select("root"), "root").select(c("id").alias("rep"), "root", "n_shingles"), "rep").select(F.xxhash64("node", "root").alias("grp"), "rep", "n_shingles").distinct()
-    within = within.join(within.groupBy("grp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")).where("n > 1"), "grp").select("grp", "rep", "weight")
-    # written first: where candidates are few, Spark then sends them to the texts instead of shuffling all texts
-    compared = keep(blocks(whole.unionByName(within).select("grp", "rep", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts"))), "compared")
-    texts = docs.join(compared, docs["doc_id"] == compared["rep"]).select("grp", "rep", "text")
-    links = texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(tidily(lambda parts: confirmed(parts, k, percent)), "a long, b long")
+    sums = weighed.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).withColumn("size", c("n"))
+    rooted = keep(spread_join(weighed, sums, ["root"], n_docs), "rooted")
+    whole = rooted.where(c("size") <= NODE).select(c("root").alias("grp"), c("id").alias("rep"), c("size").alias("n"), "weight")
+    within = leaves.select("node", "rep").join(rooted.where(c("size") > NODE).select(c("id").alias("rep"), "root", "n_shingles"), "rep").select(F.xxhash64("node", "root").alias("grp"), "rep", "n_shingles").distinct()
+    heavy = within.groupBy("grp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")).where("n > 1").withColumn("size", c("n"))
+    within = spread_join(within, heavy, ["grp"], 2 * TREES * n_docs).select("grp", "rep", c("size").alias("n"), "weight")
+    links = group_links(whole.unionByName(within).select("grp", "rep", "n", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts")), exact, keep)
     classes = components(links)
 
     drop_tables(*tables)
+    classes = classes.withColumnRenamed("id", "rep").join(members.where("sig is not null").groupBy("rep").agg(F.max("copies").alias("n")), "rep")
     component = F.coalesce("root", "rep")
-    return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"), c("doc_id").eqNullSafe(component).alias("kept"))
+    return spread_join(members, classes, ["rep"], n_docs, how="left").select("doc_id", "n_shingles", component.alias("component_id"), c("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
