@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
+import gzip
+import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +134,36 @@ def test_warc(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "c"), min_payload=5)
     kinds = {r["metadata"]["page_id"]: r["response"]["record_type"] for r in warc.assemble(warc.read_records(spark, str(tmp_path / "c"))).collect()}
     assert kinds[1] == kinds[4] == "response"
+
+
+def test_warc_of_others_and_broken_ones(spark, tmp_path):
+    """Long HTTP headers, blocks without end, records without length, stray lines, and truncated archives."""
+    record = lambda kind, block, *more: "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *more, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    body = b"\x00\xffpayload\r\n\r\nWARC/1.0\r\n\r\n"
+    response = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 9000 + b"\r\n\r\n" + body
+    good = record("response", response, "WARC-Record-ID: <a>")
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(record("warcinfo", b"", "WARC-Record-ID: <i>")) + gzip.compress(b"stray\r\nlines\r\n\r\n" + good))
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n" + record("response", b"no headers", "WARC-Record-ID: <b>") + good[:-200]))
+    noise = bytes(random.Random(1).randbytes(200_000)).replace(b"\n", b"")
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(good + record("resource", noise, "WARC-Record-ID: <c>"))[:-5000])
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    got = Counter((r["archive"].rsplit("/", 1)[1][0], r["record_type"], r["record_id"], r["error"]) for r in rows)
+    end = "the archive ends within a record"
+    assert got == {
+        ("x", "response", "<a>", None): 2, ("x", "warcinfo", "<i>", None): 1, ("x", None, None, "no record begins here"): 1,
+        ("y", None, None, "no valid Content-Length"): 1, ("y", "response", "<b>", "no end of the HTTP headers"): 1, ("y", None, None, end): 1,
+        ("z", "response", "<a>", None): 1, ("z", None, None, end): 1,
+    }
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    assert all((r["payload_digest"], r["payload_bytes"], r["digest_ok"]) == (digest, len(body), False) for r in rows if r["record_id"] == "<a>")
+    assert warc.assemble(warc.read_records(spark, str(tmp_path))).count() == 2
+
+
+def test_warc_without_broadcast(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(300)], "page_id long, url string, html string")
+    both = []
+    for bound in (warc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
+        warc.write_archives(pages, str(tmp_path / str(bound)))
+        both.append({(r["metadata"]["page_id"], r["response"]["record_type"], r["metadata"]["refers_to"]) for r in warc.assemble(warc.read_records(spark, str(tmp_path / str(bound)))).collect()})
+    assert both[0] == both[1] and len(both[0]) == 300 and (1, "revisit", 299) in both[0]
