@@ -6,8 +6,10 @@ of characters that a loss counts: what the assistant says, its closing mark incl
 
 Turns are ordered by turn, then role, then text, nulls first; repeated turns all stay. Rows without a conversation
 id belong to no conversation and are left out. A null role renders as "user", a null text as empty. Pairs of equal
-conversations have two empty completions; a side without turns has an empty one. Extra columns play no part. One
-conversation is one training example and has to fit a row.
+conversations have two empty completions; a side without turns has an empty one. Such pairs, and those of which a
+completion has nothing that a loss counts, are kept and marked as not trainable. Very long texts are rendered whole,
+empty tables give no rows. Columns of pairs stay, whatever their names, apart from those that are replaced; extra
+columns of turns play no part. One conversation is one training example and has to fit a row.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 LEARNT = "assistant"
@@ -56,24 +58,26 @@ def learnt_spans(turns: Column) -> Column:
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """pairs with the columns n_common, prompt, chosen_text, chosen_mask, rejected_text and rejected_mask in place of
-    the two arrays of (role, text)."""
-    same = F.zip_with(chosen, rejected, lambda a, b: a.eqNullSafe(b))
+    """pairs with the columns n_common, prompt, chosen_text, chosen_mask, rejected_text, rejected_mask and trainable in
+    place of the two arrays of (role, text)."""
+    c = F.col
+    a, b, n = fresh("chosen"), fresh("rejected"), fresh("common")
+    same = F.zip_with(chosen, rejected, lambda x, y: x.eqNullSafe(y))
     first_other = F.array_position(same, F.lit(False))
-    common = F.when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
-    pairs = pairs.withColumn("n_common", common)
-    rest = lambda side: F.slice(side, F.col("n_common") + 1, F.greatest(F.size(side) - F.col("n_common"), F.lit(0)))
-    return (
-        pairs.withColumn("prompt", all_rendered(F.slice(chosen, F.lit(1), F.col("n_common"))))
-        .withColumns({"__chosen": rest(chosen), "__rejected": rest(rejected)})
-        .withColumns({"chosen_text": all_rendered(F.col("__chosen")), "chosen_mask": learnt_spans(F.col("__chosen")), "rejected_text": all_rendered(F.col("__rejected")), "rejected_mask": learnt_spans(F.col("__rejected"))})
-        .drop(chosen, rejected, "__chosen", "__rejected")
-    )
+    held = pairs.withColumns({n: F.when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")})
+    rest = lambda side: F.slice(side, c(n) + 1, F.greatest(F.size(side) - c(n), F.lit(0)))
+    held = held.withColumns({a: rest(chosen), b: rest(rejected)})
+    made = {
+        "n_common": c(n), "prompt": all_rendered(F.slice(chosen, F.lit(1), c(n))), "chosen_text": all_rendered(c(a)), "chosen_mask": learnt_spans(c(a)),
+        "rejected_text": all_rendered(c(b)), "rejected_mask": learnt_spans(c(b)),
+    }
+    held = held.select(*(x for x in pairs.columns if x not in (chosen, rejected, *made, "trainable")), *(x.alias(name) for name, x in made.items()))
+    return held.withColumn("trainable", (F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0))
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is preferred over one in which an answer stops half way: the first answer where conv_id is
-    odd, else the last one."""
+    """Demonstration data, as there is no table of rejected conversations: each conversation is preferred over itself
+    with one answer cut half way, the first answer where conv_id is odd, else the last one."""
     whole = turns_of(table(spark, sf_dir, "conversations"), "conv_id", "chosen")
     places = F.filter(F.sequence(F.lit(1), F.size("chosen")), lambda i: F.get("chosen", i - 1)["role"].eqNullSafe(LEARNT))
     whole = whole.withColumn("__cut", F.when(F.col("conv_id") % 2 != 0, F.array_min(places)).otherwise(F.array_max(places)))
@@ -81,7 +85,7 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.transform("chosen", lambda t, i: F.struct(t["role"].alias("role"), F.when((i + 1).eqNullSafe(F.col("__cut")), half(t["text"])).otherwise(t["text"]).alias("text")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     made = format_preferences(whole.select("conv_id", "chosen", cut.alias("rejected")))
-    return made.select("conv_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_text", spans("chosen_mask").alias("chosen_mask"), "rejected_text", spans("rejected_mask").alias("rejected_mask"))
+    return made.select("conv_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_text", spans("chosen_mask").alias("chosen_mask"), "rejected_text", spans("rejected_mask").alias("rejected_mask"), "trainable")
 
 
 OP4_SQL = """
@@ -112,6 +116,7 @@ SELECT conv_id, CAST(any_value(n_common) AS BIGINT) AS n_common,
   coalesce(string_agg(a, '' ORDER BY i) FILTER (WHERE i > n_common), '') AS chosen_text,
   coalesce(string_agg((end_a - length(a) + 12 + length(role) + 1)::BIGINT || ':' || end_a::BIGINT, ',' ORDER BY i) FILTER (WHERE i > n_common AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE i > n_common), '') AS rejected_text,
-  coalesce(string_agg((end_b - length(b) + 12 + length(role) + 1)::BIGINT || ':' || end_b::BIGINT, ',' ORDER BY i) FILTER (WHERE i > n_common AND role = 'assistant'), '') AS rejected_mask
+  coalesce(string_agg((end_b - length(b) + 12 + length(role) + 1)::BIGINT || ':' || end_b::BIGINT, ',' ORDER BY i) FILTER (WHERE i > n_common AND role = 'assistant'), '') AS rejected_mask,
+  coalesce(bool_or(i > n_common AND role = 'assistant'), false) AS trainable
 FROM placed GROUP BY conv_id
 """

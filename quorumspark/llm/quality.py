@@ -8,7 +8,9 @@ little text are not judged (the length guards), nor are documents whose language
 (their common words) or no reference.
 
 Only DataFrame functions are used. Null and empty texts have all counts 0 and fail the base rules. A null language
-is a language of its own without common words. Repeated rows are judged alike. Columns of the input stay.
+is a language of its own without common words. Repeated rows are judged alike, very long texts are measured whole,
+an empty table gives no rows and no references. Columns of the input stay, whatever their names, apart from one named
+like the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, fresh, materialize, table
 
 #: Base rules: fewer words, or more of the words (in percent) in repeated windows, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -82,28 +84,29 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", out: str =
     c = F.col
     n = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     body = F.coalesce(c(text), F.lit(""))
-    with_words = docs.withColumns({"__words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), "__rest": F.regexp_replace(body, "[a-z]+", "")})
+    words, rest = fresh("words"), fresh("rest")
+    with_words = docs.withColumns({words: F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), rest: F.regexp_replace(body, "[a-z]+", "")})
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    word_chars = F.length(F.array_join("__words", ""))
-    upper, digits, symbols = (count_of(c("__rest"), k) for k in ("[A-Z]", "[0-9]", SYMBOLS))
-    letters = count_of(c("__rest"), r"[\p{L}\p{M}]") - upper
-    small = F.length(body) - F.length("__rest")
+    word_chars = F.length(F.array_join(words, ""))
+    upper, digits, symbols = (count_of(c(rest), k) for k in ("[A-Z]", "[0-9]", SYMBOLS))
+    letters = count_of(c(rest), r"[\p{L}\p{M}]") - upper
+    small = F.length(body) - F.length(rest)
     classes = [small, upper, letters, digits, symbols, word_chars - small - upper - letters - digits - symbols, F.length(body) - word_chars]
 
     def equal_to(word: str):
         return lambda x: x == word
 
-    def common(words: list[str]) -> Column:
+    def common(listed: list[str]) -> Column:
         """Histogram of the common words, all others last."""
-        found = F.filter(F.transform("__words", F.lower), lambda w: w.isin(words))
-        return let(found, lambda f: F.concat(F.array(*(F.size(F.filter(f, equal_to(w))) for w in words)), F.array(F.size("__words") - F.size(f))))
+        found = F.filter(F.transform(words, F.lower), lambda w: w.isin(listed))
+        return let(found, lambda f: F.concat(F.array(*(F.size(F.filter(f, equal_to(w))) for w in listed)), F.array(F.size(words) - F.size(f))))
 
     histogram = F.lit(None).cast("array<int>")
-    for name, words in COMMON.items():
-        histogram = F.when(c(lang) == name, common(words)).otherwise(histogram)
+    for name, listed in COMMON.items():
+        histogram = F.when(c(lang) == name, common(listed)).otherwise(histogram)
     measured = F.struct(
-        n(F.size("__words")).alias("n_words"), n(word_chars).alias("word_chars"), n(symbols).alias("n_symbols"),
-        n(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"), n(repeated_words(c("__words"))).alias("n_repeat_words"),
+        n(F.size(words)).alias("n_words"), n(word_chars).alias("word_chars"), n(symbols).alias("n_symbols"),
+        n(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"), n(repeated_words(c(words))).alias("n_repeat_words"),
         F.array(*(x.cast("int") for x in classes)).alias("classes"), histogram.alias("common"),
     )
     # a generator of one row: later steps take the finished struct instead of its expressions
@@ -147,21 +150,24 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", column: str = "measured") -> DataFrame:
-    """measured with base_failed, class_distance, word_distance and kept."""
-    refs = refs.select(F.col("lang").alias("__lang"), "ref_classes", "ref_common")
+def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", column: str = "measured", out: str = "verdict") -> DataFrame:
+    """measured with the struct column out: base_failed, class_distance, word_distance and kept."""
+    key, ref_classes, ref_common, rated = map(fresh, ("lang", "classes", "common", "rated"))
+    refs = refs.select(F.col("lang").alias(key), F.col("ref_classes").alias(ref_classes), F.col("ref_common").alias(ref_common))
     m = F.col(column)
     classes, common = guarded(m)
-    joined = measured.join(refs, F.col(lang).eqNullSafe(F.col("__lang")), "left")
-    rated = joined.withColumns({"base_failed": base_failed(m), "class_distance": distance(classes, F.col("ref_classes")), "word_distance": distance(common, F.col("ref_common"))})
-    far = F.coalesce(F.col("class_distance") > MOST_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MOST_WORD_DISTANCE, F.lit(False))
-    return rated.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "ref_classes", "ref_common")
+    joined = measured.drop(out).join(refs, F.col(lang).eqNullSafe(F.col(key)), "left")
+    found = F.struct(base_failed(m).alias("base_failed"), distance(classes, F.col(ref_classes)).alias("class_distance"), distance(common, F.col(ref_common)).alias("word_distance"))
+    joined = joined.withColumn(rated, found)
+    r = F.col(rated)
+    far = F.coalesce(r["class_distance"] > MOST_CLASS_DISTANCE, F.lit(False)) | F.coalesce(r["word_distance"] > MOST_WORD_DISTANCE, F.lit(False))
+    return joined.withColumn(out, r.withField("kept", ~r["base_failed"] & ~far)).drop(key, ref_classes, ref_common, rated)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(measure(table(spark, sf_dir, "documents")).select("doc_id", "lang", "measured"), "quality")
     m = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
-    return judge(measured, references(measured)).select("doc_id", *(F.col(f"measured.{x}").alias(x) for x in m), "base_failed", "kept")
+    return judge(measured, references(measured)).select("doc_id", *(F.col(f"measured.{x}").alias(x) for x in m), "verdict.base_failed", "verdict.kept")
 
 
 def _listed(counts: list[str]) -> str:

@@ -7,7 +7,8 @@ so the join never compares captures with the whole list; the list is broadcast w
 
 Of an addition and a removal of one entry at one time the removal holds. Repeated events change nothing. Events
 without pattern or date, and captures without URL, host or date, match nothing; every capture gets a row, repeated
-ones too. Extra columns of the captures stay.
+ones too. An empty table of captures gives no rows, an empty history no match. URLs of any length are asked for whole.
+Columns of the captures stay, whatever their names, apart from n_active and lists, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, materialize, spread_join, table
 
 #: A list of up to so many intervals is sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -47,18 +48,43 @@ def keys_of(url: Column) -> Column:
     return F.when((host != "") & host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
 
 
+def listed_changes(snapshots: DataFrame) -> DataFrame:
+    """The events that dated copies of whole lists tell of. snapshots: list, kind, pattern, at (a row per entry of each
+    copy). An entry is added at the first copy that has it after one that has not, and removed at the first copy of its
+    list that lacks it again. Copies of a list are known by their entries, so an empty copy is none."""
+    c = F.col
+    entry = ["list", "kind", "pattern"]
+    rows = snapshots.where("pattern is not null and at is not null").select(*entry, "at").distinct()
+    # copies of a list are few: each gets the date of the one before it and after it
+    order = Window.partitionBy("list").orderBy("at")
+    copies = rows.select("list", "at").distinct().withColumns({"before": F.lag("at").over(order), "after": F.lead("at").over(order)})
+    held = rows.join(copies, ["list", "at"])
+    there = rows.select(*entry, c("at").alias("other"))
+    same = lambda side: [held[x].eqNullSafe(there[x]) for x in entry] + [held[side] == there["other"]]
+    new = held.join(there, same("before"), "left_anti").select(*entry, F.lit("add").alias("action"), "at")
+    gone = held.where("after is not null").join(there, same("after"), "left_anti").select(*entry, F.lit("remove").alias("action"), c("after").alias("at"))
+    return new.unionByName(gone)
+
+
 def filter_captures(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "fetched_on") -> DataFrame:
     """captures with n_active (entries active for it) and lists (their lists, sorted)."""
     c = F.col
     active = intervals(events)
     if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
-    asked = captures.select(c(url).alias("__url"), c(at).alias("__at")).where("__url is not null and __at is not null").distinct().select("__url", "__at", F.explode(keys_of(c("__url"))).alias("key"))
-    hits = asked.join(active, "key").where((c("__at") >= c("since")) & (c("until").isNull() | (c("__at") < c("until"))))
+    captures = captures.drop("n_active", "lists")
+    names = captures.columns
+    of, on = fresh("url"), fresh("at")
+    captures = captures.withColumns({of: c(url), on: c(at)})
+    fetched = captures.where(c(of).isNotNull() & c(on).isNotNull()).groupBy(of, on).agg(F.count("*").alias("n"))
+    asked = fetched.select(of, on, "n", F.explode(keys_of(c(of))).alias("key"))
+    hits = asked.join(active, "key").where((c(on) >= c("since")) & (c("until").isNull() | (c(on) < c("until"))))
     # a capture meets at most the entries of its own few keys
-    verdicts = hits.groupBy("__url", "__at").agg(F.count("*").alias("n_active"), F.sort_array(F.collect_set("list")).alias("lists"))
-    joined = captures.drop("n_active", "lists").join(verdicts, (c(url) == c("__url")) & (c(at) == c("__at")), "left").drop("__url", "__at")
-    return joined.withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "lists": F.coalesce("lists", F.array().cast("array<string>"))})
+    verdicts = materialize(hits.groupBy(of, on).agg(F.first("n").alias("n"), F.count("*").alias("n_active"), F.sort_array(F.collect_set("list")).alias("lists")), "url-verdicts")
+    # captures of one URL don't meet in one task, however many they are
+    rows = verdicts.agg(F.sum("n")).first()[0] or 0
+    joined = spread_join(captures, verdicts, [of, on], rows, how="left")
+    return joined.select(*names, F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.coalesce("lists", F.array().cast("array<string>")).alias("lists"))
 
 
 #: The history that op10 applies: list, kind, pattern, action, day.

@@ -12,6 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quorumspark.llm import bpe, chat, decontaminate, lm, near_dup, quality, secrets, toxicity, url_filter, warc
 from quorumspark.llm.common import doc_bucket
 from tests.llm.fixtures import LONG, ODD, definition, odd_docs
@@ -65,7 +66,7 @@ def test_quality(docs, empty):
     measured = quality.measure(df)
     judged = quality.judge(measured, quality.references(measured)).collect()
     assert len(judged) == len(ODD)
-    assert all(not r["kept"] and r["base_failed"] for r in judged if not r["text"])
+    assert all(not r["verdict"]["kept"] and r["verdict"]["base_failed"] for r in judged if not r["text"])
     m = quality.measure(empty)
     assert quality.judge(m, quality.references(m)).count() == 0
 
@@ -167,3 +168,88 @@ def test_warc_without_broadcast(spark, tmp_path, monkeypatch):
         warc.write_archives(pages, str(tmp_path / str(bound)))
         both.append({(r["metadata"]["page_id"], r["response"]["record_type"], r["metadata"]["refers_to"]) for r in warc.assemble(warc.read_records(spark, str(tmp_path / str(bound)))).collect()})
     assert both[0] == both[1] and len(both[0]) == 300 and (1, "revisit", 299) in both[0]
+
+
+#: Names that operators might use inside.
+CLASHES = ["kept", "base_failed", "measured", "verdict", "__words", "__rest", "__lang", "ref_common", "ref_classes", "__url", "__at", "key", "ids", "n", "n_tokens", "rep", "root", "grp", "node", "hash", "words", "spans", "score", "sig", "block", "part", "copies", "hot", "toxic", "digest", "id", "first", "value", "__kept", "__rows", "turns", "n_common"]
+
+
+def clashing(df):
+    return df.select("*", *(F.lit("mine").alias(c) for c in CLASHES if c not in df.columns))
+
+
+@pytest.fixture(scope="module")
+def hard(spark, data):
+    """Odd documents and ordinary ones, one of them of 5 MB, with columns named like those inside operators."""
+    plain = spark.read.parquet(f"{data}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 1000)
+    huge = spark.createDataFrame([(500, LONG * 30, "en", "s", 1)], SCHEMA)
+    return clashing(spark.createDataFrame(ODD, SCHEMA).unionByName(plain).unionByName(huge)).cache()
+
+
+def test_pipeline_stages_on_hard_documents(spark, data, hard):
+    before = hard
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, data).cache()
+        if name == "tokenization":
+            assert set(after.columns) == set(hard.columns) - {"text"}
+        else:
+            assert after.columns == hard.columns
+        assert after.count() == before.count() if name in ("secret_scan", "tokenization") else after.count() <= before.count()
+        untouched = [c for c in CLASHES if c not in ("ids", "n_tokens")]
+        assert after.where(" or ".join(f"`{c}` <> 'mine'" for c in untouched)).isEmpty()
+        given = {tuple(r) for r in hard.select("doc_id", "lang", "source").collect()}
+        assert {tuple(r) for r in after.select("doc_id", "lang", "source").collect()} <= given
+        before = after
+    for name, stage in corpus_pipeline.STAGES:  # each by itself, and on nothing
+        assert stage(spark, hard, data).count() > 0
+        assert stage(spark, hard.limit(0), data).count() == 0
+        nulls = spark.createDataFrame([(None,) * 5] * 3, SCHEMA)
+        assert stage(spark, nulls, data).count() == (0 if name == "quality_rules" else 3)
+
+
+def test_operators_on_hard_documents(spark, hard):
+    n = hard.count()
+    bucket = doc_bucket(F.col("doc_id"), 4)
+    labels = clashing(hard.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int"))).drop("toxic").withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    model = toxicity.fit(hard, labels, bucket < 2, bucket == 3)
+    items = clashing(spark.createDataFrame([(1, LONG[:300]), (2, None)], "item_id long, text string"))
+    m = quality.measure(hard, out="m")
+    results = {
+        "toxicity": toxicity.score(hard, model), "bpe": bpe.encode(hard, definition()), "near_dup": near_dup.near_duplicates(hard), "quality": quality.judge(m, quality.references(m, column="m"), column="m", out="v"),
+        "lm": lm.score(hard, bucket != 0, bucket == 1), "secrets": secrets.scan(hard, known=secrets.vocabulary(hard)),
+    }
+    for name, df in results.items():
+        assert df.count() == n, name
+        replaced = {"toxicity": "score", "bpe": "ids", "secrets": "spans"}.get(name)
+        stay = [c for c in CLASHES if c in df.columns and c != replaced and name not in ("near_dup", "lm")]
+        assert df.where(" or ".join(["false", *(f"`{c}` <> 'mine'" for c in stay)])).isEmpty(), name
+    assert {r["doc_id"] for r in decontaminate.contamination(hard, items).collect()} == {9, 500}
+
+
+def test_url_filter_on_hard_captures(spark):
+    day = datetime.date
+    events = clashing(spark.createDataFrame([("l", "host", "bad.org", "add", day(2024, 1, 1))], "list string, kind string, pattern string, action string, at date"))
+    rows = [(1, "http://bad.org/" + "a/" * 2000, day(2024, 2, 1)), *[(2, "http://bad.org/", day(2024, 2, 1))] * 300, (3, "http://good.org/", day(2024, 2, 1)), (4, None, None)]
+    captures = clashing(spark.createDataFrame(rows, "page_id long, url string, fetched_on date"))
+    got = url_filter.filter_captures(captures, events)
+    assert got.columns == [*captures.columns, "n_active", "lists"]
+    assert Counter((r["page_id"], r["n_active"]) for r in got.collect()) == {(1, 1): 1, (2, 1): 300, (3, 0): 1, (4, 0): 1}
+    assert got.where(" or ".join(f"`{c}` <> 'mine'" for c in CLASHES)).isEmpty()
+
+
+def test_list_snapshots(spark):
+    day = datetime.date
+    rows = [("l", "host", p, day(2024, m, 1)) for m, ps in ((1, "ab"), (2, "b"), (4, "abc"), (5, "c")) for p in ps] + [("l", "host", "a", day(2024, 1, 1)), ("k", None, "x", day(2024, 3, 1)), ("l", "host", None, day(2024, 3, 1))]
+    got = {(r["list"], r["pattern"], r["action"], r["at"].month) for r in url_filter.listed_changes(spark.createDataFrame(rows, "list string, kind string, pattern string, at date")).collect()}
+    assert got == {("l", "a", "add", 1), ("l", "b", "add", 1), ("l", "a", "remove", 2), ("l", "a", "add", 4), ("l", "c", "add", 4), ("l", "a", "remove", 5), ("l", "b", "remove", 5), ("k", "x", "add", 3)}
+
+
+def test_chat_on_hard_turns(spark):
+    turns = "pair long, turn int, role string, text string"
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", LONG * 30), (2, 0, "user", "only"), (3, 0, None, None)]
+    both = clashing(spark.createDataFrame(rows, turns))
+    pairs = chat.pair_up(both, both.withColumn("text", F.when(F.col("role") == "assistant", "no").otherwise(F.col("text"))), "pair")
+    got = {r["pair"]: r for r in chat.format_preferences(clashing(pairs)).collect()}
+    assert {k: r["trainable"] for k, r in got.items()} == {1: True, 2: False, 3: False}
+    assert len(got[1]["chosen_text"]) > 30 * len(LONG) and got[1]["kept"] == "mine" and got[1]["n_common"] == 1
+    assert chat.format_preferences(pairs.limit(0)).count() == 0
