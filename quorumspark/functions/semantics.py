@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,10 +87,12 @@ def base64_line(x: Column) -> Column:
 
 
 def matches(x: Column, pattern: str) -> Column:
-    """Whether the pattern occurs, whatever the case; a pattern that is no regular expression is looked for as text."""
+    """Whether the pattern occurs, whatever the case; a pattern that is no regular expression is looked for as text.
+    Java decides, as Java runs it."""
+    jvm = SparkSession.active().sparkContext._jvm
     try:
-        re.compile(pattern)
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except (Py4JJavaError, IllegalArgumentException):
         return F.lower(x).contains(pattern.lower())
     return x.rlike(f"(?i){pattern}")
 

@@ -173,9 +173,10 @@ def pages_estimate(text: Column) -> Column:
 def keyword_scores(df: DataFrame, spark, key: list[str], text: str = "line") -> DataFrame:
     """key, standard, score (hundredths), spec, rank: 30 for each keyword of a standard, 20 for each of its
     specifications, plus the confidences of explicit references; the last matching specification counts."""
-    terms = spark.createDataFrame([(s, p, k, w, i) for i, (s, p, k, w) in enumerate(catalogue.keywords())], "standard string, spec string, keyword string, points int, place int")
-    # the catalogue is a fixed list of fewer than 200 keywords
-    found = df.select(*key, F.lower(text).alias("__t")).join(F.broadcast(terms), F.col("__t").contains(F.col("keyword")))
+    # the catalogue is a fixed list of fewer than 200 keywords: each row looks for them in place
+    term = lambda s, p, k, w, i: F.struct(F.lit(s).alias("standard"), F.lit(p).cast("string").alias("spec"), F.lit(k).alias("keyword"), F.lit(w).alias("points"), F.lit(i).alias("place"))
+    terms = F.array(*(term(*x, i) for i, x in enumerate(catalogue.keywords())))
+    found = df.select(*key, F.lower(text).alias("__t")).select(*key, F.inline(F.filter(terms, lambda x: F.col("__t").contains(x["keyword"]))))
     scored = found.groupBy(*key, "standard").agg(F.sum("points").alias("k_score"), F.max_by("spec", F.when(F.col("spec").isNotNull(), F.col("place"))).alias("k_spec"))
     refs = references(df.select(*key, text), text).groupBy(*key, "standard").agg(
         F.sum("confidence").alias("r_score"), F.max_by("spec", F.when(F.col("spec").isNotNull(), F.struct("pattern", "occurrence"))).alias("r_spec"), F.min(F.struct("pattern", "occurrence")).alias("first")

@@ -232,12 +232,12 @@ def _(t):
 
 @query(
     "project_redacted_fields", "PR7",
-    "SELECT event_id, '[REDACTED]' AS user_password, event_type AS kind, props AS api_key, '[REDACTED]' AS api_key_too FROM events WHERE event_id % 10 = 0",
+    "SELECT event_id, '[REDACTED]' AS user_password, event_type AS kind, props AS api_key, '[REDACTED]' AS api_key_too FROM events",
 )
 def _(t):
     """The rule leaves API keys as they are; the second form hides them, too."""
     fields = F.create_map(F.lit("userPassword"), F.col("props"), F.lit("kind"), F.col("event_type"), F.lit("apiKey"), F.col("props"))
-    rows = t.events.where("event_id % 10 = 0").select("event_id", P.redacted(fields).alias("m"), P.redacted(fields, also=("apikey",)).alias("s"))
+    rows = t.events.select("event_id", P.redacted(fields).alias("m"), P.redacted(fields, also=("apikey",)).alias("s"))
     return rows.select("event_id", F.col("m")["userPassword"].alias("user_password"), F.col("m")["kind"].alias("kind"), F.col("m")["apiKey"].alias("api_key"), F.col("s")["apiKey"].alias("api_key_too"))
 
 

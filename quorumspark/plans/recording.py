@@ -11,6 +11,7 @@ from ..operators import payload as P
 from ..operators import quality as Q
 from ..operators import writes as W
 from ..registry import query
+from ..sources.shared import fresh_path
 from ..sources import formats as SRC
 from ..sources import views as V
 
@@ -64,11 +65,11 @@ def _(t):
     return new.select("id", "status", F.size("platforms").cast("long").alias("n_platforms"), F.col("content")[F.col("platforms")[0]].alias("body"))
 
 
-OLD_NEW_SQL = "old AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey < 1000), new AS (SELECT c_custkey, '' AS c_name, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 5000000, 'Added', 'NEW')"
+OLD_NEW_SQL = "old AS (SELECT c_custkey, c_name, c_mktsegment FROM customer), new AS (SELECT c_custkey, '' AS c_name, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 5000000, 'Added', 'NEW')"
 
 
 def old_new(t):
-    old = t.customer.where("c_custkey < 1000").select("c_custkey", "c_name", "c_mktsegment")
+    old = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     new = t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit("").alias("c_name"), F.lit("NEW").alias("c_mktsegment"))
     return old, new.unionByName(t.frame([(5000000, "Added", "NEW")], "c_custkey long, c_name string, c_mktsegment string"))
 
@@ -76,12 +77,19 @@ def old_new(t):
 @query("append_rows", "SK1", f"WITH {OLD_NEW_SQL} SELECT * FROM old UNION ALL SELECT * FROM new")
 def _(t):
     old, new = old_new(t)
-    return old.unionByName(new)
+    path = fresh_path(t.spark, "appended")
+    W.append_to(old, path)
+    W.append_to(new, path)
+    return t.spark.read.schema(old.schema).parquet(path)
 
 
 @query("replace_all", "SK2", f"WITH {OLD_NEW_SQL} SELECT * FROM new")
 def _(t):
-    return old_new(t)[1]
+    old, new = old_new(t)
+    path = fresh_path(t.spark, "replaced")
+    W.replace_in(old, path)
+    W.replace_in(new, path)
+    return t.spark.read.schema(old.schema).parquet(path)
 
 
 @query("upsert_rows", "SK3", f"WITH {OLD_NEW_SQL} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE o.c_name END AS c_name, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM old o FULL JOIN new n ON o.c_custkey = n.c_custkey")
@@ -157,11 +165,11 @@ def _(t):
 
 @query(
     "webhook_requests", "SK12",
-    f"""WITH {V.VALIDATION_SQL} SELECT id, '{{"submission":' || submission || ',"standard":"' || standard || '","spec":"' || spec || '"}}' AS body, 'X-API-Key' AS header FROM validation WHERE status = 'pending' AND id % 20 = 0""",
+    f"""WITH {V.VALIDATION_SQL} SELECT id, '{{"submission":' || submission || ',"standard":"' || standard || '","spec":"' || spec || '"}}' AS body, 'X-API-Key' AS header FROM validation WHERE status = 'pending'""",
 )
 def _(t):
     """What would be posted; sending is left to foreachBatch."""
-    pending = V.validations(t).where("status = 'pending' AND id % 20 = 0")
+    pending = V.validations(t).where("status = 'pending'")
     return pending.select("id", F.to_json(F.struct("submission", "standard", "spec")).alias("body"), F.lit("X-API-Key").alias("header"))
 
 

@@ -80,22 +80,22 @@ def _(t):
     "SELECT o_orderkey, min(l_linenumber) AS first_line, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS first_supplier FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_discount > 0.03 GROUP BY 1",
 )
 def _(t):
-    nested = t.lineitem.where("l_discount > 0.03").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("found"))
-    first = F.get("found", F.lit(0))
-    joined = t.orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    found = t.lineitem.where("l_discount > 0.03").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_suppkey")).alias("first"))
+    first = F.col("first")
+    joined = t.orders.join(found, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", first["l_linenumber"].alias("first_line"), first["l_suppkey"].alias("first_supplier"))
 
 
 @query(
     "matrix_import", "JN10 SK16",
-    """WITH old AS (SELECT l_partkey AS standard, l_suppkey AS spec, max(l_linenumber) AS depth FROM lineitem WHERE l_orderkey % 2 = 0 AND l_partkey < 400 GROUP BY 1, 2),
-new AS (SELECT l_partkey AS standard, l_suppkey AS spec, arg_max_null(CASE WHEN l_quantity > 10 THEN l_linenumber END, (l_orderkey, l_linenumber, l_quantity)) AS d FROM lineitem WHERE l_orderkey % 2 = 1 AND l_partkey < 400 GROUP BY 1, 2)
+    """WITH old AS (SELECT l_partkey AS standard, l_suppkey AS spec, max(l_linenumber) AS depth FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+new AS (SELECT l_partkey AS standard, l_suppkey AS spec, arg_max_null(CASE WHEN l_quantity > 10 THEN l_linenumber END, (l_orderkey, l_linenumber, l_quantity)) AS d FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1, 2)
 SELECT * FROM (SELECT coalesce(o.standard, n.standard) AS standard, coalesce(o.spec, n.spec) AS spec, CASE WHEN n.standard IS NOT NULL THEN n.d ELSE o.depth END AS depth FROM old o FULL JOIN new n ON o.standard = n.standard AND o.spec = n.spec) WHERE depth IS NOT NULL""",
 )
 def _(t):
     from ..operators.writes import nested_upsert
 
-    line = t.lineitem.where("l_partkey < 400").withColumnsRenamed({"l_partkey": "standard", "l_suppkey": "spec"})
+    line = t.lineitem.withColumnsRenamed({"l_partkey": "standard", "l_suppkey": "spec"})
     old = line.where("l_orderkey % 2 = 0").groupBy("standard", "spec").agg(F.max("l_linenumber").alias("depth"))
     new = line.where("l_orderkey % 2 = 1").select("standard", "spec", F.struct(F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("v")).alias("boxed"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("at"))
     # boxed, as the last change may be to null
@@ -174,9 +174,8 @@ def _(t):
 
 @query("last_of_list", "ST7", f"WITH {V.LINE_SQL} SELECT doc, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) AS last_five FROM text_line QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC) <= 5".replace("FROM text_line QUALIFY", "FROM (SELECT * FROM text_line QUALIFY") + ") GROUP BY 1")
 def _(t):
-    g = V.text_lines(t).groupBy("doc").agg(F.sort_array(F.collect_list("n")).alias("ns"))
-    last = F.reverse(F.slice("ns", -F.least(F.lit(5), F.size("ns")), F.least(F.lit(5), F.size("ns"))))
-    return g.select("doc", F.array_join(last.cast("array<string>"), ",").alias("last_five"))
+    last = L.newest(V.text_lines(t), ["doc"], 5, F.desc("n")).groupBy("doc").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+    return last.select("doc", F.array_join(F.col("ns").cast("array<string>"), ",").alias("last_five"))
 
 
 @query("newest_fifty", "ST8", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50")
@@ -194,10 +193,10 @@ def _(t):
     return t.nation.join(given, "n_nationkey", "left").select("n_nationkey", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("sort_by_schedule", "ST10", f"WITH {V.POST_SQL} SELECT id, CAST(coalesce(epoch(scheduled), 0) AS BIGINT) AS due FROM post ORDER BY due, id LIMIT 100")
+@query("sort_by_schedule", "ST10", f"WITH {V.POST_SQL} SELECT id, CAST(coalesce(epoch(scheduled), 0) AS BIGINT) AS due FROM post ORDER BY due, id")
 def _(t):
     at = F.coalesce(F.unix_timestamp(F.col("scheduled").cast("timestamp")), F.lit(0)).cast("long")
-    return V.posts(t).select("id", at.alias("due")).orderBy("due", "id").limit(100)
+    return V.posts(t).select("id", at.alias("due")).orderBy("due", "id")
 
 
 @query(
@@ -259,15 +258,15 @@ def _(t):
 
 @query(
     "sections_by_heading", "WN6 TX13",
-    """WITH joined AS (SELECT page_id % 25 AS bucket, string_agg(html, '' ORDER BY page_id) AS html FROM pages GROUP BY 1),
-parts AS (SELECT bucket, html, string_split_regex(html, '(?i)<h1[^>]*>') AS p FROM joined)
-SELECT bucket, CAST(len(p) - 1 AS BIGINT) AS headings, length(p[1]) > 100 AS preamble_kept, CAST(length(html) AS BIGINT) AS chars FROM parts""",
+    r"""WITH cut AS (SELECT page_id, string_split_regex(html, '(?i)<h1[^>]*>') AS p, regexp_extract_all(html, '(?i)<h1[^>]*>') AS h FROM pages),
+bodies AS (SELECT page_id, list_concat(CASE WHEN len(h) = 0 OR length(p[1]) > 100 THEN [p[1]] ELSE [] END, list_transform(range(1, len(h) + 1), lambda i: h[i] || p[i + 1])) AS b FROM cut),
+sections AS (SELECT page_id, unnest(range(0, len(b))) AS place, unnest(b) AS body FROM bodies)
+SELECT page_id, CAST(place AS BIGINT) AS place, regexp_matches(body, '(?i)^<h1[^>]*>') AS has_heading,
+  trim(regexp_replace(regexp_extract(body, '(?i)^<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS heading, body FROM sections""",
 )
 def _(t):
+    """A row for each section of each page, with its text."""
     from ..operators.text import html_sections
 
-    g = t.pages.groupBy((F.col("page_id") % 25).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("p"))
-    joined = g.select("bucket", F.array_join(F.transform("p", lambda x: x["html"]), "").alias("html"))
-    parts = joined.select("bucket", F.length("html").cast("long").alias("chars"), html_sections(F.col("html")).alias("s"))
-    with_heading = lambda s: s["has_heading"]
-    return parts.select("bucket", F.size(F.filter("s", with_heading)).cast("long").alias("headings"), F.exists("s", lambda s: ~s["has_heading"]).alias("preamble_kept"), "chars")
+    cut = t.pages.select("page_id", F.posexplode(html_sections(F.col("html"))).alias("place", "s"))
+    return cut.select("page_id", F.col("place").cast("long").alias("place"), "s.has_heading", "s.heading", "s.body")

@@ -76,9 +76,9 @@ sessions AS (SELECT user_id, run, min(ts) AS s, max(ts) AS l, count(*) AS n FROM
     f"WITH {SESSION_SQL} SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(l, '%Y-%m-%d %H:%M:%S') AS last, n FROM sessions WHERE l + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
 )
 def _(t):
-    """The input comes in order of time, so that nothing is late."""
+    """The input comes in order of time, in several batches, so the watermark moves and nothing is late."""
     events = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    stream = E.as_stream(events, files=1)
+    stream = E.as_stream_in_order(events, "ts")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return E.drained(E.closed_sessions(stream, "user_id", "ts", "30 minutes", "1 hour")).select("user_id", shown("start"), shown("last"), "n")
 

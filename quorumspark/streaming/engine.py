@@ -20,6 +20,23 @@ def as_stream(df: DataFrame, files: int = 4) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def as_stream_in_order(df: DataFrame, at: str, batches: int = 4, files: int = 2) -> DataFrame:
+    """A table as a stream of batches in order of time: each is a range of time, written by a job of its own, one after
+    the other, as so many files, which the stream takes together by their age."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "stream-input")
+    seconds = F.col(at).cast("timestamp").cast("double")
+    bounds = df.select(seconds.alias("s")).where("s is not null").approxQuantile("s", [i / batches for i in range(1, batches)], 0.01)
+    if len(bounds) < batches - 1 or df.limit(1000 * batches).count() < 1000 * batches:
+        bounds, files = [], 1
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        inside = F.lit(True) if low is None else seconds > low
+        inside &= F.lit(True) if high is None else seconds <= high
+        df.where(F.coalesce(inside, F.lit(low is None))).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def drained(stream: DataFrame, mode: str = "append", timeout_s: int = 600) -> DataFrame:
     """What a stream emits until its input ends, with batch_id, as a table in the shared folder. Each batch is
     written under its number, so a batch that is run again replaces what it wrote."""

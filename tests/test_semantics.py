@@ -72,6 +72,9 @@ def test_broken_pattern_is_looked_for_as_text(spark):
     rows = [("A(b",), ("ab",)]
     assert values(spark, rows, "x string", S.matches(F.col("x"), "a(")) == [(True,), (False,)]
     assert values(spark, rows, "x string", S.matches(F.col("x"), "^a.?b")) == [(True,), (True,)]
+    # Java's dialect decides: the first is none there, the second is
+    assert values(spark, [("(?p<n>a)",), ("a",)], "x string", S.matches(F.col("x"), "(?P<n>a)")) == [(True,), (False,)]
+    assert values(spark, [("éxc",), ("1c",)], "x string", S.matches(F.col("x"), r"\p{L}+x*c")) == [(True,), (False,)]
 
 
 @pytest.mark.parametrize(
