@@ -42,7 +42,7 @@ TREES = 12
 #: Levels that branch by tokens before what is still too large is compared in blocks.
 DEPTH = 3
 #: Documents in a leaf, or in a block, at most.
-NODE = 600
+NODE = 1500
 #: Documents of a larger group, about, that all its blocks are compared with.
 PIVOTS = 32
 #: Shingles in a group that one task compares, about.
