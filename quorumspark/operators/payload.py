@@ -1,6 +1,8 @@
 """Semi-structured payloads: normalising, validating, classifying.
 
-Texts that are empty, zeros, false and null count as not given.
+Empty texts, zeros, false and null count as not given. A job feed is read by types, so the texts "0" and "false" are
+given there; in evaluations they count as the values that they spell. A payload that is no JSON, or a feed that repeats
+a name within an object, counts as none.
 """
 
 from __future__ import annotations
@@ -9,16 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def given(payload: Column, *paths: str) -> Column:
-    """The first path of a JSON text that holds something, as text."""
-    one = lambda p: F.get_json_object(payload, p)
-    return F.coalesce(*(F.when(~one(p).isin("", "false", "null"), one(p)) for p in paths))
+def written(value: Column, path: str) -> Column:
+    """What a variant holds at a path, as JSON: texts keep their quotes."""
+    return F.to_json(F.try_variant_get(value, path, "variant"))
 
 
-def number(payload: Column, *paths: str) -> Column:
-    """The first path that holds something but a zero, as text."""
-    one = lambda p: given(payload, p)
-    return F.coalesce(*(F.when(F.coalesce(one(p).try_cast("double") != 0, F.lit(True)), one(p)) for p in paths))
+def given(value: Column, path: str) -> Column:
+    """What a variant holds at a path, as text; null if it is an empty text, a zero, false or null. The texts "0",
+    "false" and "null" are given."""
+    json = written(value, path)
+    return F.when(~json.isin('""', "false", "null") & ~json.rlike(r"^-?0(\.0*)?([eE].*)?$"), F.try_variant_get(value, path, "string"))
 
 
 def let(value: Column, body) -> Column:
@@ -101,26 +103,57 @@ def price(kind: Column, fixed: Column, low: Column, high: Column) -> Column:
     return F.coalesce(made, F.lit(""))
 
 
+#: Output name and place below the job of a feed, for texts ('' if not given) and numbers.
+FEED_TEXTS = [
+    ("title", "title"), ("description", "description"), ("ciphertext", "ciphertext"), ("duration", "duration"), ("engagement", "engagement"),
+    ("experience_level", "experienceLevel"), ("category_name", "categoryName"), ("sub_category_name", "subCategoryName"), ("talent_preference", "talentPreference"),
+    ("country", "client.location.country"), ("city", "client.location.city"), ("timezone", "client.location.timezone"),
+    ("company_industry", "client.company.industry"), ("company_size", "client.company.size"), ("created_on", "createdOn"),
+]
+#: Null if not given, and 0 if not given.
+FEED_NUMBERS = [("connects_price", "connectsPrice"), ("client_rating", "client.stats.feedbackScore"), ("hire_rate", "client.stats.hireRate")]
+FEED_AMOUNTS = [("total_spent", "client.stats.totalSpent"), ("total_hires", "client.stats.totalHires"), ("jobs_posted", "client.stats.jobsPostedCount")]
+FEED_FLAGS = [("payment_verified", "client.paymentVerified"), ("is_enterprise", "client.company.isEnterprise")]
+#: Places beside the job, for texts.
+FEED_SOURCE = [("team_name", "teamName"), ("team_id", "teamId"), ("scanner_name", "scannerName"), ("scanner_id", "scannerId")]
+
+
 def feed_job(payload: Column, apply_url: str) -> Column:
-    """One struct from a job feed's payload; null without a job. Its address is apply_url and the job's cipher text."""
-    at = lambda p: given(payload, f"$.data.job.{p}")
-    text = lambda p: F.coalesce(at(p), F.lit(""))
-    kind = at("budget.type")
-    row = F.struct(
-        text("title").alias("title"), text("description").alias("description"), F.coalesce(F.concat(F.lit(apply_url), at("ciphertext")), F.lit("")).alias("url"),
-        F.when(kind == "1", "Fixed").otherwise("Hourly").alias("job_type"), price(kind, *(number(payload, f"$.data.job.budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))).alias("price"),
-        text("client.location.country").alias("country"), at("client.paymentVerified").isNotNull().alias("payment_verified"),
-        F.coalesce(at("client.stats.totalSpent").try_cast("double"), F.lit(0.0)).alias("total_spent"),
-        F.coalesce(F.get_json_object(payload, "$.data.job.skills[*].name"), F.lit("[]")).alias("skills"),
-        F.coalesce(given(payload, "$.data.teamName"), F.lit("")).alias("team_name"),
-    )
-    return F.when(given(payload, "$.data.job").isNotNull(), row)
+    """One struct from a job feed's payload; null without a job. Its address is apply_url and the job's cipher text;
+    skills (objects with a name, or plain texts) and questions are JSON lists. The text is parsed once."""
+
+    def made(v: Column) -> Column:
+        at = lambda p: given(v, f"$.data.job.{p}")
+        or_blank = lambda x: F.coalesce(x, F.lit(""))
+        number = lambda p: at(p).try_cast("double")
+        kind = written(v, "$.data.job.budget.type")
+        skills = F.transform(F.try_variant_get(v, "$.data.job.skills", "array<variant>"), lambda s: F.coalesce(given(s, "$.name"), F.try_variant_get(s, "$", "string")))
+        row = F.struct(
+            *(or_blank(at(p)).alias(name) for name, p in FEED_TEXTS),
+            or_blank(F.concat(F.lit(apply_url), at("ciphertext"))).alias("url"),
+            F.when(kind == "1", "Fixed").otherwise("Hourly").alias("job_type"),
+            price(kind, *(at(f"budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))).alias("price"),
+            *(number(p).alias(name) for name, p in FEED_NUMBERS),
+            *(F.coalesce(number(p), F.lit(0.0)).alias(name) for name, p in FEED_AMOUNTS),
+            *(at(p).isNotNull().alias(name) for name, p in FEED_FLAGS),
+            F.coalesce(F.to_json(skills), F.lit("[]")).alias("skills"),
+            F.coalesce(at("questions"), F.lit("[]")).alias("questions"),
+            *(or_blank(given(v, f"$.data.{p}")).alias(name) for name, p in FEED_SOURCE),
+            payload.alias("raw"),
+        )
+        return F.when(given(v, "$.data.job").isNotNull(), row)
+
+    return let(F.try_parse_json(payload), made)
 
 
 def feed_errors(payload: Column) -> Column:
     """The first thing that a job feed's payload cannot do without, or null."""
-    missing = lambda p: given(payload, p).isNull()
-    return F.when(missing("$.data"), "data is missing").when(missing("$.data.job"), "job is missing").when(missing("$.data.job.ciphertext"), "ciphertext is missing")
+
+    def first(v: Column) -> Column:
+        missing = lambda p: given(v, p).isNull()
+        return F.when(missing("$.data"), "data is missing").when(missing("$.data.job"), "job is missing").when(missing("$.data.job.ciphertext"), "ciphertext is missing")
+
+    return let(F.try_parse_json(payload), first)
 
 
 # The categories of errors by name and by code.

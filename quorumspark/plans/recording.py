@@ -231,24 +231,45 @@ def _(t):
     return joined.select(F.coalesce("n.id", "o.id").alias("id"), F.coalesce("n.title", "o.title").alias("title"), F.coalesce("o.team", "n.team").alias("team"))
 
 
-#: Payloads of a job feed, as no table holds any; the SQL gives the rows that they have to become.
+#: Payloads of a job feed, as no table holds any: full, sparse, of the other skills' shape, and broken ones.
 FEED = [
-    (1, '{"type":"x","data":{"teamName":"red","job":{"ciphertext":"~01","title":"A","budget":{"type":1,"fixed":500},"client":{"location":{"country":"DE"},"paymentVerified":true,"stats":{"totalSpent":12.5}},"skills":[{"name":"sql"},{"name":"spark"}]}}}'),
+    (1, '{"type":"x","data":{"teamName":"red","teamId":"t1","scannerName":"s","scannerId":7,"job":{"ciphertext":"~01","title":"A","duration":"1 month","engagement":"part","experienceLevel":2,"categoryName":"Web","subCategoryName":"Data","connectsPrice":8,"talentPreference":"any","createdOn":"2024-01-02","questions":["why","how"],"budget":{"type":1,"fixed":500},"client":{"location":{"country":"DE","city":"Ulm","timezone":"CET"},"paymentVerified":true,"stats":{"totalSpent":12.5,"feedbackScore":4.5,"hireRate":0.5,"totalHires":3,"jobsPostedCount":9},"company":{"industry":"IT","size":10,"isEnterprise":true}},"skills":[{"name":"sql"},{"name":"spark"}]}}}'),
     (2, '{"data":{"job":{"title":"","description":"d","budget":{"type":2,"hourlyMin":20,"hourlyMax":40}}}}'),
     (3, '{"data":{"job":{"ciphertext":"~03","budget":{"type":2,"hourlyMin":15,"hourlyMax":0}}}}'),
     (4, '{"data":{"teamName":"x"}}'),
     (5, '{"type":"y"}'),
+    (6, '{"data":{"job":{"ciphertext":"~06","title":"false","description":"null","duration":"0","engagement":false,"budget":{"type":"1","fixed":5},"skills":[{"name":"sql"}],"client":{"paymentVerified":"false","stats":{"totalSpent":"7","hireRate":0}}}}}'),
+    (7, '{"data":{"job":{"ciphertext":"~07","skills":["sql","more sql"],"questions":[],"budget":{"type":1,"fixed":0}}}}'),
+    (8, '{"data":{"job":{"ciphertext":"~08","skills":[{"name":""},{"name":"a"},"b"],"budget":null,"client":null}}}'),
+    (9, '{"data":{"job":null}}'),
+    (10, 'no payload'),
+    (11, None),
 ]
 
 
-@query(
-    "feed_jobs", "JSON",
-    """SELECT * FROM (VALUES (1, 'A', '', 'https://jobs.example.com/~01', 'Fixed', '$500 Fixed', 'DE', true, 12.5::DOUBLE, '["sql","spark"]', 'red', NULL), (2, '', 'd', '', 'Hourly', '$20-$40/hr', '', false, 0::DOUBLE, '[]', '', 'ciphertext is missing'),
-  (3, '', '', 'https://jobs.example.com/~03', 'Hourly', '$15+/hr', '', false, 0::DOUBLE, '[]', '', NULL), (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'job is missing'), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'data is missing'))
-AS v(id, title, description, url, job_type, price, country, payment_verified, total_spent, skills, team_name, error)""",
-)
+def feed_sql() -> str:
+    """What feed_jobs computes, in the DuckDB dialect, from the same payloads."""
+    raw = lambda p: f"CAST((j -> '$.data.{p}') AS VARCHAR)"
+    at = lambda p: f"CASE WHEN {raw(p)} NOT IN ('\"\"', 'false', 'null', '0') THEN (j ->> '$.data.{p}') END"
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    columns = [f"coalesce({at('job.' + p)}, '') AS {name}" for name, p in P.FEED_TEXTS] + [f"coalesce({at(p)}, '') AS {name}" for name, p in P.FEED_SOURCE]
+    columns += [f"TRY_CAST({at('job.' + p)} AS DOUBLE) AS {name}" for name, p in P.FEED_NUMBERS] + [f"coalesce(TRY_CAST({at('job.' + p)} AS DOUBLE), 0) AS {name}" for name, p in P.FEED_AMOUNTS]
+    columns += [f"{at('job.' + p)} IS NOT NULL AS {name}" for name, p in P.FEED_FLAGS]
+    fixed, low, high = (at(f"job.budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))
+    columns += [
+        f"coalesce('https://jobs.example.com/' || {at('job.ciphertext')}, '') AS url", f"CASE WHEN {raw('job.budget.type')} = '1' THEN 'Fixed' ELSE 'Hourly' END AS job_type",
+        f"coalesce(CASE {raw('job.budget.type')} WHEN '1' THEN '$' || {fixed} || ' Fixed' WHEN '2' THEN coalesce('$' || {low} || '-$' || {high} || '/hr', '$' || {low} || '+/hr') END, '') AS price",
+        "CAST(to_json(list_transform(coalesce(CAST((j -> '$.data.job.skills') AS JSON[]), []), lambda s: coalesce(nullif((s ->> '$.name'), ''), (s ->> '$')))) AS VARCHAR) AS skills",
+        f"coalesce({at('job.questions')}, '[]') AS questions", "body AS raw",
+    ]
+    return f"""WITH feed AS (SELECT id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM (VALUES {", ".join(f"({i}, {quoted(x)})" for i, x in FEED)}) AS v(id, body)),
+jobs AS (SELECT id, {", ".join(columns)} FROM feed WHERE {raw("job")} <> 'null')
+SELECT feed.id, jobs.* EXCLUDE (id), CASE WHEN (j -> '$.data') IS NULL THEN 'data is missing' WHEN jobs.id IS NULL THEN 'job is missing' WHEN jobs.ciphertext = '' THEN 'ciphertext is missing' END AS error
+FROM feed LEFT JOIN jobs ON feed.id = jobs.id"""
+
+
+@query("feed_jobs", "JSON", feed_sql())
 def _(t):
-    """The expected rows are worked out by hand."""
     j = F.col("j")
     return t.frame(FEED, "id int, j string").select("id", P.feed_job(j, "https://jobs.example.com/").alias("f"), P.feed_errors(j).alias("error")).select("id", "f.*", "error")
 
