@@ -4,7 +4,8 @@ Every document becomes the set of its word shingles and a signature of minwise t
 joined at once and one of each group goes on. In each of several independent trees a document follows the path of
 its minwise tokens: a node is the documents that agree on the tokens chosen so far. Nodes of up to NODE documents
 are leaves; larger ones branch on further tokens, which the node itself chooses (a quarter of the nodes choose two,
-so a similar pair stays together somewhere at each level about as surely as on the one before). Leaves compare all
+so a similar pair stays together somewhere at each level about as surely as on the one before), but for families of
+near copies, which no token divides and which are leaves of any size. Leaves compare all
 their signatures; what may reach the threshold (within six standard errors) goes on to an exact comparison of whole
 shingle sets, once for each group of connected candidates, or leaf by leaf where a group is beyond a bound. The
 confirmed links' connected components are the classes.
@@ -43,6 +44,8 @@ TREES = 12
 DEPTH = 3
 #: Documents in a leaf, or in a block, at most.
 NODE = 1500
+#: Share of a node's documents that have to be like one of them for it to be a family, which does not branch.
+FAMILY = 31 / 32
 #: Documents of a larger group, about, that all its blocks are compared with.
 PIVOTS = 32
 #: Shingles in a group that one task compares, about.
@@ -207,9 +210,22 @@ def token(at) -> F.Column:
     return F.substring("sig", at * 4 + 1, 4)
 
 
+def with_family(large: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
+    """large: rep, node, n, sig. Adds family: whether nearly all documents of the node are like one of them, so that
+    further tokens would not divide it."""
+    c = F.col
+    one = large.groupBy("node").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
+    one = one.join(reps, "rep").groupBy("node").agg(F.min("sig").alias("one"), F.max("n").alias("size"))
+    met = spread_join(large, one, ["node"], rows, n="size")
+    alike = sum((F.substring("sig", at, 4) == F.substring("one", at, 4)).cast("int") for at in range(1, 4 * TOKENS, 16))
+    share = met.groupBy("node").agg(F.avg((alike >= TOKENS // 8).cast("int")).alias("share"), F.max("n").alias("size"))
+    flags = share.select("node", (c("share") >= FAMILY).alias("family"), "size")
+    return spread_join(large, flags, ["node"], rows, n="size")
+
+
 def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame]]:
     """reps: rep, sig. The leaves (node, rep, n) with n documents, two or more, of all trees, and tables to drop later.
-    Leaves of the last level may be larger than NODE."""
+    Families and leaves of the last level may be larger than NODE."""
     c = F.col
     first = [F.xxhash64(F.lit(t), token(F.lit(5 * t % TOKENS))) for t in range(TREES)]
     level = reps.select("rep", F.explode(F.array(*first)).alias("node"))
@@ -222,11 +238,16 @@ def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame
         if depth == DEPTH or large.isEmpty():
             leaves.append(held)
             break
-        leaves.append(held.where(c("n") <= NODE))
+        signed = materialize(with_family(large.join(reps, "rep"), reps, 2 * TREES * n_reps), "large")
+        tables.append(signed)
+        leaves += [held.where(c("n") <= NODE), signed.where("family").select("node", "rep", "n")]
+        large = signed.where(~c("family"))
+        if large.isEmpty():
+            break
         coordinate = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
         child = lambda salt: F.xxhash64("node", F.lit(salt), token(coordinate(salt)))
         twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0
-        level = large.join(reps, "rep").select("rep", F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
+        level = large.select("rep", F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)

@@ -136,6 +136,28 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch, node, shingles):
     assert got == components(docs, 4, 80)
 
 
+@pytest.mark.parametrize("changes", [2, 40])
+def test_families_do_not_branch(spark, monkeypatch, changes):
+    """Near copies share a node in nearly all trees, once a tree; texts that share a passage branch."""
+    monkeypatch.setattr(near_dup, "NODE", 30)
+    r = random.Random(8)
+    base = [r.choice(WORDS) + str(i) for i in range(150)]
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for at in r.sample(range(150), changes):
+            w[at] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    reps = near_dup.sketch(spark.createDataFrame(docs, "doc_id long, text string"), 4).select(F.col("doc_id").alias("rep"), "sig")
+    leaves, tables = near_dup.tree_leaves(reps, 200)
+    first = tables[0].where(f"n > {near_dup.NODE}").count()
+    assert first > 0
+    if changes == 2:
+        assert len(tables) <= 4 and leaves.where(f"n > {near_dup.NODE}").count() > 0.9 * first
+    else:
+        assert leaves.where(f"n > {near_dup.NODE}").count() < 0.1 * first
+
+
 # --- 9: benchmark passages
 
 
