@@ -39,10 +39,11 @@ def pieces(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield piece
 
 
-def word_hashes(texts: list[bytes], inside: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts (A-Z in lower case), and how many words each text has. Words are the
-    longest runs of the bytes that inside marks."""
-    data = np.frombuffer(b"\n".join(texts).translate(LOWER_BYTES) + b"\n", np.uint8)
+def word_hashes(texts: list[bytes], inside: np.ndarray = WORD_BYTES, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts (A-Z in lower case, unless lower is False), and how many words each text
+    has. Words are the longest runs of the bytes that inside marks."""
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined.translate(LOWER_BYTES) if lower else joined, np.uint8)
     within = inside[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], within]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]

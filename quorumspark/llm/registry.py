@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, lm, near_dup, quality, secrets, toxicity, url_filter, warc
+from . import bpe, chat, debruijn, decontaminate, lm, near_dup, quality, resampling, secrets, toxicity, url_filter, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_substring_dedup": debruijn.op13_substring_dedup,
     }
 
 
