@@ -1,42 +1,56 @@
-"""Running streams to their end, and stateful operators on them."""
+"""Running streams to their end, and operators on them that Spark has."""
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import fresh_path
 
 
-def as_stream(df: DataFrame, files: int = 4) -> DataFrame:
-    """A table as a stream of a few batches, one file each."""
+def _files(spark: SparkSession, batches: int) -> int:
+    """Files of a batch: all batches together have as many as the session has shuffle partitions."""
+    return max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
+
+
+def as_stream(df: DataFrame, batches: int = 4) -> DataFrame:
+    """A table as a stream of so many batches, in no order."""
     spark = df.sparkSession
-    path = fresh_path(spark, "stream-input")
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = fresh_path(spark, "stream-input"), _files(spark, batches)
+    df.repartition(batches * files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def as_stream_in_order(df: DataFrame, at: str, batches: int = 4, files: int = 2) -> DataFrame:
-    """A table as a stream of batches in order of time: each is a range of time, written by a job of its own, one after
-    the other, as so many files, which the stream takes together by their age."""
+def as_stream_in_order(df: DataFrame, at: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of batches in the order of a time or number: each is a range of it, written by a job of its own,
+    one after the other; the stream takes files by their age. Nulls come first. A range without rows makes no batch."""
     spark = df.sparkSession
-    path = fresh_path(spark, "stream-input")
-    seconds = F.col(at).cast("timestamp").cast("double")
-    bounds = df.select(seconds.alias("s")).where("s is not null").approxQuantile("s", [i / batches for i in range(1, batches)], 0.01)
-    if len(bounds) < batches - 1 or df.limit(1000 * batches).count() < 1000 * batches:
-        bounds, files = [], 1
-    edges = [None, *bounds, None]
+    path, files = fresh_path(spark, "stream-input"), _files(spark, batches)
+    value = (F.col(at).cast("timestamp") if df.schema[at].dataType.typeName().startswith("timestamp") else F.col(at)).cast("double")
+    bounds = df.select(value.alias("v")).where("v is not null").approxQuantile("v", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = [None, *sorted(set(bounds)), None]
     for low, high in zip(edges, edges[1:], strict=False):
-        inside = F.lit(True) if low is None else seconds > low
-        inside &= F.lit(True) if high is None else seconds <= high
+        inside = F.lit(True) if low is None else value > low
+        inside &= F.lit(True) if high is None else value <= high
         df.where(F.coalesce(inside, F.lit(low is None))).repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+@contextlib.contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their state in RocksDB, as transformWithState asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drained(stream: DataFrame, mode: str = "append", timeout_s: int = 600) -> DataFrame:
     """What a stream emits until its input ends, with batch_id, as a table in the shared folder. Each batch is
     written under its number, so a batch that is run again replaces what it wrote."""
@@ -46,13 +60,16 @@ def drained(stream: DataFrame, mode: str = "append", timeout_s: int = 600) -> Da
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        if not started.awaitTermination(timeout_s):
-            raise TimeoutError(f"the stream took more than {timeout_s} s")
-    finally:
-        started.stop()
+    with state_in_rocksdb(spark):
+        started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            if not started.awaitTermination(timeout_s):
+                raise TimeoutError(f"the stream took more than {timeout_s} s")
+        finally:
+            started.stop()
     schema = stream.schema.add("batch_id", "integer")
+    if not spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(out)):
+        return spark.createDataFrame([], schema)  # no batch ran
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
@@ -67,23 +84,6 @@ def running_counts(stream: DataFrame, key: Column, at: str) -> DataFrame:
     return stream.groupBy(key.alias("key")).agg(F.count("*").alias("occurrences"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
-def assembled_chunks(stream: DataFrame, key: str, index: str, total: str) -> DataFrame:
-    """For update mode: key, received, complete. The state holds which indexes came, so order and repeats don't
-    matter; a document is complete once all are there."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, of = (int(state.get[0], 16), state.get[1]) if state.exists else (0, 0)
-        for part in parts:
-            for i, n in zip(part[index].tolist(), part[total].tolist(), strict=True):
-                seen |= 1 << i
-                of = max(of, n)
-        state.update((f"{seen:x}", of))
-        received = seen.bit_count()
-        yield pd.DataFrame({key: [k[0]], "received": [received], "complete": [received == of]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, received long, complete boolean", "seen string, total long", "update", GroupStateTimeout.NoTimeout)
-
-
 def closed_sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
     """For append mode: key, start, last and n of sessions that the watermark has closed."""
     windows = stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w"))
