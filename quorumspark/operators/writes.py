@@ -27,16 +27,6 @@ def append_to(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_in(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table as a whole. df must not read it; readers see the new rows when the job is committed."""
-    df.write.mode("overwrite").parquet(path)
-
-
-def csv_file(df: DataFrame, path: str) -> None:
-    """Writes CSV files with a header; quotes within values are doubled."""
-    df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
-
-
 def update_where(df: DataFrame, test: Column, **values: Column) -> DataFrame:
     """df with columns set in the rows of a test."""
     return df.withColumns({k: F.when(F.coalesce(test, F.lit(False)), v).otherwise(F.col(k)) for k, v in values.items()})

@@ -83,15 +83,6 @@ def _(t):
     return t.spark.read.schema(old.schema).parquet(path)
 
 
-@query("replace_all", "SK2", f"WITH {OLD_NEW_SQL} SELECT * FROM new")
-def _(t):
-    old, new = old_new(t)
-    path = fresh_path(t.spark, "replaced")
-    W.replace_in(old, path)
-    W.replace_in(new, path)
-    return t.spark.read.schema(old.schema).parquet(path)
-
-
 @query("upsert_rows", "SK3", f"WITH {OLD_NEW_SQL} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE o.c_name END AS c_name, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM old o FULL JOIN new n ON o.c_custkey = n.c_custkey")
 def _(t):
     return W.upsert(*old_new(t), "c_custkey")
@@ -154,15 +145,6 @@ def _(t):
     return nested.select("l_orderkey", F.array_join(F.transform(left, lambda x: x["id"].cast("string")), ",").alias("lines"))
 
 
-@query(
-    "counter_and_transition", "SK18",
-    "SELECT o_orderkey, o_custkey + 1 AS used, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'expired' ELSE o_orderstatus END AS state FROM orders",
-)
-def _(t):
-    over = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < datetime.datetime(1998, 1, 1))
-    return t.orders.select("o_orderkey", (F.col("o_custkey") + 1).alias("used"), F.when(over, "expired").otherwise(F.col("o_orderstatus")).alias("state"))
-
-
 @query(
     "webhook_requests", "SK12",
     f"""WITH {V.VALIDATION_SQL} SELECT id, '{{"submission":' || submission || ',"standard":"' || standard || '","spec":"' || spec || '"}}' AS body, 'X-API-Key' AS header FROM validation WHERE status = 'pending'""",

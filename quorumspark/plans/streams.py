@@ -172,15 +172,3 @@ def _(t):
     calls = v.where("status <> 'pending'").withColumnRenamed("id", "callback").withColumn("execution", F.col("callback") - 1)
     found = calls.join(pending.select(F.col("id").alias("execution"), F.col("id").alias("by_id")), "execution", "left").join(latest, keys, "left")
     return found.select("callback", F.coalesce("by_id", "by_section").alias("validation"), F.when(F.col("status") == "pass", "pass").otherwise("fail").alias("result"))
-
-
-@query(
-    "import_state_machine", "SM13",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN o_custkey % 4 = 0 THEN 'queued' WHEN o_custkey % 4 = 1 THEN 'loading' ELSE 'loaded' END AS state FROM orders",
-)
-def _(t):
-    """An unknown status counts as loaded."""
-    k = F.col("o_custkey") % 4
-    raw = F.when(F.col("o_orderstatus") == "P", "error").when(k == 0, "queued").when(k == 1, "processing").when(k == 2, "completed").otherwise("whatever")
-    state = F.when(raw == "error", "failed").when(raw == "queued", "queued").when(raw == "processing", "loading").otherwise("loaded")
-    return t.orders.select("o_orderkey", state.alias("state"))
