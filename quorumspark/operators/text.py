@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import first_kind, hits, trimmed
 from . import catalogue
+from .payload import let
 
 LIST_ITEM = "^[•‣◦⁃∙\\-*]\\s|^\\d+[.)]\\s"
 
@@ -31,9 +34,9 @@ def bold(line: Column) -> Column:
     return line.rlike(r"^[A-Z\s]+\z") | ((F.length(line) < 50) & line.rlike("^[A-Z]"))
 
 
-def references(df: DataFrame, text: str = "line") -> DataFrame:
-    """A row per standard reference in the text: standard, spec, matched, confidence (hundredths), and its place by
-    pattern and occurrence."""
+def references_in(text: Column) -> Column:
+    """The standard references of a text, in order of pattern and then of occurrence: pattern, occurrence, matched, standard,
+    spec, confidence (hundredths)."""
     found = []
     for i, (pattern, kind, standard) in enumerate(catalogue.REFERENCES):
         every = lambda g, p=pattern: F.regexp_extract_all(text, F.lit(p), F.lit(g))
@@ -45,7 +48,12 @@ def references(df: DataFrame, text: str = "line") -> DataFrame:
         else:
             continue
         found.append(one)
-    return df.withColumn("__r", F.explode(F.concat(*found))).select("*", "__r.*").drop("__r")
+    return F.concat(*found)
+
+
+def references(df: DataFrame, text: str = "line") -> DataFrame:
+    """A row per standard reference in the text."""
+    return df.withColumn("__r", F.explode(references_in(F.col(text)))).select("*", "__r.*").drop("__r")
 
 
 def _reference(pattern: int, confidence: int, standard: str | None):
@@ -170,40 +178,65 @@ def pages_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 3000)).cast("long")
 
 
-def keyword_scores(df: DataFrame, spark, key: list[str], text: str = "line") -> DataFrame:
-    """key, standard, score (hundredths), spec, rank: 30 for each keyword of a standard, 20 for each of its
-    specifications, plus the confidences of explicit references; the last matching specification counts."""
-    # the catalogue is a fixed list of fewer than 200 keywords: each row looks for them in place
-    term = lambda s, p, k, w, i: F.struct(F.lit(s).alias("standard"), F.lit(p).cast("string").alias("spec"), F.lit(k).alias("keyword"), F.lit(w).alias("points"), F.lit(i).alias("place"))
-    terms = F.array(*(term(*x, i) for i, x in enumerate(catalogue.keywords())))
-    found = df.select(*key, F.lower(text).alias("__t")).select(*key, F.inline(F.filter(terms, lambda x: F.col("__t").contains(x["keyword"]))))
-    scored = found.groupBy(*key, "standard").agg(F.sum("points").alias("k_score"), F.max_by("spec", F.when(F.col("spec").isNotNull(), F.col("place"))).alias("k_spec"))
-    refs = references(df.select(*key, text), text).groupBy(*key, "standard").agg(
-        F.sum("confidence").alias("r_score"), F.max_by("spec", F.when(F.col("spec").isNotNull(), F.struct("pattern", "occurrence"))).alias("r_spec"), F.min(F.struct("pattern", "occurrence")).alias("first")
-    )
-    both = scored.join(refs, [*key, "standard"], "full_outer")
-    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last("first"), F.col("standard").cast("int"))
-    score = F.coalesce("k_score", F.lit(0)) + F.coalesce("r_score", F.lit(0))
-    return both.select(*key, "standard", score.alias("score"), F.coalesce("k_spec", "r_spec").alias("spec"), F.row_number().over(w).alias("rank"))
-
-
-def best_matches(scores: DataFrame, key: list[str]) -> DataFrame:
-    """key, standard, spec, confidence, alternatives: the highest score (the first in rank among equals) from 20 up;
-    alternatives are bests that a later one displaced, and others above 20, the first three in rank."""
-    w = Window.partitionBy(*key).orderBy("rank")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    marked = scores.withColumn("best_yet", F.col("score") > F.coalesce(F.max("score").over(before), F.lit(-1)))
-    # a displaced best is listed when its successor comes, any other when it comes itself
-    displaced_at = F.min(F.when(F.col("best_yet"), F.col("rank"))).over(after)
-    listed = marked.withColumn("displaced_at", displaced_at).withColumn("is_best", F.col("best_yet") & F.col("displaced_at").isNull())
-    listed = listed.withColumn("at", F.when(F.col("best_yet"), F.col("displaced_at")).otherwise(F.when(F.col("score") > 20, F.col("rank"))))
-    confidence = F.least(F.col("score"), F.lit(95))
-    alternative = F.when(F.col("at").isNotNull() & ~F.col("is_best"), F.struct("at", F.col("standard"), F.coalesce("spec", F.lit("a")).alias("spec"), confidence.alias("confidence")))
-    g = listed.groupBy(*key).agg(
-        F.max(F.when(F.col("is_best"), F.struct("score", "standard", "spec"))).alias("b"),
-        F.slice(F.array_sort(F.collect_list(alternative)), 1, 3).alias("alternatives"),
-    )
-    return g.where("b.score >= 20").select(*key, F.col("b.standard").alias("standard"), F.coalesce("b.spec", F.lit("a")).alias("spec"), F.least("b.score", F.lit(95)).alias("confidence"), "alternatives")
+SCORE = "struct<standard: string, score: bigint, spec: string, rank: int>"
+
+
+def scores_in(text: Column) -> Column:
+    """The standards that a text tells of, as an array of SCORE: 30 for each keyword of a standard, 20 for each of its
+    specifications, plus the confidences of explicit references (hundredths); the last matching specification counts. In
+    order of the first reference, then of the standard's number; rank is the place from 1. Empty for null."""
+    # the catalogue is one constant of fewer than 250 terms, in which each row looks for its own
+    terms = F.from_json(F.lit(json.dumps([{"standard": s, "spec": p, "keyword": k, "points": n} for s, p, k, n in catalogue.keywords()])), "array<struct<standard: string, spec: string, keyword: string, points: int>>")
+    found = F.coalesce(let(F.lower(text), lambda t: F.filter(terms, lambda x: t.contains(x["keyword"]))), F.filter(terms, lambda _: F.lit(False)))
+    refs = F.coalesce(references_in(text), F.filter(references_in(F.lit("")), lambda _: F.lit(False)))
+
+    def scored(both: Column) -> Column:
+        k, r = both["k"], both["r"]
+        numbers = F.array_sort(F.transform(F.array_distinct(F.transform(k, lambda x: x["standard"])), lambda x: x.cast("int")))
+        order = F.array_distinct(F.concat(F.transform(r, lambda x: x["standard"]), F.transform(numbers, lambda x: x.cast("string"))))
+
+        def one(standard: Column, i: Column) -> Column:
+            of = lambda xs: F.filter(xs, lambda x: x["standard"] == standard)
+            total = lambda xs, field: F.aggregate(of(xs), F.lit(0).cast("long"), lambda n, x: n + x[field])
+            last = lambda xs: F.try_element_at(F.filter(of(xs), lambda x: x["spec"].isNotNull()), F.lit(-1))["spec"]
+            score = total(k, "points") + total(r, "confidence")
+            return F.struct(standard.alias("standard"), score.alias("score"), F.coalesce(last(k), last(r)).alias("spec"), (i + 1).alias("rank"))
+
+        return F.transform(order, one)
+
+    return let(F.struct(found.alias("k"), refs.alias("r")), scored)
+
+
+def keyword_scores(df: DataFrame, key: list[str], text: str = "line") -> DataFrame:
+    """key, standard, score, spec, rank: a row for each standard that the text tells of."""
+    return df.select(*key, F.inline(scores_in(F.col(text))))
+
+
+def best_of(scores: Column) -> Column:
+    """standard, spec, confidence, alternatives of scores_in(): the highest score (the first in rank among equals) from 20
+    up, else null; alternatives are bests that a later one displaced, and others above 20, the first three as they come."""
+    start = F.struct(F.lit(None).cast(SCORE).alias("best"), F.array().cast(f"array<{SCORE}>").alias("others"))
+
+    def step(s: Column, x: Column) -> Column:
+        state = lambda best, others: F.struct(best.alias("best"), others.alias("others"))
+        return (
+            F.when(s["best"].isNull(), state(x, s["others"]))
+            .when(x["score"] > s["best"]["score"], state(x, F.array_append(s["others"], s["best"])))
+            .when(x["score"] > 20, state(s["best"], F.array_append(s["others"], x)))
+            .otherwise(s)
+        )
+
+    def finish(s: Column) -> Column:
+        shown = lambda x: (x["standard"].alias("standard"), F.coalesce(x["spec"], F.lit("a")).alias("spec"), F.least(x["score"], F.lit(95)).alias("confidence"))
+        others = F.transform(F.slice(s["others"], 1, 3), lambda x: F.struct(*shown(x)))
+        return F.when(s["best"]["score"] >= 20, F.struct(*shown(s["best"]), others.alias("alternatives")))
+
+    return F.aggregate(scores, start, step, finish)
+
+
+def best_matches(df: DataFrame, text: str = "line") -> DataFrame:
+    """df with standard, spec, confidence and alternatives of the text: see best_of(); null where nothing reaches 20."""
+    return df.withColumn("__b", best_of(scores_in(F.col(text)))).select("*", "__b.*").drop("__b")
 
 
 def table_mapping(kind: Column, text: Column) -> Column:

@@ -118,17 +118,6 @@ def _(t):
     return t.frame(rows, "id int, html string").select("id", X.promoted(F.col("html")).alias("html"))
 
 
-def scored(t):
-    """Scores of the distinct lines: a line's score doesn't depend on where it stands."""
-    return X.keyword_scores(V.text_lines(t).select("line").distinct(), t.spark, ["line"])
-
-
-def best_of_lines(t):
-    lines = V.text_lines(t)
-    best = X.best_matches(scored(t), ["line"])
-    return lines.join(best, "line", "left")
-
-
 SCORE_SQL = f"""{V.LINE_SQL}, one AS (SELECT DISTINCT line FROM text_line), kw(standard, spec, keyword, points, place) AS (VALUES {K.keyword_rows()}),
 k AS (SELECT line, standard, sum(points) AS score, arg_max(spec, place) FILTER (WHERE spec IS NOT NULL) AS spec FROM one JOIN kw ON contains(lower(line), keyword) GROUP BY 1, 2),
 refs AS (SELECT line, regexp_extract(line, '(?i)standard\\s*([0-9]{{1,2}})', 1) AS standard, nullif(lower(regexp_extract(line, '(?i)standard\\s*[0-9]{{1,2}}([a-z])', 1)), '') AS spec, 95 AS c, 0 AS p FROM one WHERE regexp_matches(line, '(?i)standard\\s*[0-9]')
@@ -142,7 +131,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY p NULLS LAST,
 
 @query("keyword_scores", "TX14", f"WITH {SCORE_SQL} SELECT line, standard, CAST(score AS BIGINT) AS score, spec, CAST(rank AS BIGINT) AS rank FROM ranked")
 def _(t):
-    return scored(t).select("line", "standard", F.col("score").cast("long").alias("score"), "spec", F.col("rank").cast("long").alias("rank"))
+    scores = X.keyword_scores(V.text_lines(t).select("line").distinct(), ["line"])
+    return scores.select("line", "standard", "score", "spec", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -154,14 +144,15 @@ SELECT doc, n, b.standard, CASE WHEN b.line IS NOT NULL THEN coalesce(spec, 'a')
 def _(t):
     c = F.col("confidence").cast("long")
     route = F.when(c.isNull(), "unmapped: no match").when(c >= 60, "mapped").otherwise("unmapped: low confidence")
-    return best_of_lines(t).select("doc", "n", "standard", "spec", c.alias("confidence"), route.alias("route"))
+    return X.best_matches(V.text_lines(t)).select("doc", "n", "standard", "spec", c.alias("confidence"), route.alias("route"))
 
 
 @query("alternative_standards", "TX16", None)
 def _(t):
     """Displaced bests depend on the order of iteration; held against a re-statement in the tests."""
     shown = F.array_join(F.transform("alternatives", lambda a: F.concat_ws(":", a["standard"], a["spec"], a["confidence"].cast("string"))), ",")
-    return X.best_matches(scored(t), ["line"]).select("line", "standard", shown.alias("alternatives"))
+    best = X.best_matches(V.text_lines(t).select("line").distinct()).where("standard is not null")
+    return best.select("line", "standard", shown.alias("alternatives"))
 
 
 @query(
@@ -205,7 +196,7 @@ def _(t):
 SELECT doc, b.standard, coalesce(b.spec, 'a') AS spec, string_agg(t.line, chr(10) || chr(10) ORDER BY n) AS narrative FROM text_line t JOIN best b ON t.line = b.line AND score >= 60 GROUP BY 1, 2, 3""",
 )
 def _(t):
-    g = best_of_lines(t).where("confidence >= 60").groupBy("doc", "standard", "spec").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("xs"))
+    g = X.best_matches(V.text_lines(t)).where("confidence >= 60").groupBy("doc", "standard", "spec").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("xs"))
     return g.select("doc", "standard", "spec", F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("narrative"))
 
 
