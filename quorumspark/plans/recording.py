@@ -31,11 +31,17 @@ def _(t):
     return t.orders.where("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
 
 
-@query("slide_texts", "SC6", "SELECT * FROM (VALUES ('a.pptx', 'Title One'), ('b.pptx', '')) AS v(name, text)")
+@query(
+    "slide_texts", "SC6",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'Part ' || l_partkey || ' ' || l_linestatus || ' &amp; more' END AS text FROM lineitem",
+)
 def _(t):
-    """Texts of slide XML; the expected rows are worked out by hand."""
-    rows = [("a.pptx", "<p:sp><a:t>Title</a:t><a:t xml:space='x'>One</a:t></p:sp>"), ("b.pptx", "<p:sp/>")]
-    return t.frame(rows, "name string, xml string").select("name", SRC.slide_text(F.col("xml")).alias("text"))
+    """Texts of slide XML, a slide for each line of an order: runs with and without attributes, and slides without text."""
+    run = lambda tag, *xs: F.concat(F.lit(f"<a:r><a:rPr lang='en'/><a:t{tag}>"), *xs, F.lit("</a:t></a:r>"))
+    runs = F.concat(run("", F.lit("Part "), F.col("l_partkey").cast("string")), run(" xml:space='preserve'", F.col("l_linestatus")), run("", F.lit("&amp; more")))
+    xml = F.concat(F.lit("<p:sp><p:txBody>"), F.when(F.col("l_returnflag") == "R", "<a:p/>").otherwise(runs), F.lit("</p:txBody></p:sp>"))
+    # each run is one text; the parts of the first are one run
+    return t.lineitem.select("l_orderkey", "l_linenumber", SRC.slide_text(xml).alias("text"))
 
 
 @query(
@@ -213,19 +219,19 @@ def _(t):
     return joined.select(F.coalesce("n.id", "o.id").alias("id"), F.coalesce("n.title", "o.title").alias("title"), F.coalesce("o.team", "n.team").alias("team"))
 
 
-#: Payloads of a job feed, as no table holds any: full, sparse, of the other skills' shape, and broken ones.
+#: Payloads of a job feed, one of them for each order (@: its key): full, sparse, of the other skills' shape, and broken ones.
 FEED = [
-    (1, '{"type":"x","data":{"teamName":"red","teamId":"t1","scannerName":"s","scannerId":7,"job":{"ciphertext":"~01","title":"A","duration":"1 month","engagement":"part","experienceLevel":2,"categoryName":"Web","subCategoryName":"Data","connectsPrice":8,"talentPreference":"any","createdOn":"2024-01-02","questions":["why","how"],"budget":{"type":1,"fixed":500},"client":{"location":{"country":"DE","city":"Ulm","timezone":"CET"},"paymentVerified":true,"stats":{"totalSpent":12.5,"feedbackScore":4.5,"hireRate":0.5,"totalHires":3,"jobsPostedCount":9},"company":{"industry":"IT","size":10,"isEnterprise":true}},"skills":[{"name":"sql"},{"name":"spark"}]}}}'),
-    (2, '{"data":{"job":{"title":"","description":"d","budget":{"type":2,"hourlyMin":20,"hourlyMax":40}}}}'),
-    (3, '{"data":{"job":{"ciphertext":"~03","budget":{"type":2,"hourlyMin":15,"hourlyMax":0}}}}'),
-    (4, '{"data":{"teamName":"x"}}'),
-    (5, '{"type":"y"}'),
-    (6, '{"data":{"job":{"ciphertext":"~06","title":"false","description":"null","duration":"0","engagement":false,"budget":{"type":"1","fixed":5},"skills":[{"name":"sql"}],"client":{"paymentVerified":"false","stats":{"totalSpent":"7","hireRate":0}}}}}'),
-    (7, '{"data":{"job":{"ciphertext":"~07","skills":["sql","more sql"],"questions":[],"budget":{"type":1,"fixed":0}}}}'),
-    (8, '{"data":{"job":{"ciphertext":"~08","skills":[{"name":""},{"name":"a"},"b"],"budget":null,"client":null}}}'),
-    (9, '{"data":{"job":null}}'),
-    (10, 'no payload'),
-    (11, None),
+    '{"type":"x","data":{"teamName":"red","teamId":"t1","scannerName":"s","scannerId":7,"job":{"ciphertext":"~01@","title":"A @","duration":"1 month","engagement":"part","experienceLevel":2,"categoryName":"Web","subCategoryName":"Data","connectsPrice":8,"talentPreference":"any","createdOn":"2024-01-02","questions":["why","how"],"budget":{"type":1,"fixed":@},"client":{"location":{"country":"DE","city":"Ulm","timezone":"CET"},"paymentVerified":true,"stats":{"totalSpent":@.5,"feedbackScore":4.5,"hireRate":0.5,"totalHires":3,"jobsPostedCount":9},"company":{"industry":"IT","size":10,"isEnterprise":true}},"skills":[{"name":"sql"},{"name":"s@"}]}}}',
+    '{"data":{"job":{"title":"","description":"d @","budget":{"type":2,"hourlyMin":2@,"hourlyMax":40}}}}',
+    '{"data":{"job":{"ciphertext":"~@","budget":{"type":2,"hourlyMin":15,"hourlyMax":0}}}}',
+    '{"data":{"teamName":"x@"}}',
+    '{"type":"y"}',
+    '{"data":{"job":{"ciphertext":"~06","title":"false","description":"null","duration":"0","engagement":false,"budget":{"type":"1","fixed":5},"skills":[{"name":"sql"}],"client":{"paymentVerified":"false","stats":{"totalSpent":"7","hireRate":0}}}}}',
+    '{"data":{"job":{"ciphertext":"~07","skills":["sql","more @"],"questions":[],"budget":{"type":1,"fixed":0}}}}',
+    '{"data":{"job":{"ciphertext":"~08","skills":[{"name":""},{"name":"a"},"b"],"budget":null,"client":null}}}',
+    '{"data":{"job":null}}',
+    'no payload',
+    None,
 ]
 
 
@@ -244,7 +250,8 @@ def feed_sql() -> str:
         "CAST(to_json(list_transform(coalesce(CAST((j -> '$.data.job.skills') AS JSON[]), []), lambda s: coalesce(nullif((s ->> '$.name'), ''), (s ->> '$')))) AS VARCHAR) AS skills",
         f"coalesce({at('job.questions')}, '[]') AS questions", "body AS raw",
     ]
-    return f"""WITH feed AS (SELECT id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM (VALUES {", ".join(f"({i}, {quoted(x)})" for i, x in FEED)}) AS v(id, body)),
+    body = f"replace(list_extract([{', '.join(map(quoted, FEED))}], CAST(o_orderkey % {len(FEED)} AS INTEGER) + 1), '@', CAST(o_orderkey AS VARCHAR))"
+    return f"""WITH feed AS (SELECT id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM (SELECT o_orderkey AS id, {body} AS body FROM orders)),
 jobs AS (SELECT id, {", ".join(columns)} FROM feed WHERE {raw("job")} <> 'null')
 SELECT feed.id, jobs.* EXCLUDE (id), CASE WHEN (j -> '$.data') IS NULL THEN 'data is missing' WHEN jobs.id IS NULL THEN 'job is missing' WHEN jobs.ciphertext = '' THEN 'ciphertext is missing' END AS error
 FROM feed LEFT JOIN jobs ON feed.id = jobs.id"""
@@ -252,8 +259,10 @@ FROM feed LEFT JOIN jobs ON feed.id = jobs.id"""
 
 @query("feed_jobs", "JSON", feed_sql())
 def _(t):
-    j = F.col("j")
-    return t.frame(FEED, "id int, j string").select("id", P.feed_job(j, "https://jobs.example.com/").alias("f"), P.feed_errors(j).alias("error")).select("id", "f.*", "error")
+    j = F.replace(F.get(F.array(*map(F.lit, FEED)), (F.col("o_orderkey") % len(FEED)).cast("int")), F.lit("@"), F.col("o_orderkey").cast("string"))
+    feed = t.orders.select(F.col("o_orderkey").alias("id"), j.alias("j"))
+    made = feed.select("id", P.feed_job(F.col("j"), "https://jobs.example.com/").alias("f"), P.feed_errors(F.col("j")).alias("error"))
+    return made.select("id", "f.*", "error")
 
 
 @query("payload_props", "JSON", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props ->> '$.k' AS BIGINT) + 1 AS next_k FROM events")

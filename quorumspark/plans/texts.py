@@ -1,4 +1,4 @@
-"""Document text as queries, over the derived text lines, pages and inline HTML."""
+"""Document text as queries, over the derived text lines, pages and HTML made from orders and events."""
 
 from __future__ import annotations
 
@@ -47,23 +47,33 @@ def _(t):
     return X.tables(V.text_lines(t)).select("doc", "first_line", F.size("rows").cast("long").alias("n_rows"), F.array_join("headers", "|").alias("headers"), "table_type")
 
 
-#: Inline HTML, as no page holds a table.
-HTML = [
-    (1, "<p>x</p><table class='a'><tr><th>Grade</th><th>Percentage</th></tr><tr><td>A</td><td> 90<b>+</b> </td></tr></table>"),
-    (2, "<TABLE><tr><td>week</td></tr><tr><td>topic &amp; date</td></tr><tr></tr></TABLE><table><tr><td>single</td></tr></table>"),
-    (3, "<p>no table</p>"),
-]
+def order_html(t):
+    """o_orderkey, html: a paragraph, a table of the order's lines in one of two spellings, for each third order one of its
+    dates, and for each fifth, before these, one of a single row."""
+    c = F.col
+    cell = lambda tag, *xs: F.concat(F.lit(f"<{tag}>"), *xs, F.lit(f"</{tag.split()[0]}>"))
+    row = F.concat(F.lit("<tr>"), cell("td", "l_returnflag"), cell("td align='right'", F.lit(" "), c("l_quantity").cast("int").cast("string"), F.lit("<b>+</b> ")), F.lit("</tr>"))
+    lines = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity", row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda x: x["row"]), "\n")
+    grades = F.concat(F.lit("<table class='a'><thead><tr><th>Grade</th><th>Percentage</th></tr></thead>"), body, F.lit("</table>"))
+    dates = F.concat(F.lit("<TABLE><TR><td>week</td></TR><tr><td>topic &amp; date "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</td></tr><tr></tr></TABLE>"))
+    single = F.lit("<table><tr><td>single</td></tr></table>")
+    k = c("o_orderkey")
+    html = F.concat(F.lit("<p>x</p>"), F.when(k % 5 == 0, single).otherwise(""), grades, F.when(k % 3 == 0, dates).otherwise("<p>end</p>"))
+    return lines.join(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", html.alias("html"))
 
 
 @query(
     "html_tables", "TX7",
-    """SELECT * FROM (VALUES (1, 0, 'Grade|Percentage', 'A|90+', 'grading_scale'), (2, 0, 'week', 'topic &amp; date', 'schedule')) AS v(id, place, headers, first_row, table_type)""",
+    """SELECT l_orderkey AS o_orderkey, 0 AS place, count(*) + 1 AS n_rows, 'Grade|Percentage' AS headers, arg_min(l_returnflag || '|' || CAST(l_quantity AS INTEGER) || '+', (l_linenumber, l_returnflag, l_quantity)) AS first_row, 'grading_scale' AS table_type FROM lineitem GROUP BY 1
+UNION ALL SELECT o_orderkey, 1, 2, 'week', 'topic &amp; date ' || strftime(o_orderdate, '%Y-%m-%d'), 'schedule' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
 )
 def _(t):
-    """The expected rows are worked out by hand."""
-    df = t.frame(HTML, "id int, html string").select("id", F.posexplode(X.html_tables(F.col("html"))).alias("place", "rows"))
+    """Tables of two rows or more; the oracle knows the rows that went in."""
+    df = order_html(t).select("o_orderkey", F.posexplode(X.html_tables(F.col("html"))).alias("place", "rows"))
     join = lambda i: F.array_join(F.get("rows", F.lit(i)), "|")
-    return df.select("id", "place", join(0).alias("headers"), join(1).alias("first_row"), X.table_type(F.array_join(F.flatten("rows"), " ")).alias("table_type"))
+    kind = X.table_type(F.array_join(F.flatten("rows"), " "))
+    return df.select("o_orderkey", "place", F.size("rows").cast("long").alias("n_rows"), join(0).alias("headers"), join(1).alias("first_row"), kind.alias("table_type"))
 
 
 @query("page_estimate", "TX8", "SELECT doc_id, greatest(1, CAST(ceil(length(text) / 3000.0) AS BIGINT)) AS pages, CAST(len(string_split_regex(text, '\\n{3,}')) AS BIGINT) AS slides FROM documents")
@@ -110,12 +120,18 @@ def _(t):
 
 @query(
     "promoted_headings", "TX12",
-    """SELECT * FROM (VALUES (1, '<h1>STANDARD 2: GOALS</h1><p>some text here</p>'), (2, '<h2>kept</h2><p>STANDARD 2</p>'), (3, '<p>plain words only</p>'), (4, '<div>x</div><h4>iv. four</h4>')) AS v(id, html)""",
+    """WITH l AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'STANDARD ' || user_id || ': GOALS' WHEN 1 THEN '2.1 Aims of ' || event_type WHEN 2 THEN 'some text on ' || event_type ELSE 'iv. ' || event_type END AS line,
+  CASE event_id % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 3 THEN '4' END AS level FROM events)
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '<h2>kept</h2><p>' || line || '</p>' WHEN level IS NULL THEN '<div>x</div><p>' || line || '</p><p>plain words only</p>' ELSE '<div>x</div><h' || level || '>' || line || '</h' || level || '><p>plain words only</p>' END AS html FROM l""",
 )
 def _(t):
-    """The expected rows are worked out by hand."""
-    rows = [(1, "<p>STANDARD 2: GOALS</p><p>some text here</p>"), (2, "<h2>kept</h2><p>STANDARD 2</p>"), (3, "<p>plain words only</p>"), (4, "<div>x</div><p>iv. four</p>")]
-    return t.frame(rows, "id int, html string").select("id", X.promoted(F.col("html")).alias("html"))
+    """A paragraph for each event, in documents of which each seventh has a heading already."""
+    c = F.col
+    k = c("event_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("STANDARD "), c("user_id").cast("string"), F.lit(": GOALS"))).when(k == 1, F.concat(F.lit("2.1 Aims of "), "event_type")).when(k == 2, F.concat(F.lit("some text on "), "event_type")).otherwise(F.concat(F.lit("iv. "), "event_type"))
+    paragraph = F.concat(F.lit("<p>"), line, F.lit("</p>"))
+    html = F.when(c("event_id") % 7 == 0, F.concat(F.lit("<h2>kept</h2>"), paragraph)).otherwise(F.concat(F.lit("<div>x</div>"), paragraph, F.lit("<p>plain words only</p>")))
+    return t.events.select("event_id", html.alias("html")).select("event_id", X.promoted(c("html")).alias("html"))
 
 
 SCORE_SQL = f"""{V.LINE_SQL}, one AS (SELECT DISTINCT line FROM text_line), kw(standard, spec, keyword, points, place) AS (VALUES {K.keyword_rows()}),
