@@ -10,6 +10,7 @@ from ..operators import consensus as C
 from ..operators import exports as X
 from ..operators import machines as M
 from ..operators import redaction as R
+from ..operators import reports
 from ..operators import snapshots
 from ..operators import usage as U
 from ..registry import query
@@ -185,3 +186,33 @@ def _(t):
     ]
     message = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return R.redacted_documents(t.events.select("event_id", message.alias("message")), "message")
+
+
+@query(
+    "report_figures", "SK11 AG35",
+    """WITH v AS (SELECT o_custkey AS report, l_partkey % 21 + 1 AS standard, l_linenumber AS spec, 'reader ' || l_suppkey % 3 AS reader,
+  CASE WHEN l_quantity > 45 THEN NULL WHEN l_returnflag = 'A' THEN 'compliant' WHEN l_returnflag = 'R' THEN 'non_compliant' ELSE 'not_applicable' END AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT report, standard, spec, count(*) FILTER (c = 'compliant') AS y, count(*) FILTER (c = 'non_compliant') AS n, count(*) FILTER (c = 'not_applicable') AS a FROM v GROUP BY 1, 2, 3),
+k AS (SELECT *, CASE WHEN greatest(y, n, a) = 0 THEN NULL WHEN y >= n AND y >= a THEN 'compliant' WHEN n >= a THEN 'non_compliant' ELSE 'not_applicable' END AS consensus, (y > 0)::INT + (n > 0)::INT + (a > 0)::INT > 1 AS differs, 'Y: ' || y || ' | N: ' || n || ' | N/A: ' || a AS votes FROM s),
+b AS (SELECT report, standard, standard || ' [' || string_agg(spec || ': ' || coalesce(consensus, '-') || ', ' || votes, '; ' ORDER BY spec) || ']' AS part FROM k GROUP BY 1, 2),
+r AS (SELECT report, reader, reader || ': ' || count(c) || ' of ' || count(*) || ', Y: ' || count(*) FILTER (c = 'compliant') || ' | N: ' || count(*) FILTER (c = 'non_compliant') || ' | N/A: ' || count(*) FILTER (c = 'not_applicable') AS part FROM v GROUP BY 1, 2),
+t AS (SELECT report, count(*) AS total, count(*) FILTER (consensus = 'compliant') AS compliant, count(*) FILTER (consensus = 'non_compliant') AS non_compliant, count(*) FILTER (consensus = 'not_applicable') AS not_applicable, count(*) FILTER (differs) AS disagreements FROM k GROUP BY 1)
+SELECT t.*, CAST(floor(compliant * 100 / nullif(total - not_applicable, 0) + 0.5) AS BIGINT) AS compliance_rate, compliant || ' (' || CAST(floor(compliant * 100 / total + 0.5) AS BIGINT) || '%)' AS compliant_share, non_compliant || ' (' || CAST(floor(non_compliant * 100 / total + 0.5) AS BIGINT) || '%)' AS non_compliant_share,
+  (SELECT string_agg(part, ' ' ORDER BY standard) FROM b WHERE b.report = t.report) AS standards, (SELECT string_agg(part, '; ' ORDER BY reader) FROM r WHERE r.report = t.report) AS readers FROM t""",
+)
+def _(t):
+    """A customer's orders as a report, their lines as votes of three readers."""
+    c = F.col
+    vote = V.cases(c("l_returnflag"), {"A": "compliant", "R": "non_compliant"}, "not_applicable")
+    votes = t.lineitem.join(t.orders.select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("report")), "l_orderkey").select(
+        "report", (c("l_partkey") % 21 + 1).alias("standard"), c("l_linenumber").alias("spec"), F.concat(F.lit("reader "), (c("l_suppkey") % 3).cast("string")).alias("reader"), F.when(c("l_quantity") <= 45, vote).alias("compliance")
+    )
+    text = lambda x: x.cast("string")
+    line = lambda x: F.concat(text(x["spec"]), F.lit(": "), F.coalesce(x["consensus"], F.lit("-")), F.lit(", "), x["votes"])
+    standard = lambda s: F.concat(text(s["standard"]), F.lit(" ["), F.array_join(F.transform(s["lines"], line), "; "), F.lit("]"))
+    reader = lambda r: F.concat(r["reader"], F.lit(": "), text(r["given"]), F.lit(" of "), text(r["asked"]), F.lit(", "), r["summary"])
+    made = reports.report_figures(votes)
+    return made.select(
+        "report", "total", *C.VOTES, "disagreements", "compliance_rate", c("shares.compliant").alias("compliant_share"), c("shares.non_compliant").alias("non_compliant_share"),
+        F.array_join(F.transform("standards", standard), " ").alias("standards"), F.array_join(F.transform("readers", reader), "; ").alias("readers"),
+    )

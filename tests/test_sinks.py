@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quorumspark.operators import exports as X
 from quorumspark.operators import machines as M
 from quorumspark.operators import redaction as R
+from quorumspark.operators import reports
 from quorumspark.operators import snapshots
 from quorumspark.operators import usage as U
 from quorumspark.streaming import outbox as O
@@ -214,3 +215,18 @@ def test_redaction_of_odd_documents(spark):
     assert got == {1: None, 2: None, 3: None, 4: '"bare password"', 5: "12", 6: '{"p\\u0061ssword":"[REDACTED]","y":1e3}', 7: deep.replace("[[1]]", '"[REDACTED]"'), 8: "[]"}
     longer = spark.createDataFrame([(json.dumps({"xs": [{"token": i, "v": i} for i in range(3000)]}),)], "m string")
     assert json.loads(R.redacted_documents(longer, "m").first()["m"])["xs"] == [{"token": "[REDACTED]", "v": i} for i in range(3000)]
+
+
+# --- reports
+
+
+def test_figures_of_odd_reports(spark):
+    y, n, a = "compliant", "non_compliant", "not_applicable"
+    votes = [(1, 1, 1, "x", y), (1, 1, 1, "z", n), (1, 1, 1, None, None), (1, 2, 1, "x", a), (2, None, None, "x", a), (3, 1, 1, "x", None), (None, 1, 1, "x", y), (1, 1, 1, "x", y)]
+    got = {r["report"]: r for r in reports.report_figures(spark.createDataFrame(votes, "report int, standard int, spec int, reader string, compliance string")).collect()}
+    assert {k: (r["total"], r[y], r[n], r[a], r["disagreements"], r["compliance_rate"], r["shares"][y]) for k, r in got.items()} == {
+        1: (2, 1, 0, 1, 1, 100, "1 (50%)"), 2: (1, 0, 0, 1, 0, None, "0 (0%)"), 3: (1, 0, 0, 0, 0, 0, "0 (0%)"), None: (1, 1, 0, 0, 0, 100, "1 (100%)"),
+    }
+    assert [tuple(r) for r in got[1]["readers"]] == [(None, 1, 0, "Y: 0 | N: 0 | N/A: 0"), ("x", 3, 2 + 1, "Y: 2 | N: 0 | N/A: 1"), ("z", 1, 1, "Y: 0 | N: 1 | N/A: 0")]
+    assert [(s["standard"], s["total"], [tuple(x) for x in s["lines"]]) for s in got[1]["standards"]] == [(1, 1, [(1, y, "Y: 2 | N: 1 | N/A: 0")]), (2, 1, [(1, a, "Y: 0 | N: 0 | N/A: 1")])]
+    assert reports.report_figures(spark.createDataFrame([], "report int, standard int, spec int, reader string, compliance string")).count() == 0
