@@ -42,6 +42,14 @@ HEADING_WORDS = [
     "Discussion", "Result", "Method", "Finding", "Analysis", "Assessment", "Evaluation", "Review",
 ]
 
+# Code, part and title of each standard.
+STANDARDS = [
+    ("1", "I", "Program Identity"), ("2", "I", "Program Objectives"), ("3", "I", "Organizational Structure"), ("4", "I", "Budgetary Support"), ("5", "I", "Administrative Support"),
+    ("6", "I", "Faculty"), ("7", "I", "Faculty Development"), ("8", "I", "Practicum/Field Experience Supervisors"), ("9", "I", "Student Services"), ("10", "I", "Admissions"),
+    ("11", "II", "Curriculum"), ("12", "II", "Professional Practice"), ("13", "II", "Program Assessment"), ("14", "II", "Student Learning Outcomes"), ("15", "II", "Student Portfolio"),
+    ("16", "II", "Program Advisory Committee"), ("17", "II", "Diversity"), ("18", "II", "Ethics"), ("19", "II", "Supervision"), ("20", "II", "Technology"), ("21", "II", "Field Experience"),
+]
+
 # The keywords of each standard (under ""), and of its specifications.
 KEYWORDS = {
     "1": {"": ["institutional", "accredit", "program objective", "regionally accredited", "degree granting"], "a": ["regionally accredited", "accrediting body"], "b": ["degree-granting", "degree granting", "unit"], "c": ["primary objective", "human services"]},

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..operators import catalogue as K
 from ..operators import joins as J
 from ..operators import latest as L
 from ..operators import paging as P
@@ -37,10 +38,28 @@ SELECT l_orderkey, coalesce(string_agg(s_name, ',' ORDER BY i) FILTER (WHERE s_n
 )
 def _(t):
     rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("ids"))
-    found = J.lookup_array(rows, "l_orderkey", "ids", t.supplier.where("s_acctbal > 0"), "s_suppkey", "s_name", "names")
+    found = J.lookup_array(rows, "ids", t.supplier.where("s_acctbal > 0"), "s_suppkey", "s_name", "names")
     return found.select("l_orderkey", F.array_join("names", ",").alias("readers"))
 
 
+STANDARD_SQL = f"standards(code, part, title) AS (VALUES {', '.join(str(x) for x in K.STANDARDS)})"
+
+
+@query("standards_by_code", "JN2", f"WITH {V.VALIDATION_SQL}, {STANDARD_SQL} SELECT id, v.standard, part, title FROM (SELECT id, CASE WHEN id % 9 = 0 THEN 'none' ELSE standard END AS standard FROM validation) v LEFT JOIN standards ON code = v.standard")
+def _(t):
+    """Validations with the part and title of their standard; each ninth names one that there is not."""
+    coded = V.validations(t).select("id", F.when(F.col("id") % 9 == 0, "none").otherwise(F.col("standard")).alias("standard"))
+    return J.with_standard(coded, "standard")
+
+
+@query("standards_by_part", "JN2", f"WITH {V.VALIDATION_SQL}, {STANDARD_SQL} SELECT code, title, count(id) AS n FROM standards LEFT JOIN validation ON standard = code WHERE part = 'II' GROUP BY 1, 2")
+def _(t):
+    """The standards of the second part, with how many validations each has."""
+    counts = J.of_part(V.validations(t), "standard", "II").groupBy("standard").agg(F.count("*").alias("n"))
+    table = J.standards(t.spark).where("part = 'II'")
+    return table.join(counts, F.col("code") == F.col("standard"), "left").select("code", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @query(
     "join_five_lookups", "JN4",
     """SELECT l_orderkey, l_linenumber, l_quantity, c_name, n_name, r_name, s_name, p_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumspark.functions import semantics as S
 from quorumspark.operators import consensus as C
 from quorumspark.operators import filters as O
+from quorumspark.operators import joins as J
 from quorumspark.operators import paging as P
 from quorumspark.operators import writes as W
 
@@ -129,3 +130,11 @@ def test_row_access(spark):
     assert see("admin") == [True, True]
     assert see("coordinator") == see("reader") == [True, False]
     assert see("other") == [False, False]
+
+
+def test_lookup_of_arrays_in_repeated_rows(spark):
+    rows = [(1, [2, 1, 9]), (1, [2, 1, 9]), (1, [3]), (2, None), (3, []), (4, [None, 1, 1])]
+    df = spark.createDataFrame(rows, "id int, ks array<int>")
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    got = J.lookup_array(df, "ks", dim, "k", "v", "vs").collect()
+    assert sorted(((r["id"], r["vs"]) for r in got), key=repr) == [(1, ["b", "a"]), (1, ["b", "a"]), (1, [None]), (2, []), (3, []), (4, ["a", "a"])]
