@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,15 +41,10 @@ def references_in(text: Column) -> Column:
     spec, confidence (hundredths)."""
     found = []
     for i, (pattern, kind, standard) in enumerate(catalogue.REFERENCES):
-        every = lambda g, p=pattern: F.regexp_extract_all(text, F.lit(p), F.lit(g))
-        if kind in ("explicit", "numeric"):
-            made = F.arrays_zip(every(0).alias("matched"), every(1).alias("standard"), every(2).alias("spec"))
-            one = F.transform(made, _reference(i, 95 if kind == "explicit" else 80, None))
-        elif standard:
-            one = F.transform(F.arrays_zip(every(0).alias("matched"), every(0).alias("standard"), every(0).alias("spec")), _reference(i, 60, standard))
-        else:
+        if kind not in ("explicit", "numeric") and not standard:
             continue
-        found.append(one)
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found.append(F.transform(every, _reference(i, pattern, {"explicit": 95, "numeric": 80}.get(kind, 60), standard)))
     return F.concat(*found)
 
 
@@ -56,10 +53,13 @@ def references(df: DataFrame, text: str = "line") -> DataFrame:
     return df.withColumn("__r", F.explode(references_in(F.col(text)))).select("*", "__r.*").drop("__r")
 
 
-def _reference(pattern: int, confidence: int, standard: str | None):
-    def make(x: Column, occurrence: Column) -> Column:
-        spec = F.lit(None).cast("string") if standard else F.nullif(F.lower(x["spec"]), F.lit(""))
-        return F.struct(F.lit(pattern).alias("pattern"), occurrence.alias("occurrence"), x["matched"].alias("matched"), (F.lit(standard) if standard else x["standard"]).alias("standard"), spec.alias("spec"), F.lit(confidence).alias("confidence"))
+def _reference(place: int, pattern: str, confidence: int, standard: str | None):
+    """What a match of the pattern tells: its groups, or a fixed standard."""
+
+    def make(matched: Column, occurrence: Column) -> Column:
+        spec = F.lit(None).cast("string") if standard else F.nullif(F.lower(F.regexp_extract(matched, pattern, 2)), F.lit(""))
+        code = F.lit(standard) if standard else F.regexp_extract(matched, pattern, 1)
+        return F.struct(F.lit(place).alias("pattern"), occurrence.alias("occurrence"), matched.alias("matched"), code.alias("standard"), spec.alias("spec"), F.lit(confidence).alias("confidence"))
 
     return make
 
@@ -181,14 +181,40 @@ def pages_estimate(text: Column) -> Column:
 SCORE = "struct<standard: string, score: bigint, spec: string, rank: int>"
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that goes through a text letter by letter and takes the longest."""
+    heads: dict[str, list[str]] = {}
+    for w in filter(None, words):
+        heads.setdefault(w[0], []).append(w[1:])
+    if not heads:
+        return ""
+    one = "|".join(re.escape(c) + _trie(rest) for c, rest in heads.items())
+    return f"(?:{one})" + ("?" if "" in words else "")
+
+
+@functools.cache
+def _keyword_rows() -> tuple[str, str, str]:
+    """The catalogue as JSON, a pattern of the longest keyword at each place, and as JSON where in the catalogue it and all
+    keywords that it begins with are: together these are all keywords that the text holds."""
+    rows = list(catalogue.keywords())
+    within = {k: [i for i, (_, _, w, _) in enumerate(rows) if k.startswith(w)] for _, _, k, _ in rows}
+    return json.dumps([{"standard": s, "spec": p, "points": n} for s, p, _, n in rows]), f"(?=({_trie(sorted(within))}))", json.dumps(within)
+
+
+def _keyword_constants() -> tuple[Column, str, Column]:
+    terms, longest, within = _keyword_rows()
+    return F.from_json(F.lit(terms), "array<struct<standard: string, spec: string, points: int>>"), longest, F.from_json(F.lit(within), "map<string, array<int>>")
+
+
 def scores_in(text: Column) -> Column:
     """The standards that a text tells of, as an array of SCORE: 30 for each keyword of a standard, 20 for each of its
     specifications, plus the confidences of explicit references (hundredths); the last matching specification counts. In
     order of the first reference, then of the standard's number; rank is the place from 1. Empty for null."""
-    # the catalogue is one constant of fewer than 250 terms, in which each row looks for its own
-    terms = F.from_json(F.lit(json.dumps([{"standard": s, "spec": p, "keyword": k, "points": n} for s, p, k, n in catalogue.keywords()])), "array<struct<standard: string, spec: string, keyword: string, points: int>>")
-    found = F.coalesce(let(F.lower(text), lambda t: F.filter(terms, lambda x: t.contains(x["keyword"]))), F.filter(terms, lambda _: F.lit(False)))
-    refs = F.coalesce(references_in(text), F.filter(references_in(F.lit("")), lambda _: F.lit(False)))
+    text = F.coalesce(text, F.lit(""))
+    terms, longest, within = _keyword_constants()
+    hit = F.regexp_extract_all(F.lower(text), F.lit(longest), F.lit(1))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(hit), lambda h: F.try_element_at(within, h)))))
+    found = F.transform(places, lambda i: F.get(terms, i))
 
     def scored(both: Column) -> Column:
         k, r = both["k"], both["r"]
@@ -204,7 +230,7 @@ def scores_in(text: Column) -> Column:
 
         return F.transform(order, one)
 
-    return let(F.struct(found.alias("k"), refs.alias("r")), scored)
+    return let(F.struct(found.alias("k"), references_in(text).alias("r")), scored)
 
 
 def keyword_scores(df: DataFrame, key: list[str], text: str = "line") -> DataFrame:
@@ -236,7 +262,7 @@ def best_of(scores: Column) -> Column:
 
 def best_matches(df: DataFrame, text: str = "line") -> DataFrame:
     """df with standard, spec, confidence and alternatives of the text: see best_of(); null where nothing reaches 20."""
-    return df.withColumn("__b", best_of(scores_in(F.col(text)))).select("*", "__b.*").drop("__b")
+    return df.select("*", F.inline(F.array(best_of(scores_in(F.col(text))))))  # a generator: evaluated once, not for each field
 
 
 def table_mapping(kind: Column, text: Column) -> Column:
