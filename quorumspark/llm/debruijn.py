@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,31 @@ _U = np.uint64
 
 
 def grams(words: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A hash of each n words in a row."""
-    weights = numbers(seed, n) | _U(1)
-    out = np.zeros(max(0, len(words) - n + 1), _U)
-    for j, w in enumerate(weights):
-        out += words[j : j + len(out)] * w
+    """A hash of each n words in a row: a polynomial of the words' hashes, by runs of 1, 2, 4 and so on, then mixed."""
+    factor = numbers(seed, 1) | _U(1)  # arrays of one, as scalars warn of overflow
+    out, done = np.zeros(max(0, len(words) - n + 1), _U), 0
+    power, shift, run, size = factor, np.ones(1, _U), words, 1
+    while size <= n:
+        if n & size:
+            out += run[done : done + len(out)] * shift
+            done, shift = done + size, shift * power
+        if 2 * size <= n:
+            run = run[:-size] + run[size:] * power
+        power, size = power * power, 2 * size
     return mixed(out)
 
 
+def least_places(keys: np.ndarray, span: int) -> np.ndarray:
+    """Of each run of span keys the place of the least, by the upper 32 bits; the first of equal ones."""
+    packed = (keys & _U(0xFFFFFFFF00000000)) | np.arange(len(keys), dtype=_U)
+    size = 1
+    while 2 * size <= span:
+        packed, size = np.minimum(packed[:-size], packed[size:]), 2 * size
+    if size < span:
+        packed = np.minimum(packed[: len(packed) - (span - size)], packed[span - size :])
+    return (packed & _U(0xFFFFFFFF)).astype(np.int64)
+
+
 class Texts:
     """The words of some texts, and which of their windows lie within one text."""
 
@@ -74,11 +92,7 @@ def runs(texts: list[bytes], window: int, anchor: int) -> dict[str, np.ndarray]:
         return {k: np.empty(0, np.int64) for k in ("text", "pos", "size", "m", "c", "next")}
     anchors = grams(t.words, anchor, 11)
     span = window - anchor + 1
-    least = np.empty(len(t.at), np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(anchors, span)
-    for x in range(0, len(least), 1 << 16):
-        least[x : x + (1 << 16)] = view[t.at[x : x + (1 << 16)]].argmin(axis=1)
-    least += t.at
+    least = least_places(anchors, span)[t.at]
     new = np.ones(len(t.at), bool)
     new[1:] = (least[1:] != least[:-1]) | (t.text[1:] != t.text[:-1])
     starts = np.flatnonzero(new)
@@ -126,26 +140,30 @@ def looked_at(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = (row["text"] or "").encode()
-                wanted = [x for x in row["xs"] if x["windows"]]
-                pos, e, f, kind = [], [], [], []
-                if wanted:
-                    words, _ = word_hashes([raw], lower=False)
-                    at = np.concatenate([np.arange(x["pos"], x["pos"] + x["size"]) for x in wanted])
-                    pos, kind = [at], [np.ones(len(at), bool)]
-                    e, f = [grams(words, window, 13)[at].view(np.int64)], [grams(words, window, 14)[at].view(np.int64)]
-                spans = [x for x in row["xs"] if not x["windows"]]
-                if spans:
-                    split = raw.split()
-                    pos.append(np.array([x["pos"] for x in spans]))
-                    e.append(np.array([digest(split[x["pos"] : x["pos"] + x["size"]]) for x in spans], np.int64))
-                    f.append(np.zeros(len(spans), np.int64))
-                    kind.append(np.zeros(len(spans), bool))
-                n = sum(map(len, pos))
-                yield pa.RecordBatch.from_pydict(
-                    {"doc": pa.array([row["doc"]] * n, pa.int64()), "t": pa.array([row["t"]] * n, pa.int32()), "pos": pa.array(np.concatenate(pos).astype(np.int32)), "windows": pa.array(np.concatenate(kind)), "e": pa.array(np.concatenate(e)), "f": pa.array(np.concatenate(f))}
-                )
+            begin = 0
+            for texts in pieces(batch.column("text").to_pylist()):
+                here = batch.slice(begin, len(texts))
+                begin += len(texts)
+                lists = here.column("xs")
+                places, of = lists.flatten(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                pos, size, compared = (places.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "size", "windows"))
+                t = Texts(texts, window)
+                each = np.repeat(np.flatnonzero(compared), size[compared])
+                step = np.arange(len(each)) - np.repeat(np.cumsum(size[compared]) - size[compared], size[compared])
+                at = t.first[of[each]] + pos[each] + step
+                found = []
+                for i in np.flatnonzero(~compared).tolist():
+                    if not found or found[-1][0] != of[i]:
+                        split = texts[of[i]].split()
+                    found.append((of[i], pos[i], digest(split[pos[i] : pos[i] + size[i]])))
+                spans = np.array(found, np.int64).reshape(-1, 3)
+                text = pa.array(np.concatenate([of[each], spans[:, 0]]))
+                none = np.zeros(len(spans), np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "doc": here.column("doc").take(text), "t": here.column("t").take(text), "pos": pa.array(np.concatenate([pos[each] + step, spans[:, 1]]).astype(np.int32)),
+                    "windows": pa.array(np.arange(len(text)) < len(each)), "e": pa.array(np.concatenate([t.edges(13)[at].view(np.int64), spans[:, 2]])),
+                    "f": pa.array(np.concatenate([t.edges(14)[at].view(np.int64), none])),
+                })
 
     joined = with_lists(docs, places, "inner")
     return joined.mapInArrow(tidily(run), "doc long, t int, pos int, windows boolean, e long, f long")
@@ -222,7 +240,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     if x["e"] is None or digest(words[a:b]) == x["e"]:
                         keep[a:b] = False
                 if spans:
-                    kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                    kept = list(compress(words, keep.tolist()))
                 else:
                     kept = words
                 out["n_words"].append(len(words))
