@@ -1,10 +1,12 @@
 """Whitening of embeddings by MLlib's BlockMatrix.
 
-1. Vectors are packed into blocks of about BLOCK_BYTES and written; n and the sums of each dimension are exact.
-2. Blocks are indexed, centred, and become a BlockMatrix; its transpose times itself is the scatter. The rows' dimension
-   is cut into as many parts as there are tasks, so no task gets more than a few blocks at a time.
+1. Vectors are numbered through and written; n and the sums of each dimension are exact.
+2. Centred rows with their numbers become an IndexedRowMatrix and, dealt into blocks, a BlockMatrix; its transpose times
+   itself is the scatter. The rows' dimension is cut into parts, so no task gets more than a few blocks at a time.
 3. eigh of the scatter over n, of dimension by dimension, runs on the driver. The BlockMatrix times the whitening matrix
-   (eigenvectors over the roots of their eigenvalues) projects the rows, and is joined with the blocks' ids.
+   (eigenvectors over the roots of their eigenvalues) projects the rows, which are joined with their ids by number.
+
+Rows go to MLlib and come back within the JVM. MLlib's driver holds the places of all blocks, so there are at most BLOCKS.
 
 Vectors are arrays of longs (see quantised()). Null vectors, and vectors with null or non-finite entries, are left out; so
 are vectors of another length than most (the longest among equally frequent lengths). Null ids, repeated rows and equal
@@ -16,20 +18,21 @@ exceeds a long.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix
+from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidily
+from .common import materialize, table
 
-#: Bytes of a block as doubles, about.
-BLOCK_BYTES = 4_000_000
+#: Bytes of a block of doubles at least, about, and blocks at most.
+BLOCK_BYTES, BLOCKS = 1_000_000, 1_000_000
 #: The least eigenvalue, as a share of the largest, that counts as variance.
 LEAST_SHARE = 1e-12
 
@@ -45,50 +48,30 @@ def quantised(vector: Column, scale: int, shift: int) -> Column:
     return F.transform(vector, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")) + F.lit(shift).cast("long"))
 
 
-def packed(df: DataFrame, id_column: str, vector: str, dims: int, block_bytes: int) -> DataFrame:
-    """part, place, ids, x: blocks of vectors, x as bytes of longs, row by row."""
-    rows = max(1, block_bytes // (8 * dims))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, held = TaskContext.get().partitionId(), 0, []
-
-        def flushed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(some).combine_chunks()
-            x = whole.column("x").combine_chunks()
-            values = x.flatten().to_numpy().astype(np.int64)
-            row = {"part": [part], "place": [place], "ids": [whole.column("id").to_pylist()], "x": [values.tobytes()]}
-            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("place", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.binary())]))
-
-        size = 0
-        for batch in batches:
-            at = 0
-            while at < len(batch):
-                some = batch.slice(at, rows - size)
-                held.append(some)
-                at, size = at + len(some), size + len(some)
-                if size == rows:
-                    yield flushed(held)
-                    place, held, size = place + 1, [], 0
-        if size:
-            yield flushed(held)
-
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("x")).mapInArrow(tidily(run), "part int, place int, ids array<long>, x binary")
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written, with index: 0, 1, 2 and so on without gaps."""
+    spark = df.sparkSession
+    # the high bits are the number of the task that wrote the row, the low 33 its place there
+    rows = materialize(df.withColumn("index", F.monotonically_increasing_id()), "vectors")
+    part = F.shiftright("index", 33)
+    before, n = [], 0
+    for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        before.append((r["part"], n))
+        n += r["n"]
+    offsets = spark.createDataFrame(before, "part long, before long")  # a row for each task
+    placed = rows.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return placed.withColumn("index", F.col("before") + F.col("index").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before")
 
 
-def summed(df: DataFrame, values) -> dict[int, int | float]:
-    """Sums by place over all blocks of the arrays that values(row) makes; the places are few."""
-    schema = "place int, value " + ("long" if values.__name__ == "exact" else "double")
+def row_matrix(rows: DataFrame, n: int, d: int) -> IndexedRowMatrix:
+    """rows: index, v (an array of doubles)."""
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("v").alias("vector")), "vector"), n, d)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                one = values(row)
-                total = one if total is None else total + one
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(total)), pa.int32()), "value": pa.array(total)})
 
-    return {r["place"]: r["value"] for r in df.mapInArrow(run, schema).groupBy("place").agg(F.sum("value").alias("value")).collect()}
+def rows_of(matrix: IndexedRowMatrix) -> DataFrame:
+    """index, v of a matrix: its rows without a way through Python, which matrix.rows takes."""
+    found = callMLlibFunc("getIndexedRows", matrix._java_matrix_wrapper._java_model)
+    return found.select("index", vector_to_array("vector").alias("v"))
 
 
 def product(a: BlockMatrix, b: BlockMatrix, parts: int) -> BlockMatrix:
@@ -103,80 +86,39 @@ def whitened(df: DataFrame, id_column: str, vector: str, components: int = 8, bl
     n, deviation (n squared times the squared distance from the mean), whitened, explained (the component's share of the
     variance) and identity_error (the largest deviation of the whitened rows' covariance from the identity)."""
     spark = df.sparkSession
-    schema = f"`{id_column}` long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    vectors = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda c: c.isNull()))
-    lengths = vectors.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    c = F.col
+    nothing = spark.createDataFrame([], f"`{id_column}` long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    vectors = df.where(c(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())).select(c(id_column).cast("long").alias("id"), c(vector).alias("x"))
+    lengths = vectors.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if lengths is None:
-        return spark.createDataFrame([], schema)
+        return nothing
     d, n = lengths
-    blocks = materialize(packed(vectors.where(F.size(vector) == d), id_column, vector, d, block_bytes), "vector-blocks")
-
-    def exact(row: dict) -> np.ndarray:
-        return np.frombuffer(row["x"], np.int64).reshape(-1, d).sum(axis=0)
-
-    sums = summed(blocks.select("x"), exact)
-    total = np.array([sums[i] for i in range(d)], np.int64)
-    mean = total / n
-    # blocks are numbered through by part and place: the driver sees a row for each part
-    of_part = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.count("*"), F.max(F.size("ids"))).collect())
-    first, count, most = {}, 0, 1
-    for part, size, largest in of_part:
-        first[part], count, most = count, count + size, max(most, largest)
-
-    def centred(row) -> tuple:
-        c = np.zeros((most, d))  # rows of zeros fill blocks up and add nothing
-        x = np.frombuffer(row["x"], np.int64).reshape(-1, d)
-        c[: len(x)] = x - mean
-        return (first[row["part"]] + row["place"], 0), DenseMatrix(most, d, c.ravel(), True)
-
-    matrix = BlockMatrix(blocks.select("part", "place", "x").rdd.map(centred), most, d, most * count, d)
-    parts = max(1, min(count, 2 * spark.sparkContext.defaultParallelism, 10_000), count // 64)
-    scatter = product(matrix.transpose(), matrix, parts).toLocalMatrix().toArray()
-    values, vectors_ = np.linalg.eigh(scatter / n)
-    values, vectors_ = values[::-1], vectors_[:, ::-1]
-    k = int(min(components, (values > LEAST_SHARE * max(values[0], 0)).sum())) if values[0] > 0 else 0
+    rows = numbered(vectors.where(F.size("x") == d))
+    sums = rows.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()
+    total = F.from_json(F.lit(json.dumps([r["s"] for r in sums])), "array<bigint>")
+    apart = F.zip_with("x", total, lambda x, s: F.lit(n).cast("long") * x - s)  # n times the centred vector, exactly
+    size = max(1, block_bytes // (8 * d), -(-n // BLOCKS))
+    centred = rows.select("index", F.transform(apart, lambda x: x.cast("double") / n).alias("v"))
+    matrix = row_matrix(centred, n, d).toBlockMatrix(size, d)
+    blocks = -(-n // size)
+    parts = min(blocks, max(2 * spark.sparkContext.defaultParallelism, blocks // 16))
+    covariance = product(matrix.transpose(), matrix, parts).toLocalMatrix().toArray() / n
+    values, basis = np.linalg.eigh(covariance)
+    values, basis = values[::-1], basis[:, ::-1]
+    k = int(min(components, (values > LEAST_SHARE * values[0]).sum())) if values[0] > 0 else 0
     if not k:
-        return spark.createDataFrame([], schema)
-    explained = (values[:k] / np.trace(scatter / n)).tolist()
-    whitener = vectors_[:, :k] / np.sqrt(values[:k])
+        return nothing
+    whitener = basis[:, :k] / np.sqrt(values[:k])
     right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), DenseMatrix(d, k, whitener.ravel(), True))], 1), d, k, d, k)
-    projected = product(matrix, right, 1).blocks.map(lambda b: (b[0][0], bytearray(b[1].toArray().tobytes())))
-    rows = materialize(spark.createDataFrame(projected, "block int, y binary"), "whitened")
-
-    def outer(row: dict) -> np.ndarray:
-        y = np.frombuffer(row["y"]).reshape(-1, k)
-        return (y.T @ y).ravel()
-
-    products = summed(rows.select("y"), outer)
-    error = float(np.abs(np.array([products[i] for i in range(k * k)]).reshape(k, k) / n - np.eye(k)).max())
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                apart = n * np.frombuffer(row["x"], np.int64).reshape(-1, d) - total
-                if d * float(np.abs(apart).max()) ** 2 < 2**62:
-                    deviation = (apart**2).sum(axis=1).tolist()
-                else:
-                    exact_sums = [sum(int(v) ** 2 for v in x) for x in apart]
-                    deviation = [v if v < 2**63 else None for v in exact_sums]
-                ids, place = row["ids"], first[row["part"]] + row["place"]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([place], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "deviation": pa.array([deviation], pa.list_(pa.int64()))})
-
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                m = len(row["ids"])
-                y = np.frombuffer(row["y"]).reshape(-1, k)[:m]
-                ids, deviation = pa.array(row["ids"], pa.int64()), pa.array(row["deviation"], pa.int64())
-                each = pa.array(np.repeat(np.arange(m), k))
-                columns = {
-                    id_column: ids.take(each), "component": pa.array(np.tile(np.arange(1, k + 1), m), pa.int32()), "n": pa.array(np.full(m * k, n), pa.int64()), "deviation": deviation.take(each),
-                    "whitened": pa.array(y.ravel()), "explained": pa.array(np.tile(explained, m)), "identity_error": pa.array(np.full(m * k, error)),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
-
-    named = blocks.mapInArrow(numbered, "block int, ids array<long>, deviation array<long>")
-    return named.join(rows, "block").mapInArrow(spelt, schema)
+    projected = materialize(rows_of(product(matrix, right, 1).toIndexedRowMatrix()), "whitened")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    means = projected.agg(*(F.avg(c("v")[i] * c("v")[j]) for i, j in pairs)).first()
+    error = max(abs(m - (i == j)) for m, (i, j) in zip(means, pairs, strict=True))
+    explained = F.from_json(F.lit(json.dumps((values[:k] / np.trace(covariance)).tolist())), "array<double>")
+    squares = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x.cast("decimal(19,0)") * x.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    named = rows.select("index", "id", squares.try_cast("long").alias("deviation")).join(projected, "index")
+    each = named.select("id", "deviation", F.posexplode("v").alias("i", "whitened"))
+    return each.select(c("id").alias(id_column), (c("i") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, c("i")).alias("explained"), F.lit(float(error)).alias("identity_error"))
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
