@@ -36,11 +36,39 @@ CONTENT_TYPES = {
 # Hints that a text is a curriculum matrix.
 MATRIX_HINTS = [r"(?i)chs\s*\d{3}", r"(?i)[ITKS]\s*[,/]?\s*[LMH]", r"(?i)course\s*(code|number)", r"(?i)standard\s*\d+"]
 
-# Words that begin a heading.
-HEADING_WORDS = [
-    "Introduction", "Overview", "Background", "Purpose", "Objective", "Mission", "Vision", "Goal", "Summary", "Conclusion", "Recommendation",
-    "Discussion", "Result", "Method", "Finding", "Analysis", "Assessment", "Evaluation", "Review",
-]
+# Lines that give a page's number, as "Page 3" or as the number alone.
+PAGE_MARKER, PAGE_NUMBER = r"(?i)^page\s+\d+", r"^\d+\z"
+
+# Kinds of lines, and lines in bold.
+SECTION_HEADING = r"(?i)^(Standard\s*\d|Section\s*[IVX]+|Part\s*[IVX]+|Chapter\s*\d)"
+LIST_ITEM = "^[•‣◦⁃∙\\-*]\\s|^\\d+[.)]\\s"
+CAPITALS, CAPITAL, BOLD_LENGTH = r"^[A-Z\s]+\z", "^[A-Z]", 50
+
+# What goes from a list's item, one after the other.
+ITEM_MARKS = ["^[•‣◦⁃∙\\-*]\\s*", "^\\d+[.)]\\s*"]
+
+# Headings by level, in order: pattern, level, and the length that a line must not reach (0: any).
+HEADINGS = [
+    (r"(?i)^(STANDARD|PART|CHAPTER|SECTION)\s+[IVXLCDM\d]+", 1, 0),
+    (r"^[A-Z][A-Z\s\d:,\-]{10,}\z", 1, 100),
+    (r"^\d+(\.\d+)?\s+[A-Z]", 2, 80),
+    (r"^[a-zA-Z][.)]\s+|^\([a-zA-Z]\)\s+", 3, 0),
+    (r"(?i)^Specification\s+[a-zA-Z]", 3, 0),
+    (r"^[ivxIVX]+[.)]\s+", 4, 0),
+]
+
+# A titled line, the words that begin one, its level and the length that it must not reach.
+TITLED = r"^[A-Z][a-zA-Z\s]+:?\s*\z"
+HEADING_WORDS = r"(?i)^(Introduction|Overview|Background|Purpose|Objective|Mission|Vision|Goal|Summary|Conclusion|Recommendation|Discussion|Result|Method|Finding|Analysis|Assessment|Evaluation|Review)"
+TITLED_LEVEL, TITLED_LENGTH = 2, 60
+
+# Patterns of HTML: where sections begin, and their headings; tables, rows, cells and tags.
+SECTION_START, SECTION_TITLE = r"(?i)(?=<h1[^>]*>)", r"(?i)^<h1[^>]*>(.*?)</h1>"
+TABLE, ROW, CELL, TAG = r"(?is)<table[^>]*>.*?</table>", r"(?is)<tr[^>]*>.*?</tr>", r"(?is)<t[dh][^>]*>.*?</t[dh]>", "<[^>]*>"
+
+# What tells a grading table and a schedule by their text, all of it needed.
+GRADING = ["(?i)grade", "(?i)[A-F][+-]?", "(?i)percentage|points|qpa|gpa"]
+SCHEDULE = ["(?i)week|date", "(?i)topic|theme|subject", "(?i)assignment|reading|due"]
 
 # Code, part and title of each standard.
 STANDARDS = [

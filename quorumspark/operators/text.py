@@ -13,14 +13,12 @@ from ..functions.semantics import first_kind, hits, trimmed
 from . import catalogue
 from .payload import let
 
-LIST_ITEM = "^[•‣◦⁃∙\\-*]\\s|^\\d+[.)]\\s"
-
 
 def sections(lines: DataFrame) -> DataFrame:
     """doc, n, line to doc, n, line, page, kind, bold: blank lines and page markers go; a marker's number holds for
     the lines after it (1 before any)."""
     line = trimmed(F.col("line"))
-    marker = F.when(line.rlike(r"(?i)^page\s+\d+"), F.regexp_extract(line, r"(\d+)", 1)).when(line.rlike(r"^\d+\z"), line).cast("long")
+    marker = F.when(line.rlike(catalogue.PAGE_MARKER), F.regexp_extract(line, r"(\d+)", 1)).when(line.rlike(catalogue.PAGE_NUMBER), line).cast("long")
     w = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.where(line != "").withColumns({"line": line, "__marker": marker})
     paged = marked.withColumn("page", F.coalesce(F.last("__marker", ignorenulls=True).over(w), F.lit(1)).cast("long")).where("__marker is null").drop("__marker")
@@ -28,12 +26,11 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def section_kind(line: Column) -> Column:
-    heading = line.rlike(r"(?i)^(Standard\s*\d|Section\s*[IVX]+|Part\s*[IVX]+|Chapter\s*\d)")
-    return F.when(heading, "heading").when(line.rlike(LIST_ITEM), "list").when(F.size(F.split(line, "\t")) > 2, "table").otherwise("paragraph")
+    return F.when(line.rlike(catalogue.SECTION_HEADING), "heading").when(line.rlike(catalogue.LIST_ITEM), "list").when(F.size(F.split(line, "\t")) > 2, "table").otherwise("paragraph")
 
 
 def bold(line: Column) -> Column:
-    return line.rlike(r"^[A-Z\s]+\z") | ((F.length(line) < 50) & line.rlike("^[A-Z]"))
+    return line.rlike(catalogue.CAPITALS) | ((F.length(line) < catalogue.BOLD_LENGTH) & line.rlike(catalogue.CAPITAL))
 
 
 def references_in(text: Column) -> Column:
@@ -84,19 +81,19 @@ def content_type(text: Column) -> Column:
 
 def html_tables(html: Column) -> Column:
     """Tables of two rows or more as arrays of rows of cell texts."""
-    every = lambda x, tag: F.regexp_extract_all(x, F.lit(f"(?is)<{tag}[^>]*>.*?</{tag}>"), F.lit(0))
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit("(?is)<t[dh][^>]*>.*?</t[dh]>"), F.lit(0)), lambda c: trimmed(F.regexp_replace(c, "<[^>]*>", "")))
-    rows = lambda table: F.filter(F.transform(every(table, "tr"), cells), lambda r: F.size(r) > 0)
-    return F.filter(F.transform(every(html, "table"), rows), lambda t: F.size(t) >= 2)
+    every = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    cells = lambda row: F.transform(every(row, catalogue.CELL), lambda c: trimmed(F.regexp_replace(c, catalogue.TAG, "")))
+    rows = lambda table: F.filter(F.transform(every(table, catalogue.ROW), cells), lambda r: F.size(r) > 0)
+    return F.filter(F.transform(every(html, catalogue.TABLE), rows), lambda t: F.size(t) >= 2)
 
 
 def html_sections(html: Column, least: int = 100) -> Column:
     """An array of (has_heading, heading, body): the text from each h1 to the next; what precedes the first is kept
     if it is longer than least, and a text without any h1 is one section."""
-    parts = F.split(html, r"(?i)(?=<h1[^>]*>)")
+    parts = F.split(html, catalogue.SECTION_START)
     one = lambda p: F.struct(
         p.rlike("(?i)^<h1[^>]*>").alias("has_heading"),
-        trimmed(F.regexp_replace(F.regexp_extract(p, r"(?i)^<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")).alias("heading"),
+        trimmed(F.regexp_replace(F.regexp_extract(p, catalogue.SECTION_TITLE, 1), catalogue.TAG, "")).alias("heading"),
         p.alias("body"),
     )
     made = F.transform(parts, one)
@@ -106,18 +103,13 @@ def html_sections(html: Column, least: int = 100) -> Column:
 
 def header_level(line: Column) -> Column:
     """1 to 4 for lines that look like headings, else 0."""
-    n = F.length(line)
-    titled = line.rlike(r"^[A-Z][a-zA-Z\s]+:?\s*\z") & line.rlike("(?i)^(" + "|".join(catalogue.HEADING_WORDS) + ")")
-    return (
-        F.when(line.rlike(r"(?i)^(STANDARD|PART|CHAPTER|SECTION)\s+[IVXLCDM\d]+"), 1)
-        .when(line.rlike(r"^[A-Z][A-Z\s\d:,\-]{10,}\z") & (n < 100), 1)
-        .when(line.rlike(r"^\d+(\.\d+)?\s+[A-Z]") & (n < 80), 2)
-        .when(line.rlike(r"^[a-zA-Z][.)]\s+|^\([a-zA-Z]\)\s+"), 3)
-        .when(line.rlike(r"(?i)^Specification\s+[a-zA-Z]"), 3)
-        .when(line.rlike(r"^[ivxIVX]+[.)]\s+"), 4)
-        .when((n < 60) & titled, 2)
-        .otherwise(0)
-    )
+    out = None
+    titled = line.rlike(catalogue.TITLED) & line.rlike(catalogue.HEADING_WORDS)
+    tests = [(line.rlike(pattern), level, below) for pattern, level, below in catalogue.HEADINGS]
+    for test, level, below in [*tests, (titled, catalogue.TITLED_LEVEL, catalogue.TITLED_LENGTH)]:
+        test = test & (F.length(line) < below) if below else test
+        out = F.when(test, level) if out is None else out.when(test, level)
+    return out.otherwise(0)
 
 
 def escaped(x: Column) -> Column:
@@ -127,7 +119,9 @@ def escaped(x: Column) -> Column:
 
 
 def item_text(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, "^[•‣◦⁃∙\\-*]\\s*", ""), "^\\d+[.)]\\s*", "")
+    for mark in catalogue.ITEM_MARKS:
+        line = F.regexp_replace(line, mark, "")
+    return line
 
 
 def to_html(lines: DataFrame) -> DataFrame:
@@ -135,7 +129,7 @@ def to_html(lines: DataFrame) -> DataFrame:
     lines in one)."""
     line = trimmed(F.col("line"))
     level = header_level(line)
-    kind = F.when(line == "", "blank").when(level > 0, "header").when(line.rlike(LIST_ITEM), "item").otherwise("text")
+    kind = F.when(line == "", "blank").when(level > 0, "header").when(line.rlike(catalogue.LIST_ITEM), "item").otherwise("text")
     w = Window.partitionBy("doc").orderBy("n")
     marked = lines.select("doc", "n", line.alias("line"), kind.alias("kind"), level.alias("level")).withColumn("after_blank", F.lag("kind").over(w).eqNullSafe("blank")).where("kind <> 'blank'")
     begins = (F.col("kind") == "header") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w)) | ((F.col("kind") == "text") & F.col("after_blank"))
@@ -269,8 +263,9 @@ def table_mapping(kind: Column, text: Column) -> Column:
     """standard, spec, confidence (hundredths) of a table by its type and text, or null."""
     t = F.lower(text)
     matrix = (kind == "curriculum_matrix") | (hits(t, catalogue.MATRIX_HINTS) >= 2)
-    grading = (kind == "grading_scale") | (t.rlike("(?i)grade") & t.rlike("(?i)[A-F][+-]?") & t.rlike("(?i)percentage|points|qpa|gpa"))
-    schedule = (kind == "schedule") | (t.rlike("(?i)week|date") & t.rlike("(?i)topic|theme|subject") & t.rlike("(?i)assignment|reading|due"))
+    all_of = lambda patterns: hits(t, patterns) == len(patterns)
+    grading = (kind == "grading_scale") | all_of(catalogue.GRADING)
+    schedule = (kind == "schedule") | all_of(catalogue.SCHEDULE)
     out = lambda s, p, c: F.struct(F.lit(s).alias("standard"), F.lit(p).alias("spec"), F.lit(c).alias("confidence"))
     return F.when(matrix, out("11", "matrix", 90)).when(grading, out("syllabus", "grading", 85)).when(schedule, out("syllabus", "schedule", 85))
 

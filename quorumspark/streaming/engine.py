@@ -90,10 +90,10 @@ def closed_sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -
     return windows.agg(F.count("*").alias("n"), F.max(at).alias("last")).select(key, F.col("w.start").alias("start"), "last", "n")
 
 
-def foreach_row_batch(stream: DataFrame, send: Callable[[list], None], every: str, checkpoint: str):
-    """Starts a stream that hands each batch's rows to send on the executors, a partition at a time, so often."""
+def foreach_row_batch(stream: DataFrame, send: Callable[[Iterator], None], every: str, checkpoint: str):
+    """Starts a stream that hands each batch's rows to send on the executors, a partition at a time as they come, so often."""
 
     def hand_over(batch: DataFrame, _: int) -> None:
-        batch.foreachPartition(lambda rows: send(list(rows)))
+        batch.foreachPartition(send)
 
     return stream.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
