@@ -4,9 +4,12 @@ Three fixed kinds of secret (assign, access, hex) are found by pattern. Besides,
 stands in a sensitive context is measured: a sensitive word begins or ends within REACH code points of it, on either
 side, or another reported string ends so close before it (the lines of a private key). Its marginal size is what it adds
 to a zstandard frame whose dictionary holds common identifiers, the most frequent words of all documents (vocabulary) and
-the text around it. Names, numbers in sequence and repeats cost little, random keys cost about as much as they are long.
-Strings that cost more than NOVELTY of their length are reported as kind novel, unless they overlap a span of the fixed
-kinds; these stay whatever they cost, which each span states.
+the text around it. That is compared with what random strings of the same classes (digits for digits, small letters for
+small letters) add to the same frame, so no class is dearer than another: names, sequences and repeats cost a part of it,
+keys as much. Strings that cost more than NOVELTY of their random likes are reported as kind novel, if they can hold a key
+at all: LEAST_BITS of information by their classes, LEAST_DIGIT_BITS if they have digits only, so account numbers, dates and
+telephone numbers are none, and neither are UUIDs. Spans of the fixed kinds stay whatever they would cost, and are not
+measured; strings that overlap them are not reported again.
 
 Null and empty texts have no span. Offsets count code points, ends are exclusive. Repeated rows are scanned like any
 other, very long texts as a whole and in time in proportion to their length. An empty table gives no rows. Columns
@@ -15,9 +18,11 @@ of the input stay apart from one named like the output, which is replaced.
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -36,13 +41,20 @@ LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 KINDS = ["assign", "access", "hex", "novel"]
 
 #: Words whose neighbourhood is sensitive.
-SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie|hmac|salt|cert", re.ASCII | re.IGNORECASE)
+WORDS = "api_?key|key|secret|token|password|passwd|passphrase|pwd|auth|authorization|authentication|credential|private|bearer|signature|session|cookie|hmac|salt|cert|certificate"
+#: On their own, or as a part of a name: apiKey, session_id, TOKENS, but not monkey, author or certain.
+SENSITIVE = re.compile(rf"(?:(?<![A-Za-z])(?i:{WORDS})|(?<=[a-z])(?:{'|'.join(w.capitalize() for w in WORDS.split('|'))}))(?i:s|id)?(?![a-z])(?!(?<=[A-Z])[A-Z])", re.ASCII)
 #: Code points between a candidate and a sensitive word, or the end of the reported string before it, at most.
 REACH = 48
 LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST_CANDIDATE},}}")
-#: Marginal compressed bytes of a byte of the candidate, at least.
-NOVELTY = 0.85
+#: Marginal compressed bytes, as a share of those of random strings of the same classes, at least; the mean over LEVELS of the
+#: compressor and LIKES random strings.
+NOVELTY, LEVELS, LIKES = 0.88, (3, 19), 6
+#: What a candidate's classes of characters can tell, at least: 64 bits for any, 72 for digits alone.
+LEAST_BITS, LEAST_DIGIT_BITS = 64, 72
+#: Fixed value: the form of a UUID.
+UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 #: Longer candidates are measured in pieces of so many code points, lest the compressor learn their letters by and by.
 PIECE = 64
 #: What each frame begins with, so that common letters are cheap and rare ones dear; its own size is taken off.
@@ -60,7 +72,7 @@ IDENTIFIERS = (
     "access_key_id secret_access_key client_secret client_id api_key apikey auth_token bearer Authorization: Bearer session_id "
     "password passwd username user_name private_key public_key ssh-rsa BEGIN RSA PRIVATE KEY END certificate signature sha256 sha1 md5 "
     "encryption config settings environment export const var let string return function import require process.env os.environ getenv "
-    "localhost 127.0.0.1 http:// https:// www. .com .org .net example.com version 1.0.0 build release test sample changeme placeholder "
+    "usr local lib bin etc var log opt home share python site-packages node_modules src main resources application localhost 127.0.0.1 http:// https:// www. .com .org .net example.com version 1.0.0 build release test sample changeme placeholder "
     "your_token_here xxxxxxxxxxxxxxxx 0000000000000000 1234567890 0123456789abcdef abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 #: Common parts of names; the dictionary has them as they are, with a capital and in capitals.
@@ -96,17 +108,48 @@ class Dictionary:
         parts = " ".join(NAME_PARTS)
         self.common = f"{vocabulary}\n{parts.upper()}\n{parts.title()}\n{parts}\n{IDENTIFIERS}\n"
 
-    def marginal_bytes(self, candidate: str, before: str, after: str) -> int:
+    def sizes(self, before: str, after: str) -> list[Callable[[str], int]]:
+        """Of each level a function that tells what a string adds to a frame."""
         prime = zstandard.ZstdCompressionDict(f"{self.common}{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        size = lambda data: len(zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data.encode()))
-        alone = size(PROSE)
-        return sum(size(PROSE + candidate[at : at + PIECE]) - alone for at in range(0, len(candidate), PIECE))
+        made = []
+        for level in LEVELS:
+            compressor = zstandard.ZstdCompressor(level=level, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+            alone = len(compressor.compress(PROSE.encode()))
+            made.append(lambda x, c=compressor, n=alone: len(c.compress((PROSE + x).encode())) - n)
+        return made
 
     def novelty(self, text: str, a: int, b: int) -> float:
-        """Marginal bytes for each byte of text[a:b]. Copies of it close by don't make it cheaper."""
+        """Marginal bytes of text[a:b] over those of its random likes. Copies of it close by don't make it cheaper."""
         value = text[a:b]
+        pieces = [value[at : at + PIECE] for at in range(0, len(value), PIECE)]
         around = (text[max(0, a - SURROUNDINGS) : a].replace(value, " "), text[b : b + SURROUNDINGS].replace(value, " "))
-        return self.marginal_bytes(value, *around) / len(value.encode())
+        shares = [sum(map(size, pieces)) * LIKES / max(1, sum(size(random_like(p, i)) for p in pieces for i in range(LIKES))) for size in self.sizes(*around)]
+        return sum(shares) / len(shares)
+
+
+DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def class_of(value: str) -> dict[str, str]:
+    """The letters and digits that could stand for each letter and digit of a string: hexadecimal ones for one of these."""
+    if re.fullmatch("[0-9a-f]*[a-f][0-9a-f]*", value):
+        return dict.fromkeys(DIGITS + "abcdef", DIGITS + "abcdef")
+    if re.fullmatch("[0-9A-F]*[A-F][0-9A-F]*", value):
+        return dict.fromkeys(DIGITS + "ABCDEF", DIGITS + "ABCDEF")
+    return dict.fromkeys(DIGITS, DIGITS) | dict.fromkeys(SMALL, SMALL) | dict.fromkeys(CAPITAL, CAPITAL)
+
+
+def random_like(value: str, seed: int) -> str:
+    """A random string of the same classes, the same each time."""
+    likes, dice = class_of(value), random.Random(f"{seed}:{value}")
+    return "".join(dice.choice(likes[c]) if c in likes else c for c in value)
+
+
+def may_hold_a_key(value: str) -> bool:
+    likes = class_of(value)
+    bits = sum(math.log2(len(likes[c])) for c in value if c in likes)
+    alone = not any(c.isalpha() for c in value)
+    return bits >= (LEAST_DIGIT_BITS if alone else LEAST_BITS) and not UUID.search(value)
 
 
 def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -137,6 +180,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], dictionary: Dictio
         if near < len(starts) and starts[near] < b:
             last = b
             continue
+        if not may_hold_a_key(text[a:b]):
+            continue
         word = bisect_right(first, b + REACH) - 1  # the last that begins early enough
         if (word >= 0 and words[word][1] >= a - REACH) or a - last <= REACH:
             novelty = dictionary.novelty(text, a, b)
@@ -150,8 +195,8 @@ def spans_of(text: str | None, dictionary: Dictionary) -> list[dict]:
     if not text:
         return []
     fixed = fixed_spans(text)
-    measured = [(a, k, b, dictionary.novelty(text, a, b)) for a, k, b in fixed]
-    return [{"kind": KINDS[k], "start": a, "end": b, "novelty": x} for a, k, b, x in sorted(measured + novel_spans(text, fixed, dictionary))]
+    found = [(a, k, b, None) for a, k, b in fixed] + novel_spans(text, fixed, dictionary)
+    return [{"kind": KINDS[k], "start": a, "end": b, "novelty": x} for a, k, b, x in sorted(found, key=lambda s: s[:3])]
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> str:

@@ -358,11 +358,71 @@ def test_novel_secrets_are_found_and_names_are_not():
     known = secrets.Dictionary("thxner whqng esjion blkhe")
     cost = lambda of: of.novelty(text := "the key thxnerwhqngesjionblkhe stays", 8, len(text) - 6)
     assert cost(known) < cost(plain)
-    # random keys of any kind, against names
-    for n in (16, 20, 24, 32, 64, 500):
-        for _ in range(20):
-            value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-            assert found(f"the key {value} stays") == [value]
+    # random keys of any kind, against names: of a hundred at most a few are missed
+    alphabets = {"base62": BASE62, "base64": BASE62 + "+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef", "lower and digits": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    for name, alphabet in alphabets.items():
+        for n in (20, 24, 31, 64, 500):
+            values = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(40)]
+            values = [v for v in values if n < 32 or name != "hex"]  # long ones are of a fixed kind
+            assert sum(found(f"the key {v} stays") == [v] for v in values) >= 0.9 * len(values), (name, n)
+
+
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_look_alikes_are_no_secrets():
+    r, plain = random.Random(6), secrets.Dictionary()
+    found = lambda t: [t[s["start"] : s["end"]] for s in secrets.spans_of(t, plain)]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    for _ in range(300):
+        for value in (
+            digits(16), digits(19), f"2024-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}.{digits(6)}Z", f"20{digits(6)}T{digits(6)}Z", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+            f"+49-{digits(3)}-{digits(8)}", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"192.168.{digits(3)}.{digits(3)}",
+        ):
+            assert found(f"session id is {value} now") == [], value
+    for path in ("/usr/local/lib/python/site-packages", "/home/user/projects/website/index.html", "/var/log/application/error.log"):
+        assert found(f"the session reads {path} first") == [], path
+    key = "q7Zk2Vx9LmT4bWc8RfY1"
+    for word in ("author", "certain", "salty", "monkey", "keyboard", "tokenize", "MONKEY", "KEYBOARD", "secretary", "authority"):
+        assert found(f"the {word} has {key} here") == [], word
+    for word in ("key", "KEYS", "apiKey", "api_key", "sessionToken", "SESSION_ID", "sessionid", "auth", "my-secret", "tokens"):
+        assert found(f"the {word} has {key} here") == [key], word
+
+
+def letters_for(value):
+    """What could stand at each place of a string."""
+    small, capital, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    if set(value) <= set(digit + "abcdef") and set(value) & set("abcdef"):
+        return [digit + "abcdef"] * len(value)
+    if set(value) <= set(digit + "ABCDEF") and set(value) & set("ABCDEF"):
+        return [digit + "ABCDEF"] * len(value)
+    return [next((k for k in (digit, small, capital) if c in k), c) for c in value]
+
+
+def could_be_key(value):
+    bits = sum(math.log2(len(k)) for k in letters_for(value))
+    uuid = re.search("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", value)
+    return not uuid and bits >= (64 if any(c.isalpha() for c in value) else 72)
+
+
+def share_of_random(common, text, a, b):
+    import zstandard
+
+    value, shares = text[a:b], []
+    before, after = text[max(0, a - 2000) : a].replace(value, " "), text[b : b + 2000].replace(value, " ")
+    prime = zstandard.ZstdCompressionDict(f"{common}{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    for level in (3, 19):
+        z = lambda x: len(zstandard.ZstdCompressor(level=level, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress((secrets.PROSE + x).encode()))  # noqa: B023, E731
+        own = likes = 0
+        for at in range(0, len(value), 64):
+            piece = value[at : at + 64]
+            own += z(piece) - z("")
+            for i in range(6):
+                dice = random.Random(f"{i}:{piece}")
+                likes += z("".join(dice.choice(k) if c.isalnum() else c for c, k in zip(piece, letters_for(piece), strict=True))) - z("")
+        shares.append(own / (likes / 6))
+    return sum(shares) / 2
 
 
 def test_secret_scan_equals_a_restatement(spark, data, texts):
@@ -373,7 +433,7 @@ def test_secret_scan_equals_a_restatement(spark, data, texts):
     assert known.split() == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:3000]][::-1]
     r, dictionary = random.Random(4), secrets.Dictionary(known)
     some = dict(texts)
-    for i in range(10**6, 10**6 + 60):
+    for i in range(10**6, 10**6 + 150):
         ws = r.choice(list(texts.values())).split()[:60]
         for _ in range(3):
             ws.insert(r.randrange(len(ws) + 1), "".join(r.choice("abcdefXYZ012._-") for _ in range(r.randint(12, 24))))
@@ -392,7 +452,7 @@ def test_secret_scan_equals_a_restatement(spark, data, texts):
                 ends.append(b)
                 continue
             words_near = any(w.start() <= b + 48 and w.end() >= a - 48 for w in secrets.SENSITIVE.finditer(t))
-            if (words_near or any(a - e <= 48 for e in ends)) and dictionary.marginal_bytes(t[a:b], t[max(0, a - 2000) : a].replace(t[a:b], " "), t[b : b + 2000].replace(t[a:b], " ")) > 0.85 * (b - a):
+            if (words_near or any(a - e <= 48 for e in ends)) and could_be_key(t[a:b]) and share_of_random(dictionary.common, t, a, b) > 0.88:
                 want.append((a, 3, b))
                 ends.append(b)
         assert got[i] == [(secrets.KINDS[k], a, b) for a, k, b in sorted(want)]
