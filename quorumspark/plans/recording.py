@@ -165,39 +165,45 @@ PAYLOAD_SQL = """payload AS (SELECT event_id, CASE event_id % 5
   WHEN 0 THEN '{"jobId":"' || event_id || '","rating":' || (event_id % 13) || ',"title":"T","tags":["a","b"],"teamId":"7","teamName":"red"}'
   WHEN 1 THEN '{"jobId":"n' || event_id || '","score":{"score":' || (event_id % 11) || ',"reasoning":"why"},"job":{"jobName":"","jobType":"Fixed","paymentVerified":true}}'
   WHEN 2 THEN '{"title":"","price":"$5","paymentVerified":false}'
-  WHEN 3 THEN '{"score":{"score":3},"title":"flat","description":"d","scoreValue":4}'
+  WHEN 3 THEN '{"score":{"score":3},"title":"' || event_type || '","description":"' || user_id || '","scoreValue":' || (event_id % 3) || ',"rating":' || user_id || ',"clientRating":' || value || ',"country":"' || (event_id % 2) || '"}'
   ELSE '{"jobId":"","score":{"score":8},"job":{"jobName":"J","descriptionSnippet":"s","clientRating":4.5}}' END AS j FROM events)"""
 
 
 def payloads(t):
-    k, i = F.col("event_id") % 5, F.col("event_id").cast("string")
+    s = lambda x: F.col(x).cast("string")
+    k, i = F.col("event_id") % 5, s("event_id")
     j = (
         F.when(k == 0, F.concat(F.lit('{"jobId":"'), i, F.lit('","rating":'), (F.col("event_id") % 13).cast("string"), F.lit(',"title":"T","tags":["a","b"],"teamId":"7","teamName":"red"}')))
         .when(k == 1, F.concat(F.lit('{"jobId":"n'), i, F.lit('","score":{"score":'), (F.col("event_id") % 11).cast("string"), F.lit(',"reasoning":"why"},"job":{"jobName":"","jobType":"Fixed","paymentVerified":true}}')))
         .when(k == 2, F.lit('{"title":"","price":"$5","paymentVerified":false}'))
-        .when(k == 3, F.lit('{"score":{"score":3},"title":"flat","description":"d","scoreValue":4}'))
+        .when(k == 3, F.concat(F.lit('{"score":{"score":3},"title":"'), "event_type", F.lit('","description":"'), s("user_id"), F.lit('","scoreValue":'), (F.col("event_id") % 3).cast("string"), F.lit(',"rating":'), s("user_id"), F.lit(',"clientRating":'), s("value"), F.lit(',"country":"'), (F.col("event_id") % 2).cast("string"), F.lit('"}')))
         .otherwise(F.lit('{"jobId":"","score":{"score":8},"job":{"jobName":"J","descriptionSnippet":"s","clientRating":4.5}}'))
     )
     return t.events.select("event_id", j.alias("j"))
 
 
-@query(
-    "payload_normalised", "JSON",
-    f"""WITH {PAYLOAD_SQL}, x AS (SELECT event_id, j, event_id % 5 AS k FROM payload)
-SELECT event_id, nullif(j ->> '$.jobId', '') AS job_id, CASE k WHEN 0 THEN 'T' WHEN 3 THEN 'flat' WHEN 4 THEN 'J' ELSE '' END AS title, CASE k WHEN 3 THEN 'd' WHEN 4 THEN 's' ELSE '' END AS description, '' AS url,
-  CASE WHEN k = 1 THEN 'Fixed' ELSE '' END AS job_type, CASE WHEN k = 2 THEN '$5' ELSE '' END AS price, '' AS country, '' AS amount_spent, '' AS posted_at, '' AS experience_level, CASE WHEN k = 1 THEN 'why' ELSE '' END AS score_reasoning,
-  CASE k WHEN 0 THEN nullif(event_id % 13, 0) WHEN 1 THEN nullif(event_id % 11, 0) WHEN 4 THEN 8 END::DOUBLE AS rating, CASE k WHEN 0 THEN nullif(event_id % 13, 0) WHEN 1 THEN nullif(event_id % 11, 0) WHEN 3 THEN 4 WHEN 4 THEN 8 END::DOUBLE AS score_value,
-  CASE WHEN k = 4 THEN 4.5 END::DOUBLE AS client_rating, k = 1 AS payment_verified, CASE WHEN k = 0 THEN '["a","b"]' ELSE '[]' END AS tags, CASE WHEN k = 0 THEN '7' END AS team_id, CASE WHEN k = 0 THEN 'red' END AS team_name FROM x""",
-)
+def evaluation_sql() -> str:
+    """What P.evaluation() gives, in the DuckDB dialect, by the paths of either layout: a table evaluation."""
+    at = lambda path: f"(j ->> '$.{path}')"
+    filled = lambda path: f"CASE WHEN {at(path)} NOT IN ('', 'false', 'null') THEN {at(path)} END"
+    number = lambda path: f"nullif(TRY_CAST({filled(path)} AS DOUBLE), 0)"
+    pick = lambda f, nested, *flat: f"CASE WHEN nested THEN {f(nested)} ELSE coalesce({', '.join(map(f, flat))}) END"
+    columns = [f"{filled('jobId')} AS job_id", *(f"coalesce({pick(filled, a, b)}, '') AS {name}" for name, a, b in P.TEXT_FIELDS)]
+    columns += [f"{pick(number, 'score.score', 'rating')} AS rating", f"{pick(number, 'score.score', 'scoreValue', 'rating')} AS score_value", f"{pick(number, 'job.clientRating', 'clientRating')} AS client_rating"]
+    columns += [f"{pick(filled, 'job.paymentVerified', 'paymentVerified')} IS NOT NULL AS payment_verified", f"coalesce({pick(filled, 'job.tags', 'tags')}, '[]') AS tags", f"{filled('teamId')} AS team_id", f"{filled('teamName')} AS team_name"]
+    return f"read AS (SELECT event_id, CAST(j AS JSON) AS j, (j -> '$.score') IS NOT NULL AND (j -> '$.job') IS NOT NULL AS nested FROM payload), evaluation AS (SELECT event_id, {', '.join(columns)} FROM read)"
+
+
+@query("payload_normalised", "JSON", f"WITH {PAYLOAD_SQL}, {evaluation_sql()} SELECT * FROM evaluation")
 def _(t):
     return payloads(t).select("event_id", F.inline(F.array(P.evaluation(F.col("j")))))  # a generator: evaluated once, not for each field
 
 
 @query(
     "payload_findings", "JSON",
-    f"""WITH {PAYLOAD_SQL} SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 'neither jobId nor title' ELSE '' END AS errors,
-  CASE event_id % 5 WHEN 0 THEN 'description is missing; teamId goes before teamName' WHEN 1 THEN 'title is missing; description is missing' WHEN 2 THEN 'title is missing; description is missing' ELSE '' END AS warnings,
-  list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS fields FROM payload""",
+    f"""WITH {PAYLOAD_SQL}, {evaluation_sql()} SELECT e.event_id, CASE WHEN job_id IS NULL AND title = '' THEN 'neither jobId nor title' ELSE '' END AS errors,
+  concat_ws('; ', CASE WHEN title = '' THEN 'title is missing' END, CASE WHEN description = '' THEN 'description is missing' END, CASE WHEN team_id IS NOT NULL AND team_name IS NOT NULL THEN 'teamId goes before teamName' END) AS warnings,
+  list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS fields FROM evaluation e JOIN payload p ON p.event_id = e.event_id""",
 )
 def _(t):
     found = payloads(t).select("event_id", P.evaluation_findings(F.col("j")).alias("f"), F.array_join(F.sort_array(F.json_object_keys("j")), ",").alias("fields"))
