@@ -18,13 +18,18 @@ tables give no rows, columns besides page_id, url and html play no part.
 
 What is no record is read as a row whose error says why: lines before the next line that begins a record, a record
 without a valid Content-Length or cut off by the end of its archive (also of a truncated gzip file), a response without
-the end of its HTTP headers. Reading goes on with the next record, or the next archive. assemble() leaves such rows out.
+the end of its HTTP headers, an archive of which nothing can be read (no gzip file, or none with a whole first block).
+Reading goes on with the next record, or the next archive. assemble() leaves such rows out. What Spark's readers do not
+tell: files of no bytes, which they leave out, and that an archive is damaged just between two records; those before the
+damage are read, and no row says so.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +43,8 @@ from .common import materialize, small_batches, spread_join, table, tidily
 RECORDS_PER_ARCHIVE = 3_000
 #: Recurring payloads up to which they are sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Bytes of a gzip file that holds nothing, at most.
+EMPTY_ARCHIVE_BYTES = 100
 CRLF = "\r\n"
 FETCHED = "2024-01-01T00:00:00Z"
 
@@ -165,8 +172,8 @@ def row_of(headers: dict[str, str] | None, block: bytes | str) -> dict:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the gzipped archives in path, and per place that is none (with error). payload_digest is
-    computed from the payload of a response, and digest_ok tells whether the record states the same; revisits give the
+    """A row per record of the gzipped archives in path, and per place or archive that is none (with error). The rows, without
+    the payloads, are written once, to be compared with the archives that there are. payload_digest is computed from the payload of a response, and digest_ok tells whether the record states the same; revisits give the
     digest that they state."""
     small_batches(spark)
     schema = pa.schema([(name, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[kind]) for name, kind in (x.split() for x in RECORD.split(", "))])
@@ -185,7 +192,30 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     # a gzipped file is never split, and its lines come in order
     lines = spark.read.option("lineSep", CRLF).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.gz").text(path)
-    return lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("archive")).mapInArrow(tidily(run), RECORD)
+    found = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("archive")).mapInArrow(tidily(run), RECORD)
+    found = materialize(found, "warc-records")
+    unread = unread_archives(spark, path, found.select("archive").distinct())
+    return found.unionByName(unread.select("archive", F.lit("nothing of the archive can be read").alias("error")), allowMissingColumns=True)
+
+
+def unread_archives(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
+    """archive: those in path that are not among read, but for gzip files that hold nothing. Of a large file no byte is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    name = F.col("_metadata.file_path").alias("archive")
+    absent = files.select(name, "length").join(read, "archive", "left_anti")
+    small = files.where(F.col("length") <= EMPTY_ARCHIVE_BYTES).select(name, "content")
+
+    @F.pandas_udf("boolean")
+    def empty(content):
+        def holds_nothing(raw: bytes) -> bool:
+            try:
+                return bool(raw) and not gzip.decompress(raw)
+            except (OSError, EOFError, zlib.error):
+                return False
+
+        return content.map(holds_nothing)
+
+    return absent.join(small.where(empty("content")), "archive", "left_anti").select("archive")
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -160,6 +160,22 @@ def test_warc_of_others_and_broken_ones(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path))).count() == 2
 
 
+def test_no_archive_is_lost(spark, tmp_path):
+    """Archives of which nothing can be read give a row each, empty ones none."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"text {i} " * 50) for i in range(20)], "page_id long, url string, html string").repartition(4)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    archives = sorted((tmp_path / "a").glob("*.gz"))
+    raw = archives[0].read_bytes()
+    archives[0].write_bytes(b"broken" + raw[6:])
+    for name, data in (("text", b"WARC/1.1\r\n\r\n"), ("cut", raw[:12]), ("empty", gzip.compress(b""))):
+        (tmp_path / "a" / f"{name}.warc.gz").write_bytes(data)
+    rows = warc.read_records(spark, str(tmp_path / "a")).collect()
+    lost = {r["archive"].rsplit("/", 1)[1].split(".")[0] for r in rows if r["error"] == "nothing of the archive can be read"}
+    assert lost == {archives[0].name.split(".")[0], "text", "cut"} and all(r["record_type"] is None for r in rows if r["error"])
+    left = warc.assemble(warc.read_records(spark, str(tmp_path / "a"))).count()
+    assert 0 < left < 20 and sum(r["record_type"] == "response" for r in rows) == left
+
+
 def test_warc_without_broadcast(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(300)], "page_id long, url string, html string")
     both = []
