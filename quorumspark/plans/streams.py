@@ -121,7 +121,7 @@ def _(t):
     """Occurrences count until the error is resolved, and from one again after that."""
     c = F.col
     episodes = ST.error_episodes(E.as_stream_in_order(fingerprints(t), "at"), c("key"), c("at"), c("id"), c("resolves"))
-    return E.last_update(E.drained(episodes, "update"), "key", "first_at").drop("expired_at")
+    return E.last_update(E.drained(episodes, "update"), "key", "first_at", "first_id").drop("first_id", "expired_at")
 
 
 @query(
@@ -133,7 +133,8 @@ def _(t):
     """90 days after it was resolved an error is forgotten; the events' month is stretched to a year."""
     c = F.col
     stream = E.as_stream_in_order(fingerprints(t, 12), "at").withWatermark("event_time", "1 day")
-    return E.last_update(E.drained(ST.error_episodes(stream, c("key"), c("at"), c("id"), c("resolves"), 90 * DAY), "update"), "key", "first_at")
+    episodes = ST.error_episodes(stream, c("key"), c("at"), c("id"), c("resolves"), 90 * DAY)
+    return E.last_update(E.drained(episodes, "update"), "key", "first_at", "first_id").drop("first_id")
 
 
 @query(

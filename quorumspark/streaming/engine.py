@@ -51,9 +51,9 @@ def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def drained(stream: DataFrame, mode: str = "append", timeout_s: int = 600) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", timeout_s: int | None = None) -> DataFrame:
     """What a stream emits until its input ends, with batch_id, as a table in the shared folder. Each batch is
-    written under its number, so a batch that is run again replaces what it wrote."""
+    written under its number, so a batch that is run again replaces what it wrote. timeout_s: None for as long as it takes."""
     spark = stream.sparkSession
     out, checkpoint = fresh_path(spark, "stream-output"), fresh_path(spark, "stream-checkpoint")
 
@@ -63,7 +63,7 @@ def drained(stream: DataFrame, mode: str = "append", timeout_s: int = 600) -> Da
     with state_in_rocksdb(spark):
         started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
-            if not started.awaitTermination(timeout_s):
+            if started.awaitTermination(timeout_s) is False:  # None where there is no limit
                 raise TimeoutError(f"the stream took more than {timeout_s} s")
         finally:
             started.stop()

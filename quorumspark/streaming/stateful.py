@@ -16,64 +16,94 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
+#: Places of what every row has, after its key; an operator's own columns follow.
+AT, ID, OWN = 1, 2, 3
+
+
 def _in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r["at"] or 0, r["id"] is not None, r["id"] or 0))
+    return sorted(rows, key=lambda r: (r[AT] or 0, r[ID] is not None, r[ID] or 0))
 
 
 def _keyed(stream: DataFrame, key: Column, at: Column, tie: Column, **columns: Column) -> DataFrame:
-    return stream.select(*(c for c in ("event_time",) if c in stream.columns), key.alias("key"), at.cast("long").alias("at"), tie.cast("long").alias("id"), *(v.alias(k) for k, v in columns.items()))
+    own = (v.alias(k) for k, v in columns.items())
+    return stream.select(key.alias("key"), at.cast("long").alias("at"), tie.cast("long").alias("id"), *own, *(c for c in ("event_time",) if c in stream.columns))
 
 
-EPISODE = "key string, first_at long, occurrences long, last_at long, resolved_at long, expired_at long"
+EPISODE = "key string, first_at long, first_id long, occurrences long, last_at long, resolved_at long, expired_at long"
 
 
 class Episodes(StatefulProcessor):
     """Counts a key's rows until one resolves it; later ones begin anew. With ttl (microseconds), an episode is told as
-    expired, and forgotten, once the watermark is so far past its resolution."""
+    expired, and forgotten, once the watermark is so far past its resolution. Resolved episodes lie in boxes by the time when
+    they are due, a ninetieth of ttl each; a box has one timer, for the first that is due in it."""
 
     def __init__(self, ttl: int | None = None):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "first_at long, occurrences long, last_at long")
+        self.open = handle.getValueState("open", "first_at long, first_id long, occurrences long, last_at long")
         if self.ttl is not None:
-            # of resolved episodes: when they began, how many rows they had, the last, and when they were resolved
-            self.resolved = handle.getMapState("resolved", "first_at long", "occurrences long, last_at long, resolved_at long")
+            self.width = max(1, self.ttl // 90 // 1000)  # milliseconds
+            # by box: when its episodes began, how many rows they had, the last, and when they were resolved
+            self.resolved = handle.getMapState("resolved", "box long", "first_at array<long>, first_id array<long>, occurrences array<long>, last_at array<long>, resolved_at array<long>")
+
+    def due(self, resolved_at: int) -> int:
+        return (resolved_at + self.ttl) // 1000
+
+    def held(self, box: int) -> list[tuple]:
+        found = self.resolved.getValue((box,))
+        return [] if found is None else list(zip(*found, strict=True))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        now = self.open.get() if self.open.exists() else None
+        now = self.open.get()
+        ended: dict[int, list[tuple]] = {}
         for row in _in_order(rows):
-            at = row["at"] or 0
-            if not row["resolves"]:
-                now = (at, 1, at) if now is None else (now[0], now[1] + 1, at)
+            at = row[AT] or 0
+            if not row[OWN]:
+                now = (at, row[ID], 1, at) if now is None else (now[0], now[1], now[2] + 1, at)
             elif now is not None:
-                yield Row(key=key[0], first_at=now[0], occurrences=now[1], last_at=now[2], resolved_at=at, expired_at=None)
+                yield Row(key=key[0], first_at=now[0], first_id=now[1], occurrences=now[2], last_at=now[3], resolved_at=at, expired_at=None)
                 if self.ttl is not None:
-                    self.resolved.updateValue((now[0],), (now[1], now[2], at))
-                    self.handle.registerTimer((at + self.ttl) // 1000)
+                    ended.setdefault(self.due(at) // self.width, []).append((*now, at))
                 now = None
+        for box, more in ended.items():
+            before = self.held(box)
+            self.resolved.updateValue((box,), tuple(map(list, zip(*before, *more, strict=True))))
+            first, was = min(self.due(e[4]) for e in more), min((self.due(e[4]) for e in before), default=None)
+            if was is None or first < was:
+                if was is not None:
+                    self.handle.deleteTimer(was)
+                self.handle.registerTimer(first)
         if now is None:
             self.open.clear()
         else:
             self.open.update(now)
-            yield Row(key=key[0], first_at=now[0], occurrences=now[1], last_at=now[2], resolved_at=None, expired_at=None)
+            yield Row(key=key[0], first_at=now[0], first_id=now[1], occurrences=now[2], last_at=now[3], resolved_at=None, expired_at=None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for (first_at,), (occurrences, last_at, resolved_at) in list(self.resolved.iterator()):
-            if (resolved_at + self.ttl) // 1000 <= due:
-                self.resolved.removeKey((first_at,))
-                yield Row(key=key[0], first_at=first_at, occurrences=occurrences, last_at=last_at, resolved_at=resolved_at, expired_at=resolved_at + self.ttl)
+        box, mark = expiredTimerInfo.getExpiryTimeInMs() // self.width, timerValues.getCurrentWatermarkInMs()
+        kept = []
+        for episode in self.held(box):
+            first_at, first_id, occurrences, last_at, resolved_at = episode
+            if self.due(resolved_at) < mark:
+                yield Row(key=key[0], first_at=first_at, first_id=first_id, occurrences=occurrences, last_at=last_at, resolved_at=resolved_at, expired_at=resolved_at + self.ttl)
+            else:
+                kept.append(episode)
+        if kept:
+            self.resolved.updateValue((box,), tuple(map(list, zip(*kept, strict=True))))
+            self.handle.registerTimer(min(self.due(e[4]) for e in kept))
+        else:
+            self.resolved.removeKey((box,))
 
     def close(self) -> None:
         pass
 
 
 def error_episodes(stream: DataFrame, key: Column, at: Column, tie: Column, resolves: Column, ttl: int | None = None) -> DataFrame:
-    """key, first_at, occurrences, last_at, resolved_at (null while open), expired_at (null until then) of each episode: by
-    key and first_at. With ttl the stream has a watermark on its column event_time; rows behind it are not counted. A null
-    in resolves does not resolve."""
+    """key, first_at, first_id, occurrences, last_at, resolved_at (null while open), expired_at (null until then) of each
+    episode: by key, first_at and first_id. With ttl the stream has a watermark on its column event_time; rows behind it are
+    not counted. A null in resolves does not resolve."""
     rows = _keyed(stream, key.cast("string"), at, tie, resolves=F.coalesce(resolves, F.lit(False)))
     return rows.groupBy("key").transformWithState(Episodes(ttl), EPISODE, "Update", "None" if ttl is None else "EventTime")
 
