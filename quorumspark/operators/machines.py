@@ -1,22 +1,24 @@
 """Status machines: a table of moves applied to the ordered events of each key.
 
-An event is a function from states to states. Events are sorted by key and order over all tasks (one sort by range), cut into
-chunks of CHUNK rows, and each chunk is reduced to one function. A key's chunks are then chained, which tells the state at
-the start of each, and each chunk is gone through once more from there. So a key with very many events is spread over tasks;
-what meets in one is a row for each of its chunks.
+An event is a function from states to states. Events are sorted by key and order over all tasks (one sort by range), and each
+task walks its rows once, as they come. Its first key may have begun in the tasks before it, so for that key's rows it tells
+the state for each that the task may begin with; what the key comes to is a function, too. These, two rows a task at most, are
+chained and tell with which state each task begins. So a key with very many events is spread over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import fresh_path
 
-CHUNK = 1024
+CHUNK = 8192
 
 #: Moves by state and event. An import can be cancelled until it has ended; a load's report counts as loaded
 #: whatever it says, unless it tells of an error, and in any state.
@@ -36,47 +38,72 @@ def load_event(status: Column) -> Column:
 def run_machine(events: DataFrame, key: str, order: list[str], event: Column, moves: Mapping[tuple[str, str], str], start: str, chunk: int = CHUNK) -> DataFrame:
     """events with before, after and legal: the states around each event of its key, by order (its ties are in any order). An
     event without a move from the state (an unknown or null one too) is illegal and leaves it. Events of a null key are one
-    key's; a null in order comes first. Column names that start with __ are not kept."""
+    key's; a null in order comes first. A task hands its rows over by chunks of so many. No column may be named like one of
+    the three or start with __."""
     spark = events.sparkSession
     states = sorted({start, *(s for s, _ in moves), *moves.values()})
     names = sorted({e for _, e in moves})
     stays = list(range(len(states)))
     table = [[states.index(moves.get((s, e), s)) for s in states] for e in names] + [stays]
-    legal = [[(s, e) in moves for s in states] for e in names] + [[False] * len(states)]
-    integers = lambda xs: F.array(*(F.lit(x) for x in xs))
-    table_of, legal_of = F.array(*map(integers, table)), F.array(*map(integers, legal))
-    names_of = F.array(*map(F.lit, states))
-    number = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), event), F.lit(0)) - 1, F.lit(len(names))).cast("int")
+    legal = [(s, e) in moves for e in names for s in states] + [False] * len(states)
+    array = lambda xs: F.array(*map(F.lit, xs))
+    number = F.coalesce(F.nullif(F.array_position(array(names), event), F.lit(0)) - 1, F.lit(len(names))).cast("int")
+    begin = states.index(start)
 
-    path = fresh_path(spark, "machine")
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with __before (its state) or, in the first key, __each (that for each state to begin with); then, without
+        events, what the first key and, if there are more, the last one came to."""
+        task, own = TaskContext.get().partitionId(), [("__task", pa.int32()), ("__end", pa.bool_()), ("__before", pa.int32()), ("__each", pa.list_(pa.int32()))]
+        keys, now, each, one, schema, first, last = 0, None, stays, begin, None, None, None
+
+        def made(batch: pa.RecordBatch, end: bool, before: list, each: list) -> pa.RecordBatch:
+            n = batch.num_rows
+            more = [[task] * n, [end] * n, before, each]
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, (_, t) in zip(more, own, strict=True))], names=[*batch.schema.names, *(k for k, _ in own)])
+
+        def ended(value: pa.Array, before: int | None, each: list | None) -> pa.RecordBatch:
+            alone = pa.RecordBatch.from_arrays([value if f.name == key else pa.nulls(1, f.type) for f in schema], names=schema.names)
+            return made(alone, True, [before], [each])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk):
+                batch = whole.slice(at, chunk)
+                values, schema, before, eachs = batch.column(key), batch.schema, [], []
+                for k, e in zip(values.to_pylist(), batch.column("__e").to_pylist(), strict=True):
+                    if keys == 0 or not (k == now or (k != k and now != now)):
+                        keys, now, one = keys + 1, k, begin
+                    if keys == 1:
+                        before.append(None)
+                        eachs.append(each)
+                        each = [table[e][s] for s in each]
+                    else:
+                        before.append(one)
+                        eachs.append(None)
+                        one = table[e][one]
+                first, last = values.slice(0, 1) if first is None else first, values.slice(len(values) - 1, 1)
+                yield made(batch, False, before, eachs)
+        if keys:
+            yield ended(first, None, each)
+        if keys > 1:
+            yield ended(last, one, None)
+
+    path, parts = fresh_path(spark, "machine"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.asc_nulls_first(c) for c in (key, *order)]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = events.withColumn("__e", number).repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("__place", F.monotonically_increasing_id())
-    placed.write.parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path)
-    # a key's rows of one chunk: places of a task follow each other, so a chunk is a run of them
-    cell = F.floor(F.col("__place") / chunk).alias("__cell")
-    kept = F.struct(*(F.col(f"`{c}`") for c in events.columns))
-    cells = placed.groupBy(F.col(key).alias("__key"), cell).agg(F.array_sort(F.collect_list(F.struct("__place", "__e", kept.alias("row")))).alias("__rows"))
-    cells.write.parquet(path + "-cells")
-    cells = spark.read.schema(cells.schema).parquet(path + "-cells")
-    reduced = F.aggregate("__rows", integers(stays), lambda f, x: F.transform(f, lambda s: F.get(F.get(table_of, x["__e"]), s)))
-
-    def chained(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__cell")
-        state, begins = states.index(start), []
-        for f in part["__f"]:
-            begins.append(state)
-            state = int(f[state])
-        return pd.DataFrame({"__key": part["__key"], "__cell": part["__cell"], "__begin": begins})
-
-    kind = events.schema[key].dataType.simpleString()
-    functions = cells.select("__key", "__cell", reduced.alias("__f"))
-    begins = functions.groupBy("__key").applyInPandas(chained, f"__key {kind}, __cell long, __begin int")
-    both = cells.alias("c").join(begins.alias("b"), F.col("c.__key").eqNullSafe(F.col("b.__key")) & (F.col("c.__cell") == F.col("b.__cell"))).select("c.__rows", "b.__begin")
-    step = lambda xs, x: F.array_append(xs, F.get(F.get(table_of, x["__e"]), F.element_at(xs, -1)))
-    walked = both.withColumn("__states", F.aggregate("__rows", F.array("__begin"), step))
-    each = walked.select(F.posexplode("__rows").alias("__i", "__r"), "__states")
-    before = F.get("__states", F.col("__i"))
-    told = each.select("__r.row.*", F.get(names_of, before).alias("before"), F.get(names_of, F.get("__states", F.col("__i") + 1)).alias("after"), F.get(F.get(legal_of, F.col("__r.__e")), before).alias("legal"))
-    return told
+    placed = events.withColumn("__e", number).repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+    fields = [T.StructField(f.name, f.dataType) for f in placed.schema] + [T.StructField("__task", T.IntegerType()), T.StructField("__end", T.BooleanType()), T.StructField("__before", T.IntegerType()), T.StructField("__each", T.ArrayType(T.IntegerType()))]
+    placed.mapInArrow(walked, T.StructType(fields)).write.parquet(path)
+    placed = spark.read.schema(T.StructType(fields)).parquet(path)
+
+    same = lambda a, b: a == b or (a != a and b != b)
+    begins, last, state = [], None, begin
+    ends = placed.where("__end").select("__task", F.col(f"`{key}`"), "__before", "__each").collect()  # two rows a task at most
+    for task, value, before, each in sorted(ends, key=lambda r: (r["__task"], r["__each"] is None)):
+        if each is not None:
+            state = state if begins and same(value, last) else begin
+            begins.append((task, state))
+        last, state = value, before if each is None else each[state]
+    begun = F.broadcast(spark.createDataFrame(begins, "__task int, __begin int"))
+    rows = placed.where("not __end").join(begun, "__task").withColumn("__s", F.coalesce("__before", F.get("__each", F.col("__begin"))))
+    move = F.col("__e") * len(states) + F.col("__s")
+    after = F.get(array([states[s] for row in table for s in row]), move)
+    return rows.select(*(F.col(f"`{c}`") for c in events.columns), F.get(array(states), F.col("__s")).alias("before"), after.alias("after"), F.get(array(legal), move).alias("legal"))

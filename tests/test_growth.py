@@ -8,6 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quorumspark.operators import machines as M
 from quorumspark.streaming import engine as E
 from quorumspark.streaming import stateful as S
 
@@ -61,3 +62,23 @@ def test_episodes_that_began_at_one_time_are_all_told(spark):
 
 def test_streams_run_as_long_as_their_input_takes():
     assert inspect.signature(E.drained).parameters["timeout_s"].default is None
+
+
+# --- status machines
+
+
+def test_machine_groups_no_rows_by_key(spark):
+    """Keys that end and begin within a task, at its edges, and without a row between; NaN is one key."""
+    rows = [(float("nan") if k == 9 else float(k), i, "start" if i % 3 else "fail") for k in range(10) for i in range(k + 1)]
+    df = spark.createDataFrame(rows, "k double, i int, event string").repartition(3)
+    told = M.run_machine(df, "k", ["i"], c("event"), M.IMPORT, "pending", 4)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "hashpartitioning" not in plan
+    got = {(str(r["k"]), r["i"]): (r["before"], r["after"]) for r in told.collect()}
+    assert len(got) == len(rows)
+    for k in {str(r[0]) for r in rows}:
+        state = "pending"
+        for _, i, e in sorted((r for r in rows if str(r[0]) == k), key=lambda r: r[1]):
+            after = M.IMPORT.get((state, e), state)
+            assert got[k, i] == (state, after)
+            state = after
