@@ -7,7 +7,7 @@ a name within an object, counts as none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,13 @@ def written(value: Column, path: str) -> Column:
     return F.to_json(F.try_variant_get(value, path, "variant"))
 
 
-def given(value: Column, path: str) -> Column:
+def given(value: Column, path: str, text: Column | None = None) -> Column:
     """What a variant holds at a path, as text; null if it is an empty text, a zero, false or null. The texts "0",
-    "false" and "null" are given."""
+    "false" and "null" are given. Only a text that may be a zero or false is looked up as JSON. text: what is at the path as
+    text, if that is known."""
+    text = F.try_variant_get(value, path, "string") if text is None else text
     json = written(value, path)
-    return F.when(~json.isin('""', "false", "null") & ~json.rlike(r"^-?0(\.0*)?([eE].*)?$"), F.try_variant_get(value, path, "string"))
+    return F.when(text.startswith("0") | text.startswith("-0") | (text == "false"), F.when((json != "false") & ~json.rlike(r"^-?0(\.0*)?([eE].*)?$"), text)).when(text != "", text)
 
 
 def let(value: Column, body) -> Column:
@@ -118,42 +120,59 @@ FEED_FLAGS = [("payment_verified", "client.paymentVerified"), ("is_enterprise",
 FEED_SOURCE = [("team_name", "teamName"), ("team_id", "teamId"), ("scanner_name", "scannerName"), ("scanner_id", "scannerId")]
 
 
-def feed_job(payload: Column, apply_url: str) -> Column:
-    """One struct from a job feed's payload; null without a job. Its address is apply_url and the job's cipher text;
-    skills (objects with a name, or plain texts) and questions are JSON lists. The text is parsed once."""
-
-    def made(v: Column) -> Column:
-        at = lambda p: given(v, f"$.data.job.{p}")
-        or_blank = lambda x: F.coalesce(x, F.lit(""))
-        number = lambda p: at(p).try_cast("double")
-        kind = written(v, "$.data.job.budget.type")
-        skills = F.transform(F.try_variant_get(v, "$.data.job.skills", "array<variant>"), lambda s: F.coalesce(given(s, "$.name"), F.try_variant_get(s, "$", "string")))
-        row = F.struct(
-            *(or_blank(at(p)).alias(name) for name, p in FEED_TEXTS),
-            or_blank(F.concat(F.lit(apply_url), at("ciphertext"))).alias("url"),
-            F.when(kind == "1", "Fixed").otherwise("Hourly").alias("job_type"),
-            price(kind, *(at(f"budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))).alias("price"),
-            *(number(p).alias(name) for name, p in FEED_NUMBERS),
-            *(F.coalesce(number(p), F.lit(0.0)).alias(name) for name, p in FEED_AMOUNTS),
-            *(at(p).isNotNull().alias(name) for name, p in FEED_FLAGS),
-            F.coalesce(F.to_json(skills), F.lit("[]")).alias("skills"),
-            F.coalesce(at("questions"), F.lit("[]")).alias("questions"),
-            *(or_blank(given(v, f"$.data.{p}")).alias(name) for name, p in FEED_SOURCE),
-            payload.alias("raw"),
-        )
-        return F.when(given(v, "$.data.job").isNotNull(), row)
-
-    return let(F.try_parse_json(payload), made)
-
-
-def feed_errors(payload: Column) -> Column:
-    """The first thing that a job feed's payload cannot do without, or null."""
-
-    def first(v: Column) -> Column:
-        missing = lambda p: given(v, p).isNull()
-        return F.when(missing("$.data"), "data is missing").when(missing("$.data.job"), "job is missing").when(missing("$.data.job.ciphertext"), "ciphertext is missing")
-
-    return let(F.try_parse_json(payload), first)
+#: Other places below the job that are read as texts.
+FEED_OTHER = ["budget.fixed", "budget.hourlyMin", "budget.hourlyMax", "questions"]
+
+
+def _layout(paths: list[str]) -> str:
+    """The type of an object that has texts at these places."""
+    inner: dict[str, list[str]] = {}
+    for path in dict.fromkeys(paths):
+        head, _, rest = path.partition(".")
+        inner.setdefault(head, []).extend([rest] if rest else [])
+    return f"struct<{', '.join(f'{k}: {_layout(v) if v else "string"}' for k, v in inner.items())}>"
+
+
+def feed_jobs(df: DataFrame, payload: str, apply_url: str) -> DataFrame:
+    """df with job, a struct from a job feed's payload (null without a job), and error, the first thing that the payload
+    cannot do without, or null. A job's address is apply_url and its cipher text; skills (objects with a name, or plain texts)
+    and questions are JSON lists. The text is parsed once, and all its places are read as texts at once. Columns of df that
+    are called job or error, or start with __, are not kept."""
+    below = [p for _, p in (*FEED_TEXTS, *FEED_NUMBERS, *FEED_AMOUNTS, *FEED_FLAGS)] + FEED_OTHER
+    kept = [F.col(f"`{x}`") for x in df.columns if x not in ("job", "error") and not x.startswith("__")]
+    parsed = df.select(*kept, F.col(payload).alias("__raw"), F.try_parse_json(F.col(payload)).alias("__v"))
+    parsed = parsed.withColumn("__data", F.try_variant_get("__v", "$.data", _layout([p for _, p in FEED_SOURCE] + [f"job.{p}" for p in below])))
+    v, data = F.col("__v"), F.col("__data")
+
+    def text(path: str) -> Column:
+        x = data
+        for name in path.split("."):
+            x = x[name]
+        return given(v, f"$.data.{path}", x)
+
+    at = lambda p: text(f"job.{p}")
+    or_blank = lambda x: F.coalesce(x, F.lit(""))
+    number = lambda p: at(p).try_cast("double")
+    # what is an object is given; only of others is there more to ask
+    has_data = data.isNotNull() | given(v, "$.data").isNotNull()
+    has_job = data["job"].isNotNull() | given(v, "$.data.job").isNotNull()
+    kind = written(v, "$.data.job.budget.type")
+    skills = F.transform(F.try_variant_get(v, "$.data.job.skills", "array<variant>"), lambda s: F.coalesce(given(s, "$.name"), F.try_variant_get(s, "$", "string")))
+    row = F.struct(
+        *(or_blank(at(p)).alias(name) for name, p in FEED_TEXTS),
+        or_blank(F.concat(F.lit(apply_url), at("ciphertext"))).alias("url"),
+        F.when(kind == "1", "Fixed").otherwise("Hourly").alias("job_type"),
+        price(kind, *(at(f"budget.{x}") for x in ("fixed", "hourlyMin", "hourlyMax"))).alias("price"),
+        *(number(p).alias(name) for name, p in FEED_NUMBERS),
+        *(F.coalesce(number(p), F.lit(0.0)).alias(name) for name, p in FEED_AMOUNTS),
+        *(at(p).isNotNull().alias(name) for name, p in FEED_FLAGS),
+        F.coalesce(F.to_json(skills), F.lit("[]")).alias("skills"),
+        F.coalesce(at("questions"), F.lit("[]")).alias("questions"),
+        *(or_blank(text(p)).alias(name) for name, p in FEED_SOURCE),
+        F.col("__raw").alias("raw"),
+    )
+    error = F.when(~has_data, "data is missing").when(~has_job, "job is missing").when(at("ciphertext").isNull(), "ciphertext is missing")
+    return parsed.select(*kept, F.when(has_job, row).alias("job"), error.alias("error"))
 
 
 # The categories of errors by name and by code.

@@ -267,8 +267,7 @@ FROM feed LEFT JOIN jobs ON feed.id = jobs.id"""
 def _(t):
     j = F.replace(F.get(F.array(*map(F.lit, FEED)), (F.col("o_orderkey") % len(FEED)).cast("int")), F.lit("@"), F.col("o_orderkey").cast("string"))
     feed = t.orders.select(F.col("o_orderkey").alias("id"), j.alias("j"))
-    made = feed.select("id", P.feed_job(F.col("j"), "https://jobs.example.com/").alias("f"), P.feed_errors(F.col("j")).alias("error"))
-    return made.select("id", "f.*", "error")
+    return P.feed_jobs(feed, "j", "https://jobs.example.com/").select("id", "job.*", "error")
 
 
 @query("payload_props", "JSON", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props ->> '$.k' AS BIGINT) + 1 AS next_k FROM events")

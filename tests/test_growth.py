@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quorumspark.operators import machines as M
+from quorumspark.operators import payload as P
 from quorumspark.streaming import engine as E
 from quorumspark.streaming import stateful as S
 
@@ -82,3 +83,25 @@ def test_machine_groups_no_rows_by_key(spark):
             after = M.IMPORT.get((state, e), state)
             assert got[k, i] == (state, after)
             state = after
+
+
+# --- job feeds
+
+
+def test_a_feed_is_parsed_once_and_read_by_types(spark):
+    bodies = [
+        '{"data":{"teamName":0,"teamId":"0","job":{"title":"false","description":false,"duration":0.00,"engagement":"-0","city":1,"ciphertext":"0x","client":{"paymentVerified":"false","location":[1],"stats":{"totalSpent":"-0.5","hireRate":-0.0,"totalHires":"0"}}}}}',
+        '{"data":"text"}', '{"data":{"job":[1]}}', '{"data":{"job":0}}', '{"data":0}', '{"data":{"job":{"title":{"a":0},"ciphertext":"null","client":"x","skills":[{"name":0},{"name":"0"},7]}}}', "", None,
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    made = P.feed_jobs(df, "body", "u/")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    got = [(r["job"], r["error"]) for r in made.orderBy("i").collect()]
+    first = got[0][0]
+    assert (first["title"], first["description"], first["duration"], first["engagement"], first["ciphertext"], first["url"]) == ("false", "", "", "-0", "0x", "u/0x")
+    assert (first["team_name"], first["team_id"], first["payment_verified"], first["country"]) == ("", "0", True, "")
+    assert (first["total_spent"], first["hire_rate"], first["total_hires"]) == (-0.5, None, 0.0)
+    assert (got[5][0]["title"], got[5][0]["ciphertext"], got[5][0]["payment_verified"], got[5][0]["skills"]) == ('{"a":0}', "null", False, '["{\\"name\\":0}","0","7"]')
+    assert [(j is not None, e) for j, e in got] == [
+        (True, None), (False, "job is missing"), (True, "ciphertext is missing"), (False, "job is missing"), (False, "data is missing"), (True, None), (False, "data is missing"), (False, "data is missing"),
+    ]
