@@ -60,11 +60,13 @@ def execution_of(text: str) -> str | None:
 
 
 def answered(requests: DataFrame, send: Sender) -> DataFrame:
-    """Sends each request (id, url, headers, body, timeout_ms, attempt) where it lies, one after the other, and returns LOG."""
+    """Sends each request (id, url, headers, body, timeout_ms, attempt) where it lies, one after the other, and returns LOG. What
+    a task writes there lies in the log when the task has ended, so entries are handed over by batches of requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.string()), ("attempt", pa.int32()), ("success", pa.bool_()), ("status", pa.int32()), ("execution_id", pa.string()), ("error", pa.string()), ("response_ms", pa.int64())])
         for batch in batches:
+            entries = []
             for row in batch.to_pylist():
                 began, status, found, error = time.monotonic(), None, None, None
                 try:
@@ -75,8 +77,8 @@ def answered(requests: DataFrame, send: Sender) -> DataFrame:
                         error = f"the receiver returned {status}"
                 except Exception as e:  # noqa: BLE001  whatever went wrong is in the log
                     error = str(e) or type(e).__name__
-                entry = {"id": row["id"], "attempt": row["attempt"], "success": error is None, "status": status, "execution_id": found, "error": error, "response_ms": int(1000 * (time.monotonic() - began))}
-                yield pa.RecordBatch.from_pylist([entry], schema)
+                entries.append({"id": row["id"], "attempt": row["attempt"], "success": error is None, "status": status, "execution_id": found, "error": error, "response_ms": int(1000 * (time.monotonic() - began))})
+            yield pa.RecordBatch.from_pylist(entries, schema)
 
     return requests.mapInArrow(run, LOG)
 
@@ -94,10 +96,10 @@ def deliver(requests: DataFrame, log: str, send: Sender = post, attempts: int =
     answered, up to so many times each. A request without an id or url is not sent; of requests of one id one is."""
     spark = requests.sparkSession
     timeout = F.when(F.col("timeout_ms") >= 1, F.col("timeout_ms")).otherwise(TIMEOUT_MS).cast("long")
-    fit = requests.where("id is not null and url is not null").select(F.col("id").cast("string").alias("id"), "url", "headers", "body", timeout.alias("timeout_ms")).dropDuplicates(["id"])
+    fit = requests.where("id is not null and url is not null").select(F.col("id").cast("string").alias("id"), "url", "headers", "body", timeout.alias("timeout_ms"))
     for _ in range(attempts):
         tried = log_of(spark, log).groupBy("id").agg(F.max("attempt").alias("before"), F.bool_or("success").alias("done"))
-        due = fit.join(tried, "id", "left").where("not coalesce(done, false) and coalesce(before, 0) < " + str(attempts))
+        due = fit.join(tried, "id", "left").where("not coalesce(done, false) and coalesce(before, 0) < " + str(attempts)).dropDuplicates(["id"])
         due = due.select(*fit.columns, (F.coalesce("before", F.lit(0)) + 1).cast("int").alias("attempt"))
         path = f"{log}/{uuid.uuid4().hex}"
         answered(due, send).write.parquet(path)

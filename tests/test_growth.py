@@ -5,12 +5,14 @@ from __future__ import annotations
 import inspect
 from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quorumspark.operators import machines as M
 from quorumspark.operators import payload as P
 from quorumspark.streaming import engine as E
+from quorumspark.streaming import outbox as O
 from quorumspark.streaming import stateful as S
 
 c = F.col
@@ -105,3 +107,13 @@ def test_a_feed_is_parsed_once_and_read_by_types(spark):
     assert [(j is not None, e) for j, e in got] == [
         (True, None), (False, "job is missing"), (True, "ciphertext is missing"), (False, "job is missing"), (False, "data is missing"), (True, None), (False, "data is missing"), (False, "data is missing"),
     ]
+
+
+# --- deliveries
+
+
+def test_log_entries_are_handed_over_by_batches_of_requests():
+    run = O.answered(SimpleNamespace(mapInArrow=lambda f, _: f), lambda *_: (200, "{}"))
+    rows = [{"id": str(i), "url": "u", "headers": [], "body": "", "timeout_ms": 1, "attempt": 1} for i in range(100)]
+    made = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert [b.num_rows for b in made] == [100] and made[0].column("id").to_pylist() == [r["id"] for r in rows]
