@@ -198,23 +198,27 @@ class Payloads(StatefulProcessor):
         return ((stored_at + self.ttl) // self.every + 1) * self.every
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        now = self.stored.get()[0] if self.stored.exists() else None
-        before = now
+        stored = self.stored.get()
+        now = before = None if stored is None else stored[0]
         for row in _in_order(rows):
-            at = row["at"] or 0
+            at = row[AT] or 0
             if now is not None:
                 swept = at >= self.sweep(now)
                 yield Row(key=key[0], stored_at=now, ended_at=self.sweep(now) if swept else at, swept=swept)
             now = at
-        if before is not None and before != now:
-            self.handle.deleteTimer(self.sweep(before) // 1000)
-        self.stored.update((now,))
-        self.handle.registerTimer(self.sweep(now) // 1000)
+        if before != now:
+            self.stored.update((now,))
+        was, due = None if before is None else self.sweep(before), self.sweep(now)
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was // 1000)
+            self.handle.registerTimer(due // 1000)
         yield Row(key=key[0], stored_at=now, ended_at=None, swept=False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if self.stored.exists():
-            stored_at = self.stored.get()[0]
+        stored = self.stored.get()
+        if stored is not None:
+            stored_at = stored[0]
             if self.sweep(stored_at) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
                 self.stored.clear()
                 yield Row(key=key[0], stored_at=stored_at, ended_at=self.sweep(stored_at), swept=True)

@@ -67,6 +67,17 @@ def test_streams_run_as_long_as_their_input_takes():
     assert inspect.signature(E.drained).parameters["timeout_s"].default is None
 
 
+def test_a_payload_asks_its_state_once_and_keeps_its_timer():
+    calls = []
+    value = SimpleNamespace(exists=lambda: calls.append("exists") or True, get=lambda: calls.append("get") or (0,), update=lambda v: calls.append("update"))
+    handle = SimpleNamespace(getValueState=lambda *_: value, registerTimer=lambda _: calls.append("register"), deleteTimer=lambda _: calls.append("delete"))
+    p = S.Payloads(60, 15)
+    p.init(handle)
+    row = Row("key", "at", "id")
+    told = [(r["stored_at"], r["ended_at"], r["swept"]) for r in p.handleInputRows(("x",), iter([row("x", 7, 1)]), None)]
+    assert told == [(0, 7, False), (7, None, False)] and calls == ["get", "update"]
+
+
 # --- status machines
 
 
