@@ -52,12 +52,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 10_000, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, n: str = "n", how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row for each key and in n how many rows of left have it; rows: of left, at
-    least. No key's rows meet in one task beyond a bound: those of hot keys stay where they are, and what right has
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, n: str = "n", how: str = "inner", fewest: int = 0) -> DataFrame:
+    """left joined with right, which has one row for each key and in n how many rows of left have it, fewest at least;
+    rows: of left, at least. No key's rows meet in one task beyond a bound: those of hot keys stay where they are, and what right has
     for them, rows / (rows / HOT_KEYS) = HOT_KEYS keys at most, goes to every executor."""
     most = max(HOT_ROWS, rows // HOT_KEYS)
     hot, own = fresh("hot"), [c for c in right.columns if c not in (*keys, n)]
+    if fewest > most:  # all keys are hot
+        return left.join(F.broadcast(right.drop(n)), keys, how)
     few = F.broadcast(right.where(F.col(n) > most).select(*keys, *own, F.lit(True).alias(hot)))
     marked = left.join(few, keys, "left")
     return marked.where(hot).drop(hot).unionByName(marked.where(F.col(hot).isNull()).drop(hot, *own).join(right.where(F.col(n) <= most).drop(n), keys, how))

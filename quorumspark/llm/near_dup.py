@@ -210,17 +210,16 @@ def token(at) -> F.Column:
     return F.substring("sig", at * 4 + 1, 4)
 
 
-def with_family(large: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
+def with_family(large: DataFrame, rows: int) -> DataFrame:
     """large: rep, node, n, sig. Adds family: whether nearly all documents of the node are like one of them, so that
     further tokens would not divide it."""
     c = F.col
-    one = large.groupBy("node").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-    one = one.join(reps, "rep").groupBy("node").agg(F.min("sig").alias("one"), F.max("n").alias("size"))
-    met = spread_join(large, one, ["node"], rows, n="size")
+    one = large.groupBy("node").agg(F.min(F.struct("rep", "sig"))["sig"].alias("one"), F.max("n").alias("size"))
+    met = spread_join(large, one, ["node"], rows, n="size", fewest=NODE + 1)
     alike = sum((F.substring("sig", at, 4) == F.substring("one", at, 4)).cast("int") for at in range(1, 4 * TOKENS, 16))
     share = met.groupBy("node").agg(F.avg((alike >= TOKENS // 8).cast("int")).alias("share"), F.max("n").alias("size"))
     flags = share.select("node", (c("share") >= FAMILY).alias("family"), "size")
-    return spread_join(large, flags, ["node"], rows, n="size")
+    return spread_join(large, flags, ["node"], rows, n="size", fewest=NODE + 1)
 
 
 def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -238,7 +237,10 @@ def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame
         if depth == DEPTH or large.isEmpty():
             leaves.append(held)
             break
-        signed = materialize(with_family(large.join(reps, "rep"), reps, 2 * TREES * n_reps), "large")
+        # documents of one id meet the signatures of all of them: once each
+        plain = materialize(large.join(reps, "rep").distinct(), "signed")
+        signed = materialize(with_family(plain, 2 * TREES * n_reps), "large")
+        drop_tables(plain)
         tables.append(signed)
         leaves += [held.where(c("n") <= NODE), signed.where("family").select("node", "rep", "n")]
         large = signed.where(~c("family"))
@@ -247,7 +249,7 @@ def tree_leaves(reps: DataFrame, n_reps: int) -> tuple[DataFrame, list[DataFrame
         coordinate = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
         child = lambda salt: F.xxhash64("node", F.lit(salt), token(coordinate(salt)))
         twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0
-        level = large.select("rep", F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
+        level = large.select("rep", F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node"))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -271,9 +273,12 @@ def group_links(groups: DataFrame, compare: Callable[[DataFrame], DataFrame], ke
     connected = components(links)
     settled = keep(many.join(connected.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "settled")
     shares = settled.groupBy("grp", "root").agg(F.count("*").alias("held")).groupBy("grp").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("n"), F.max("held").alias("most"))
-    placed = spread_join(settled.drop("n"), shares.withColumn("size", c("n")), ["grp"], settled.count())
-    left_over = c("size") - c("most")
-    placed = placed.where(left_over > 0).withColumns({"rest": c("root") != c("main"), "chunks": F.ceil(left_over * c("parts") / c("size")).cast("int")})
+    apart = shares.where("n > most").withColumn("size", c("n"))
+    chunks = F.ceil((c("size") - c("most")) * c("parts") / c("size")).cast("int")
+    placed = spread_join(settled.drop("n"), apart, ["grp"], settled.count()).select("grp", "rep", "own", "parts", (c("root") != c("main")).alias("rest"), chunks.alias("chunks"))
+    placed = keep(placed, "placed")
+    if placed.isEmpty():
+        return links
     # every document of a block meets every chunk of what is left over
     everyone = placed.select("grp", "rep", "own", F.explode(F.sequence(F.lit(0), c("chunks") - 1)).alias("chunk"))
     rest = placed.where("rest").select("grp", "rep", all_parts, F.pmod(F.xxhash64("rep", F.lit(23)), c("chunks")).cast("int").alias("chunk"))
@@ -315,17 +320,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         texts = docs.join(compared, docs["doc_id"] == compared["rep"]).select("grp", "rep", "text")
         return texts.repartition("grp").sortWithinPartitions("grp").mapInPandas(tidily(lambda parts: confirmed(parts, k, percent)), "a long, b long")
 
-    found = group_links(leaves.select(c("node").alias("grp"), "rep", "n", F.ceil(c("n") / NODE).cast("int").alias("parts")), similar, keep).distinct()
-    groups = keep(components(found), "candidates")
-
-    weighed = groups.join(members.where("sig is not null").select(c("rep").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
+    found = group_links(leaves.select(c("node").alias("grp"), "rep", "n", F.ceil(c("n") / NODE).cast("int").alias("parts")), similar, keep)
+    weighed = keep(components(found).join(members.where("sig is not null").select(c("rep").alias("id"), "n_shingles").dropDuplicates(["id"]), "id"), "candidates")
     sums = weighed.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).withColumn("size", c("n"))
     rooted = keep(spread_join(weighed, sums, ["root"], n_docs), "rooted")
-    whole = rooted.where(c("size") <= NODE).select(c("root").alias("grp"), c("id").alias("rep"), c("size").alias("n"), "weight")
-    within = leaves.select("node", "rep").join(rooted.where(c("size") > NODE).select(c("id").alias("rep"), "root", "n_shingles"), "rep").select(F.xxhash64("node", "root").alias("grp"), "rep", "n_shingles").distinct()
-    heavy = within.groupBy("grp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")).where("n > 1").withColumn("size", c("n"))
-    within = spread_join(within, heavy, ["grp"], 2 * TREES * n_docs).select("grp", "rep", c("size").alias("n"), "weight")
-    links = group_links(whole.unionByName(within).select("grp", "rep", "n", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts")), exact, keep)
+    groups = rooted.where(c("size") <= NODE).select(c("root").alias("grp"), c("id").alias("rep"), c("size").alias("n"), "weight")
+    beyond = rooted.where(c("size") > NODE).select(c("id").alias("rep"), "root", "n_shingles")
+    if not beyond.isEmpty():
+        within = keep(leaves.select("node", "rep").join(beyond, "rep").select(F.xxhash64("node", "root").alias("grp"), "rep", "n_shingles").distinct(), "within")
+        heavy = within.groupBy("grp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")).where("n > 1").withColumn("size", c("n"))
+        groups = groups.unionByName(spread_join(within, heavy, ["grp"], 2 * TREES * n_docs).select("grp", "rep", c("size").alias("n"), "weight"))
+    links = group_links(groups.select("grp", "rep", "n", F.ceil(c("weight") / GROUP_SHINGLES).cast("int").alias("parts")), exact, keep)
     classes = components(links)
 
     drop_tables(*tables)

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quorumspark.llm import bpe, decontaminate, lm, near_dup, registry, secrets, toxicity
+from quorumspark.llm import bpe, decontaminate, graph, lm, near_dup, registry, secrets, toxicity
 from tests.llm.fixtures import WORDS, definition
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -158,6 +158,40 @@ def test_families_do_not_branch(spark, monkeypatch, changes):
         assert leaves.where(f"n > {near_dup.NODE}").count() < 0.1 * first
 
 
+@pytest.mark.parametrize(("most", "writes"), [(1000, 2), (7, None)])
+def test_few_links_are_one_forest(spark, monkeypatch, most, writes):
+    """Chains, stars, loops and repeated links: no rounds of joins while the links are few."""
+    monkeypatch.setattr(graph, "EDGES", most, raising=False)
+    names, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    edges = [*((i, i + 1) for i in range(100, 130)), *((7, i) for i in range(300, 320)), (319, 330), (9, 9), (5, 4), (4, 5), (5, 4), (None, 3)]
+    got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 100 for i in range(100, 131)} | {i: 7 for i in (7, *range(300, 320), 330)} | {5: 4, 4: 4}
+    assert {k: v for k, v in got.items() if k != 9} == want and got.get(9, 9) == 9
+    assert writes is None or len(names) == writes
+
+
+def test_a_large_family_takes_few_jobs(spark, monkeypatch):
+    """Each step over large nodes is computed once, and rounds of joins over links do not multiply them."""
+    monkeypatch.setattr(near_dup, "NODE", 70)
+    r = random.Random(9)
+    base = [r.choice(WORDS) + str(i) for i in range(150)]
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for at in r.sample(range(150), r.choice([2, 8])):
+            w[at] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    spark.sparkContext.setJobGroup("family", "family")
+    try:
+        got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=4).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in got} == components(dict(docs), 4, 80)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("family"))
+    assert jobs < 150, jobs
+
+
 # --- 9: benchmark passages
 
 
