@@ -52,8 +52,11 @@ def without_key(items: Column, field: str, key: Column) -> Column:
     return F.filter(items, lambda x: ~x[field].eqNullSafe(key))
 
 
-def nested_upsert(flat: DataFrame, changes: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Cells by keys with the last change of each applied; cells whose value is null afterwards go."""
+def nested_upsert(flat: DataFrame, changes: DataFrame, keys: list[str], value: str, order: str, parts: int | None = None) -> DataFrame:
+    """Cells by keys with the last change of each applied; cells whose value is null afterwards go. With parts, cells and
+    last changes meet in so many tasks, apart from those that find them, so that no task holds both steps."""
     last = changes.groupBy(*keys).agg(F.max_by(value, order).alias("__value"), F.lit(True).alias("__changed"))
+    if parts:
+        flat, last = flat.repartition(parts, *keys), last.repartition(parts, *keys)
     joined = flat.join(last, keys, "full_outer")
     return joined.withColumn(value, F.when(F.coalesce("__changed", F.lit(False)), F.col("__value")).otherwise(F.col(value))).drop("__value", "__changed").where(F.col(value).isNotNull())

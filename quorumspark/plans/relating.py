@@ -15,6 +15,9 @@ from ..operators import paging as P
 from ..registry import query
 from ..sources import views as V
 
+#: Lines for each task in which the cells of a matrix meet their changes, about.
+CELLS = 500_000
+
 
 @query(
     "join_nested_children", "JN1",
@@ -116,10 +119,10 @@ def _(t):
 
     line = t.lineitem.withColumnsRenamed({"l_partkey": "standard", "l_suppkey": "spec"})
     old = line.where("l_orderkey % 2 = 0").groupBy("standard", "spec").agg(F.max("l_linenumber").alias("depth"))
-    new = line.where("l_orderkey % 2 = 1").select("standard", "spec", F.struct(F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("v")).alias("boxed"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("at"))
-    # boxed, as the last change may be to null
-    last = new.groupBy("standard", "spec").agg(F.max_by("boxed", "at").alias("boxed")).select("standard", "spec", F.col("boxed.v").alias("depth"), F.lit(1).alias("at"))
-    return nested_upsert(old, last, ["standard", "spec"], "depth", "at")
+    new = line.where("l_orderkey % 2 = 1").select("standard", "spec", F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("depth"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("at"))
+    # fewer than the session's, and Spark would deal both sides out again
+    parts = max(t.lineitem.count() // CELLS + 1, int(line.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return nested_upsert(old, new, ["standard", "spec"], "depth", "at", parts)
 
 
 @query(

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import quorumspark.plans  # noqa: F401
 from quorumspark.operators import machines as M
 from quorumspark.operators import payload as P
+from quorumspark.operators import writes as W
+from quorumspark.registry import REGISTRY
 from quorumspark.streaming import engine as E
 from quorumspark.streaming import outbox as O
 from quorumspark.streaming import stateful as S
@@ -128,3 +131,25 @@ def test_log_entries_are_handed_over_by_batches_of_requests():
     rows = [{"id": str(i), "url": "u", "headers": [], "body": "", "timeout_ms": 1, "attempt": 1} for i in range(100)]
     made = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
     assert [b.num_rows for b in made] == [100] and made[0].column("id").to_pylist() == [r["id"] for r in rows]
+
+
+# --- matrix cells
+
+
+def test_cells_and_changes_meet_in_tasks_of_a_bounded_number_of_lines(spark, data, monkeypatch):
+    from quorumspark.plans import relating
+    from tests.oracle import rows_of_spark, rows_of_sql
+
+    q = REGISTRY["matrix_import"]
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(relating, "CELLS", lines // 20, raising=False)
+    got = q.run(spark, data)
+    assert got.rdd.getNumPartitions() >= 20
+    assert rows_of_spark(got) == rows_of_sql(q.sql, data)
+
+
+def test_a_last_change_to_nothing_empties_its_cell(spark):
+    flat = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "s string, p int, v int")
+    changes = spark.createDataFrame([("a", 1, 8, 1), ("a", 1, None, 2), ("a", 2, None, 1), ("a", 2, 9, 2)], "s string, p int, v int, at int")
+    got = W.nested_upsert(flat, changes, ["s", "p"], "v", "at", parts=7)
+    assert sorted(map(tuple, got.select("s", "p", "v").collect())) == [("a", 2, 9), ("b", 1, 7)]
